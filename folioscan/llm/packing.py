@@ -15,13 +15,13 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscan.llm.common import stage
+from folioscan.llm.common import map_texts, stage
 
 _LOADED: dict[str, Callable[[str], np.ndarray]] = {}
 
@@ -71,15 +71,17 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     return _LOADED[path]
 
 
-def _tokenized(batches: Iterator[pd.DataFrame], path: str, end_id: int) -> Iterator[pd.DataFrame]:
-    encode, part, place = encoder(path), TaskContext.get().partitionId(), 0
-    for rows in batches:
-        for i in range(0, len(rows), 512):
-            few = rows.iloc[i : i + 512]
-            ids = [np.append(encode(t) if isinstance(t, str) else np.empty(0, np.uint32), np.uint32(end_id)) for t in few["text"]]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            yield pd.DataFrame({"doc_id": few["doc_id"].to_numpy(), "part": part, "place": place + np.cumsum(sizes) - sizes, "doc_tokens": sizes, "ids": [_small(x) for x in ids]})
-            place += int(sizes.sum())
+def _tokenizer(path: str, end_id: int) -> Callable[[list[str]], list]:
+    encode, part, end, place = encoder(path), TaskContext.get().partitionId(), np.array([end_id], np.uint32), 0
+
+    def run(texts: list[str]) -> list:
+        nonlocal place
+        ids = [np.concatenate((encode(t), end)) for t in texts]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        places, place = place + np.cumsum(sizes) - sizes, place + int(sizes.sum())
+        return [np.full(len(ids), part, np.int32), places, sizes, [_small(x) for x in ids]]
+
+    return run
 
 
 def _small(ids: np.ndarray) -> bytes:
@@ -94,26 +96,24 @@ def _large(raw: bytes) -> np.ndarray:
 def tokenize(docs: DataFrame, path: str | None = None, end_id: int = 1) -> DataFrame:
     """(doc_id, part, place, doc_tokens, ids): every document's ids, ``place`` being how many ids come before it in its partition; staged."""
     path = path or default_vocabulary()
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return stage(docs.select("doc_id", "text").mapInPandas(lambda b: _tokenized(b, path, end_id), f"doc_id {kind}, part int, place long, doc_tokens long, ids binary"), "tokens")
-
-
-PIECES = "start long, length long, sequence_id long, offset long, doc_tokens long, ids binary"
+    return stage(map_texts(docs, lambda: _tokenizer(path, end_id), "part int, place long, doc_tokens long, ids binary"), "tokens")
 
 
-def _cut(batches: Iterator[pd.DataFrame], first: dict[int, int], length: int, digest: bool) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        for i in range(0, len(rows), 512):
-            few = rows.iloc[i : i + 512]
-            out = []
-            for doc, part, place, n, raw in few.itertuples(index=False):
+def _cut(batches: Iterator[pa.RecordBatch], first: dict[int, int], length: int, digest: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 512):
+            few = batch.slice(i, 512)
+            out: list[tuple] = []
+            for k, (part, place, n, raw) in enumerate(zip(*(few.column(c).to_pylist() for c in range(1, 5)), strict=True)):
                 ids, at, start = _large(raw), first[part] + place, 0
                 while start < n:
                     size = min(n - start, length - (at + start) % length)
                     piece = ids[start : start + size].tobytes()
-                    out.append((doc, start, size, (at + start) // length, (at + start) % length, n, zlib.crc32(piece) if digest else piece))
+                    out.append((k, start, size, (at + start) // length, (at + start) % length, n, zlib.crc32(piece) if digest else piece))
                     start += size
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "sequence_id", "offset", "doc_tokens", "ids_crc32" if digest else "ids"])
+            which, *rest = zip(*out, strict=True)
+            kinds = [pa.int64()] * 5 + [pa.int64() if digest else pa.binary()]
+            yield pa.RecordBatch.from_arrays([few.column(0).take(pa.array(which, pa.int32())), *(pa.array(x, k) for x, k in zip(rest, kinds, strict=True))], names=names)
 
 
 def pack(docs: DataFrame, length: int = 2048, path: str | None = None, end_id: int = 1, digest: bool = False) -> DataFrame:
@@ -126,9 +126,10 @@ def pack(docs: DataFrame, length: int = 2048, path: str | None = None, end_id: i
     first, at = {}, 0
     for part, n in totals:
         first[part], at = at, at + n
-    shape = T.StructType([tokens.schema["doc_id"], *T.StructType.fromDDL(PIECES.removesuffix(", ids binary") + (", ids_crc32 long" if digest else ", ids binary"))])
+    made = T.StructType.fromDDL("start long, length long, sequence_id long, offset long, doc_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
+    shape = T.StructType([tokens.schema["doc_id"], *made])
     bases = tokens.sparkSession.sparkContext.broadcast(first)
-    return tokens.select("doc_id", "part", "place", "doc_tokens", "ids").mapInPandas(lambda b: _cut(b, bases.value, length, digest), shape)
+    return tokens.select("doc_id", "part", "place", "doc_tokens", "ids").mapInArrow(lambda b: _cut(b, bases.value, length, digest, shape.names), shape)
 
 
 def padding(total: int, length: int = 2048) -> int:

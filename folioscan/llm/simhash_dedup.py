@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscan.llm.common import each_text, stage
+from folioscan.llm.common import fresh, stage
 
 BITS = 64
 
@@ -41,7 +41,7 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
 
 @F.pandas_udf(T.LongType())
 def fingerprint_udf(texts: pd.Series) -> pd.Series:
-    return pd.Series(each_text(fingerprint, texts), dtype="int64")
+    return pd.Series([fingerprint(t or "") for t in texts], dtype="int64")
 
 
 def walk_pairs(keys: np.ndarray, roots: list[np.ndarray], bits: int, radius: int, leaf: int = 64, wide: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -213,7 +213,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, node_rows: int = 4096) ->
 
 def keep_one(docs: DataFrame, radius: int = 3, node_rows: int = 4096) -> DataFrame:
     """The rows of ``docs`` with one row left of each component, that with the least doc_id."""
-    prints = stage(docs.withColumn("_fp", fingerprint_udf("text")), "printed")
-    found = classes(prints.select("doc_id", F.col("_fp").alias("fp")), radius, node_rows)
-    stays = found.where("fp = keeper").select(F.col("fp").alias("_fp"), F.col("component_id").alias("_first"))
-    return prints.join(stays, (prints["_fp"] == stays["_fp"]) & prints["doc_id"].eqNullSafe(stays["_first"]), "left_semi").dropDuplicates(["doc_id", "_fp"]).drop("_fp")
+    name = fresh(docs, "_fp")
+    prints = stage(docs.withColumn(name, fingerprint_udf("text")), "printed")
+    found = classes(prints.select("doc_id", F.col(name).alias("fp")), radius, node_rows)
+    stays = found.where("fp = keeper").select(F.col("fp").alias("_print"), F.col("component_id").alias("_first"))
+    return prints.join(stays, (prints[name] == stays["_print"]) & prints["doc_id"].eqNullSafe(stays["_first"]), "left_semi").dropDuplicates(["doc_id", name]).drop(name)
