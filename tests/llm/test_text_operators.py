@@ -35,7 +35,10 @@ def test_language_kernel_is_the_ridge_regression():
     bits = np.zeros((6, 1 << language_id.BUCKET_BITS), np.uint8)
     for t, r in zip(texts, bits, strict=True):
         language_id.presence(t, r)
-    model = language_id.fit(bits, langs, landmarks=6, ridge=1e-3)
+    model = language_id.fit([np.packbits(r).tobytes() for r in bits], langs, landmarks=6, ridge=1e-3)
+    x = bits / np.sqrt(bits.sum(1, keepdims=True))  # all texts are landmarks: plain kernel ridge regression, classes weighing the same
+    k, y = x @ x.T, np.where(np.array(langs)[:, None] == [["de", "en"]], 1.0, -1.0)
+    assert np.allclose(x @ model.weights, k @ np.linalg.solve(k + 6e-5 * np.eye(6), y), atol=1e-3)
     assert language_id.score(["the man and the bird", "die katze und das haus", "1234 !!", ""], model)[0] == ["en", "de", "und", "und"]
     one, two = np.zeros((2, 1 << language_id.BUCKET_BITS), np.uint8)
     text = "ab cd éf " * 70_000
