@@ -11,6 +11,7 @@ is every text if there is nothing to learn from. Repeated rows are scored one by
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -63,25 +64,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-def fit(bits: np.ndarray, langs: list[str], landmarks: int = 256, ridge: float = 1e-2) -> Model:
-    """Kernel ridge regression on Nyström features; ``bits`` are presence rows, every so many of them a landmark."""
+def _blocks(packed: list[bytes], rows: int = 128) -> Iterator[np.ndarray]:
+    """Presence rows of unit length, some at a time."""
+    for i in range(0, len(packed), rows):
+        x = np.unpackbits(np.frombuffer(b"".join(packed[i : i + rows]), np.uint8)).reshape(-1, 1 << BUCKET_BITS).astype(np.float32)
+        yield x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
+
+def fit(packed: list[bytes], langs: list[str], landmarks: int = 256, ridge: float = 1e-2) -> Model:
+    """Kernel ridge regression on Nyström features; ``packed`` are presence rows as bits, and of each language the same share are landmarks."""
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32))
-    x = bits.astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    order = np.random.default_rng(7).permutation(len(x))
+    order = np.random.default_rng(7).permutation(len(packed))
     by_lang = [[i for i in order if langs[i] == n] for n in names]
-    marks = [i for group in by_lang for i in group[: max(1, landmarks // len(names))]]
-    z = x[marks]
+    z = np.concatenate(list(_blocks([packed[i] for group in by_lang for i in group[: max(1, landmarks // len(names))]])))
     value, vector = np.linalg.eigh((z @ z.T).astype(np.float64))
     good = value > 1e-6 * value.max()
     to_feature = vector[:, good] / np.sqrt(value[good])
-    phi = (x @ z.T).astype(np.float64) @ to_feature
+    phi = np.concatenate([(x @ z.T).astype(np.float64) @ to_feature for x in _blocks(packed)])
     y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     # each class counts the same, whatever its share of the sample
     share = sum(np.where(np.array(langs) == n, len(langs) / (len(names) * langs.count(n)), 0.0) for n in names)[:, None]
-    w = np.linalg.solve(phi.T @ (phi * share) + ridge * len(x) / 100 * np.eye(phi.shape[1]), phi.T @ (y * share))
+    w = np.linalg.solve(phi.T @ (phi * share) + ridge * len(packed) / 100 * np.eye(phi.shape[1]), phi.T @ (y * share))
     return Model(names, (z.T @ (to_feature @ w)).astype(np.float32))
 
 
@@ -101,8 +106,7 @@ def train(docs: DataFrame, per_lang: int = 400, landmarks: int = 256, ridge: flo
     chosen = stage(may.select("doc_id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang).select("doc_id", "lang").distinct(), "chosen")
     texts = may.join(chosen, ["doc_id", "lang"], "left_semi")
     rows = map_texts(texts, lambda: _bits, "bits binary", ("doc_id", "lang")).dropDuplicates(["doc_id", "lang"]).orderBy("lang", "doc_id").collect()
-    bits = np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in rows]).reshape(len(rows), 1 << BUCKET_BITS)
-    return fit(bits, [r["lang"] for r in rows], landmarks, ridge)
+    return fit([r["bits"] for r in rows], [r["lang"] for r in rows], landmarks, ridge)
 
 
 def score(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
