@@ -47,19 +47,22 @@ def paths(nodes: DataFrame, top: int = 1, most_rounds: int = 40) -> DataFrame:
     ids = nodes.select(F.struct("conv_id").alias("c"), F.col("node_id").alias("node"), F.col("parent_id").alias("parent"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))  # a struct, so that null equals null
     there = ids.select("c", F.col("node").alias("parent"), F.lit(True).alias("known"))
     level = stage(ids.join(there, ["c", "parent"], "left").select("c", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")), "hops")
-    levels = [level]
+    parents = level.where("up is not null").select("c", F.col("up").alias("node")).distinct()
+    # those that know their root are done; the others reach twice as far with each join
+    done, levels = level.where("up is null"), []
     for _ in range(most_rounds):
-        if level.where("up is not null").isEmpty():
+        going = level.where("up is not null")
+        if going.isEmpty():
             break
-        far = level.select("c", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        level = stage(level.join(far, ["c", "up"], "left").select("c", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")), "hops")
-        levels.append(level)
-    parents = levels[0].where("up is not null").select("c", F.col("up").alias("node")).distinct()
-    leaves = level.where("up is null").join(parents, ["c", "node"], "left_anti")
+        levels.append(going)
+        far = going.unionByName(done).select("c", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
+        level = stage(going.join(far, ["c", "up"]).select("c", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("total") + F.col("total2")).alias("total")), "hops")
+        done = done.unionByName(level.where("up is null"))
+    leaves = done.join(parents, ["c", "node"], "left_anti")
     rank = F.row_number().over(W.partitionBy("c").orderBy(F.desc("total"), "node"))
     walk = leaves.withColumn("n", rank).where(F.col("n") <= top).select("c", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"), "depth", "total")
     for k in range(len(levels) - 1, -1, -1):
-        hop = levels[k].where("up is not null").select("c", "node", "up")
+        hop = levels[k].select("c", "node", "up")
         further = F.array(F.struct("node", "back"), F.struct(F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back")))
         walk = walk.join(hop, ["c", "node"], "left").select("c", "leaf", "depth", "total", F.inline(F.when(F.col("up").isNull(), F.array(F.struct("node", "back"))).otherwise(further)))
     return walk.select(F.col("c.conv_id").alias("conv_id"), "leaf", F.col("node").alias("node_id"), (F.col("depth") - 1 - F.col("back")).alias("place"), F.col("total").alias("path_score"))
