@@ -17,7 +17,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -163,8 +162,9 @@ def train(docs: DataFrame, per_class: int = 2000) -> Model:
     if not good:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     sides = voted.sparkSession.createDataFrame(list(good.items()), "votes int, good double")
-    first = W.partitionBy(F.col("good") >= 0.5).orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = voted.where("doc_id is not null").join(F.broadcast(sides), "votes").withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_class)
+    judged = voted.where("doc_id is not null").join(F.broadcast(sides), "votes")  # a row per vote pattern
+    some = [judged.where(side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for side in ("good >= 0.5", "good < 0.5")]
+    chosen = some[0].union(some[1])
     chosen = stage(chosen.groupBy("doc_id").agg(F.min("good").alias("good")), "chosen")
     rows = map_texts(docs.join(chosen, "doc_id"), lambda: described, "x binary", ("doc_id", "good")).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     if not rows:
