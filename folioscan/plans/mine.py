@@ -97,7 +97,8 @@ def amount_rules(chunks: DataFrame) -> DataFrame:
 
 def grams(texts: DataFrame, low: int = 3, high: int = 6) -> DataFrame:
     """(doc, gram, n): runs of ``low`` to ``high`` characters that hold a Chinese one, counted within each text; ``texts``: doc, text."""
-    every = texts.select("doc", F.explode(F.concat(*(runs(F.col("text"), k) for k in range(low, high + 1)))).alias("gram"))
+    chinese = texts.where(F.col("text").rlike("[一-鿿]"))
+    every = chinese.select("doc", F.explode(F.concat(*(runs(F.col("text"), k) for k in range(low, high + 1)))).alias("gram"))
     return every.where(F.col("gram").rlike("[一-鿿]")).groupBy("doc", "gram").agg(F.count("*").alias("n"))
 
 

@@ -335,13 +335,10 @@ def h_mined_words(spark, sf):
     return mine.word_entries(_chunks(spark, sf)).select("keyword", "tag", "doc")
 
 
-@query(f"""WITH {PARAGRAPHS_SQL}, g AS (SELECT doc_id, unnest(list_transform(range(1, length(text) - 2), lambda i: substr(text, i, 4))) AS gram FROM paras WHERE length(text) >= 4)
-SELECT doc_id AS doc, count(*) AS grams, count(DISTINCT gram) AS kinds FROM (SELECT doc_id, gram || '中' AS gram FROM g) GROUP BY doc_id""")
+@query(f"""WITH {SEEDED_SQL}, z AS (SELECT * FROM paras WHERE regexp_matches(text, '[\\x{{4e00}}-\\x{{9fff}}]')), g AS ({' UNION ALL '.join(f"SELECT doc_id, unnest(list_transform(range(1, length(text) - {k - 2}), lambda i: substr(text, i, {k}))) AS gram FROM z WHERE length(text) >= {k}" for k in (3, 4))})
+SELECT doc_id AS doc, gram, count(*) AS n FROM g WHERE regexp_matches(gram, '[\\x{{4e00}}-\\x{{9fff}}]') GROUP BY ALL""")
 def h_grams(spark, sf):
-    marked = seeds.paragraphs(spark, sf).where("length(text) >= 4").select("doc_id", "text")
-    # the runs counted must hold a Chinese character, so one is set behind each run of four
-    runs = marked.select(F.col("doc_id").alias("doc"), F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - 3), lambda i: F.concat(F.col("text").substr(i, F.lit(4)), F.lit("中")))).alias("text"))
-    return mine.grams(runs, 5, 5).groupBy("doc").agg(F.sum("n").alias("grams"), F.count("*").alias("kinds"))
+    return mine.grams(seeds.seeded(spark, sf).select(F.col("doc_id").alias("doc"), "text"), 3, 4)
 
 
 # I: results -----------------------------------------------------------------------------------------------------------------------------
