@@ -37,14 +37,14 @@ def _text(p: ET.Element) -> str:
     return "".join(out)
 
 
-def _styles(z: zipfile.ZipFile) -> dict[str, tuple[str, str | None, bool]]:
-    """id -> (name, parent, numbered)."""
+def _styles(z: zipfile.ZipFile) -> dict[str, tuple[str, str | None, str | None]]:
+    """id -> (name, parent, number of the list that the style belongs to)."""
     if "word/styles.xml" not in z.namelist():
         return {}
     found = {}
     for s in ET.fromstring(z.read("word/styles.xml")).iter(W + "style"):
-        name, parent = s.find(W + "name"), s.find(W + "basedOn")
-        found[s.get(W + "styleId")] = (name.get(W + "val") if name is not None else "", parent.get(W + "val") if parent is not None else None, s.find(f"{W}pPr/{W}numPr") is not None)
+        name, parent, num = s.find(W + "name"), s.find(W + "basedOn"), s.find(f"{W}pPr/{W}numPr/{W}numId")
+        found[s.get(W + "styleId")] = (name.get(W + "val") if name is not None else "", parent.get(W + "val") if parent is not None else None, num.get(W + "val") if num is not None else None)
     return found
 
 
@@ -67,10 +67,10 @@ def word_parts(raw: bytes) -> Iterator[tuple]:
                 num, at, steps = own.get(W + "val") if own is not None else None, style_id, 0
                 while num is None and at in styles and steps < 5:
                     if styles[at][2]:
-                        num = f"style:{at}"
+                        num = f"style:{styles[at][2]}"
                     at, steps = styles[at][1], steps + 1
                 breaks = [b.get(W + "type") for b in node.iter(W + "br")]
-                yield ("paragraph", idx, None, None, None, _text(node), styles.get(style_id, (style_id or "", None, False))[0], num, len(breaks), "page" in breaks, next(node.iter(W + "lastRenderedPageBreak"), None) is not None, None)
+                yield ("paragraph", idx, None, None, None, _text(node), styles.get(style_id, (style_id or "", None, None))[0], num, len(breaks), "page" in breaks, next(node.iter(W + "lastRenderedPageBreak"), None) is not None, None)
             elif node.tag == W + "tbl":
                 tbl += 1
                 for r, row in enumerate(node.findall(W + "tr"), 1):

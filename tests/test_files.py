@@ -33,7 +33,7 @@ def para(text, style=None, num=None, extra=""):
 
 
 def docx(body: str, rels: str = "", media: dict | None = None) -> bytes:
-    styles = f'<w:styles {NS}><w:style w:styleId="h1"><w:name w:val="Heading 1"/></w:style><w:style w:styleId="base"><w:name w:val="L"/><w:pPr><w:numPr/></w:pPr></w:style><w:style w:styleId="li"><w:name w:val="List"/><w:basedOn w:val="base"/></w:style></w:styles>'
+    styles = f'<w:styles {NS}><w:style w:styleId="h1"><w:name w:val="Heading 1"/></w:style><w:style w:styleId="base"><w:name w:val="L"/><w:pPr><w:numPr><w:numId w:val="9"/></w:numPr></w:pPr></w:style><w:style w:styleId="li"><w:name w:val="List"/><w:basedOn w:val="base"/></w:style></w:styles>'
     return packed({"[Content_Types].xml": "<x/>", "word/document.xml": f"<w:document {NS}><w:body>{body}</w:body></w:document>", "word/styles.xml": styles, "word/_rels/document.xml.rels": f"<Relationships>{rels}</Relationships>", **(media or {})})
 
 
@@ -100,7 +100,7 @@ def test_word_and_excel_rows(spark, folder_of_files):
     names = {r["doc_id"]: r["file_name"] for r in listed.select("doc_id", "file_name").collect()}
     parts = [r for r in office.word_rows(listed).collect() if names[r["doc_id"]] == "bad.docx"]
     ps = [r for r in parts if r["part"] == "paragraph"]
-    assert [p["num_id"] for p in ps[4:8]] == ["7", None, "7", "style:li"] and ps[8]["br_page"] and ps[9]["br_count"] == 4 and ps[0]["style"] == "Heading 1"
+    assert [p["num_id"] for p in ps[4:8]] == ["7", None, "7", "style:9"] and ps[8]["br_page"] and ps[9]["br_count"] == 4 and ps[0]["style"] == "Heading 1"
     assert sum(r["part"] == "cell" for r in parts) == 39 and {r["text"][:4] for r in parts if r["part"] == "broken"} == {"i1（图", "i2（外", "gone", "a.pn"}
     cells = {(r["row"], r["col"]): r for r in office.excel_rows(listed).collect() if r["part"] == "cell" and r["sheet"] == "数据"}
     assert (cells[4, 4]["value_type"], cells[4, 4]["number_format"], cells[5, 2]["formula"], cells[2, 1]["value_str"]) == ("日期", "yyyy/mm/dd", "=1/0", "001")
@@ -126,7 +126,8 @@ def test_whole_check(spark, folder_of_files):
     locations = {r["rule_key"]: r["location"] for r in rows if r["file_name"] == "bad.docx"}
     assert locations["punct_repeat"] == "第 1 页（估算） · 第 2 段" and locations["numbering_break"] == "第 5 段 → 第 7 段" and locations["manual_line_break"] == "第 2 页 · 第 10 段"
     total = issues.summary(result.file_results, result.issues).first()
-    assert total["total_files"] == 14 and total["error_files"] == 10 - 1 + 1
+    assert total["total_files"] == 14 and total["error_files"] == 9
+    assert {n for n, r in results.items() if r["status"] == "error"} == {"scan.pdf", "locked.pdf", "broken.docx", "empty.xlsx", "renamed.xlsx", "bare.docx", "old.doc", "notes.md", "noext"}
     capped = check(spark, folder_of_files, Config(max_issues_per_file=2)).file_results.collect()
     assert {r["issue_count"] for r in capped if r["file_name"] in ("bad.docx", "book.xlsx")} == {2} and all(r["truncated"] for r in capped if r["issue_count"] == 2)
 
