@@ -102,8 +102,12 @@ def _bits(texts: list[str]) -> list[list]:
 def train(docs: DataFrame, per_lang: int = 400, landmarks: int = 256, ridge: float = 1e-2) -> Model:
     """A model of at most ``per_lang`` documents of each language, those with the least hash of their id, of the part that may be learned from."""
     may = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = stage(may.select("doc_id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang).select("doc_id", "lang").distinct(), "chosen")
+    # a share of each language that holds about three times as many, so that what meets in a language's window is as small for any input
+    sizes = may.groupBy("lang").agg(F.count("*").alias("size"))
+    share = F.shiftrightunsigned(F.xxhash64("doc_id"), 32) < F.lit(3.0 * per_lang * 2**32) / F.col("size")
+    some = may.select("doc_id", "lang").join(sizes, "lang").where(share)
+    first = W.partitionBy("lang").orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 32), "doc_id")
+    chosen = stage(some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang).select("doc_id", "lang").distinct(), "chosen")
     texts = may.join(chosen, ["doc_id", "lang"], "left_semi")
     rows = map_texts(texts, lambda: _bits, "bits binary", ("doc_id", "lang")).dropDuplicates(["doc_id", "lang"]).orderBy("lang", "doc_id").collect()
     return fit([r["bits"] for r in rows], [r["lang"] for r in rows], landmarks, ridge)
