@@ -105,7 +105,7 @@ def train(docs: DataFrame, per_lang: int = 400, landmarks: int = 256, ridge: flo
     # a share of each language that holds about three times as many, so that what meets in a language's window is as small for any input
     sizes = may.groupBy("lang").agg(F.count("*").alias("size"))
     share = F.shiftrightunsigned(F.xxhash64("doc_id"), 32) < F.lit(3.0 * per_lang * 2**32) / F.col("size")
-    some = may.select("doc_id", "lang").join(sizes, "lang").where(share)
+    some = may.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(share)  # a row per language, as the model has a column per language
     first = W.partitionBy("lang").orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 32), "doc_id")
     chosen = stage(some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang).select("doc_id", "lang").distinct(), "chosen")
     texts = may.join(chosen, ["doc_id", "lang"], "left_semi")
