@@ -2,9 +2,11 @@
 
 Fingerprints are cut into ``radius + 1`` blocks. Two fingerprints within ``radius`` bits agree on one block at least, so each block in turn
 becomes the top of a trie, where no bit may differ, and the pairs of nodes below it are walked together: differing bits add up, and a pair of
-nodes is dropped once they exceed the budget. Spark deals the sub-tries (block number, block value) over tasks; a sub-trie of more than
-``node_rows`` fingerprints is dealt as pairs of hashed parts, so no task holds an unbounded group. Each task reports a forest of its links, not
-all pairs, and components are found by star contraction on Spark.
+nodes is dropped once they exceed the budget. Spark deals the sub-tries (block number, block value) over tasks. With more fingerprints than
+``node_rows`` for each sub-trie, the first levels of the walk are taken on Spark: sub-tries are dealt as pairs of nodes a few bits further down that
+are still within the budget, so copies grow with a power of those bits, not with the fingerprints. A node that is over ``node_rows`` nonetheless is
+dealt as pairs of hashed parts, so no task holds an unbounded group. Each task reports a forest of its links, not all pairs, and components are found
+by star contraction on Spark.
 
 Nulls and texts without words have fingerprint zero and are linked like any other. Repeated rows each keep their row. A component whose
 doc_ids are all null has a null component_id.
@@ -12,7 +14,9 @@ doc_ids are all null has a null component_id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -149,22 +153,36 @@ def _links(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFram
         yield done(kept)
 
 
-def links(prints: DataFrame, radius: int = 3, node_rows: int = 4096) -> DataFrame:
-    """A forest (a, b) that links all distinct fingerprints ``fp`` within ``radius`` bits of each other."""
+def links(prints: DataFrame, radius: int = 3, node_rows: int = 4096, depth: int | None = None) -> DataFrame:
+    """A forest (a, b) that links all distinct fingerprints ``fp`` within ``radius`` bits of each other.
+
+    ``depth``: the bits below a block that deal its sub-tries as pairs of nodes; unless given, as many as bring evenly spread fingerprints to ``node_rows``.
+    """
     width = BITS // (radius + 1)
     if width * (radius + 1) != BITS:
         raise ValueError("radius + 1 must divide 64")
+    if depth is None:
+        depth = min(BITS - width, max(0, math.ceil(math.log2(max(1, prints.count()) / (node_rows << width)))))
     turned = []
     for turn in range(radius + 1):
         up = width * (turn + 1)
         top = F.shiftrightunsigned("fp", BITS - up).bitwiseAND((1 << width) - 1)
         around = F.shiftleft("fp", up).bitwiseOR(F.shiftrightunsigned("fp", BITS - up)) if up < BITS else F.col("fp")
-        turned.append(F.struct(F.lit(turn).alias("turn"), top.alias("top"), F.shiftrightunsigned(around, width).alias("rest")))
-    rows = prints.select("fp", F.inline(F.array(*turned)))
-    large = rows.groupBy("turn", "top").count().where(F.col("count") > node_rows).select("turn", "top", F.ceil(F.col("count") * 2 / node_rows).cast("int").alias("parts"))
-    rows = rows.join(large, ["turn", "top"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j"), F.when(own > k, 1).otherwise(0).alias("side")))
+        rest = F.shiftrightunsigned(around, width)
+        turned.append(F.struct(F.lit(turn).alias("turn"), top.alias("top"), rest.alias("rest"), F.shiftrightunsigned(rest, BITS - width - depth).alias("node")))
+    rows, key = prints.select("fp", F.inline(F.array(*turned))), ["turn", "top", "node"]
+    large = rows.groupBy(*key).count().where(F.col("count") > node_rows).select(*key, F.ceil(F.col("count") * 2 / node_rows).cast("int").alias("parts"))
+    rows = rows.join(large, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    if depth:  # each node meets itself and those that differ in a few bits
+        apart = [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(depth), n)]
+        rows = rows.withColumn("other", F.explode(F.transform(F.array(*(F.lit(m).cast("long") for m in apart)), lambda m: F.col("node").bitwiseXOR(m))))
+        rows = rows.join(large.select("turn", "top", F.col("node").alias("other"), F.col("parts").alias("others")), ["turn", "top", "other"], "left").withColumn("others", F.coalesce("others", F.lit(1)))
+    else:
+        rows = rows.withColumns({"other": F.col("node"), "others": F.col("parts")})
+    numbered = lambda node, part: F.shiftleft(node, 32).bitwiseOR(part.cast("long"))
+    own = numbered(F.col("node"), F.pmod(F.xxhash64("fp"), F.col("parts")))
+    meets = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda k: numbered(F.col("other"), k))
+    meets = F.transform(meets, lambda it: F.struct(F.least(it, own).alias("i"), F.greatest(it, own).alias("j"), F.when(own > it, 1).otherwise(0).alias("side")))
     rows = rows.select("turn", "top", "rest", "fp", F.inline(meets))
     dealt = rows.repartition("turn", "top", "i", "j").sortWithinPartitions("turn", "top", "i", "j")
     return dealt.mapInPandas(lambda batches: _links(batches, radius), "a long, b long").distinct()

@@ -6,6 +6,7 @@ import hashlib
 import re
 import sys
 import zlib
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -148,6 +149,28 @@ def test_near_duplicates_against_plain_version(spark, documents, odd_docs, no_do
     assert simhash_dedup.near_duplicates(no_docs).count() == 0 and simhash_dedup.keep_one(no_docs).count() == 0
 
 
+def test_sub_tries_dealt_as_pairs_of_nodes(spark):
+    rng = np.random.default_rng(5)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (900, 3), dtype=np.uint64), axis=1)
+    prints = np.unique(rng.integers(0, 1 << 63, 60, dtype=np.uint64)[rng.integers(0, 60, 900)] ^ flips).view(np.int64).tolist()
+    frame = spark.createDataFrame([(p,) for p in prints], "fp long").repartition(4)
+
+    def roots(pairs):
+        least = {p: p for p in prints}
+
+        def find(p):
+            return p if least[p] == p else find(least[p])
+
+        for a, b in pairs:
+            a, b = find(a), find(b)
+            least[max(a, b)] = min(a, b)
+        return {p: find(p) for p in prints}
+
+    want = roots((a, b) for a, b in combinations(prints, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3)
+    for depth, node_rows in ((5, 4096), (4, 3)):  # the second one deals most nodes as pairs of parts
+        assert roots(tuple(r) for r in simhash_dedup.links(frame, node_rows=node_rows, depth=depth).collect()) == want
+
+
 def test_trie_walk_finds_all_pairs():
     rng = np.random.default_rng(3)
     for seeds, n, bits in ((3, 300, 16), (40, 2000, 48), (1, 900, 48)):
