@@ -75,18 +75,25 @@ class Index:
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.known & np.uint64((1 << 20) - 1)] = True
         edges = [round(64 * b / BLOCKS) for b in range(BLOCKS + 1)]
-        self.cuts = [(np.uint64(lo), np.uint64((1 << hi - lo) - 1)) for lo, hi in zip(edges, edges[1:], strict=False)]
-        self.near = [self._table(lo, mask) for lo, mask in self.cuts]
-
-    def _table(self, lo: np.uint64, mask: np.uint64) -> dict[int, dict[int, np.ndarray]]:
-        """Item size -> block value -> the items whose block differs from it in RADIUS // BLOCKS bits at most."""
-        bits = int(mask).bit_length()
-        flips = [sum(1 << b for b in bs) for n in range(RADIUS // BLOCKS + 1) for bs in combinations(range(bits), n)]
-        table: dict[int, dict[int, list[int]]] = {}
-        for i, (own, size) in enumerate(zip(((self.prints >> lo) & mask).tolist(), self.sizes.tolist(), strict=True)):
-            for f in flips:
-                table.setdefault(size, {}).setdefault(own ^ f, []).append(i)
-        return {size: {v: np.array(i) for v, i in by.items()} for size, by in table.items()}
+        self.lows = np.array(edges[:-1], np.uint64)
+        self.masks = np.array([(1 << hi - lo) - 1 for lo, hi in zip(edges, edges[1:], strict=False)], np.uint64)
+        self.tags = np.arange(BLOCKS, dtype=np.uint64) << np.uint64(32)
+        self.near = {size: self._table(np.flatnonzero(self.sizes == size)) for size in np.unique(self.sizes).tolist()}
+
+    def _blocks(self, prints: np.ndarray) -> np.ndarray:
+        """The numbered blocks of each fingerprint, a row each."""
+        return ((prints[:, None] >> self.lows) & self.masks) | self.tags
+
+    def _table(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted block values, each that differs in RADIUS // BLOCKS bits at most from a block of an item, and that item."""
+        values, owners = [], []
+        for b, mask in enumerate(self.masks.tolist()):
+            flips = np.array([sum(1 << i for i in on) for n in range(RADIUS // BLOCKS + 1) for on in combinations(range(mask.bit_length()), n)], np.uint64)
+            values.append((self._blocks(self.prints[items])[:, b, None] ^ flips).ravel())
+            owners.append(np.repeat(items, len(flips)))
+        value, owner = np.concatenate(values), np.concatenate(owners)
+        order = np.argsort(value, kind="stable")
+        return value[order], owner[order]
 
     def matches(self, text: str) -> list[tuple[int, float, int]]:
         """(item, similarity, first word) of every item of which some window of the text is similar enough, at its best window."""
@@ -100,24 +107,36 @@ class Index:
         hit[where] = self.known[np.minimum(np.searchsorted(self.known, hashes[where]), len(self.known) - 1)] == hashes[where]
         shared = np.r_[0, np.cumsum(hit)]
         best: dict[int, tuple[float, int]] = {}
-        for size in self.near[0]:
-            if size > len(hashes):
-                continue
+        for size in self.near:
             # n shared of size each: n / (2 size - n) must reach the threshold
             least = math.ceil(2 * size * SIMILARITY / (1 + SIMILARITY) - 1e-9)
+            if size > len(hashes) or least > shared[-1]:
+                continue
             starts = np.flatnonzero(shared[size:] - shared[:-size] >= least)
-            for start, own in zip(starts.tolist(), window_prints(hashes, starts, size).tolist(), strict=True):
-                for i in self._within(np.uint64(own), size):
-                    if (like := self._similarity(hashes[start : start + size], i)) >= SIMILARITY and like > best.get(i, (0.0, 0))[0]:
-                        best[i] = (like, start)
+            if not len(starts):
+                continue
+            at, items = self._proposed(window_prints(hashes, starts, size), size)
+            for start, i in zip(starts[at].tolist(), items.tolist(), strict=True):
+                if (like := self._similarity(hashes[start : start + size], i)) >= SIMILARITY and like > best.get(i, (0.0, 0))[0]:
+                    best[i] = (like, start)
         return [(i, like, start) for i, (like, start) in sorted(best.items())]
 
+    def _proposed(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the fingerprints of windows, those within the radius of an item of their size, by number, and that item; in order."""
+        value, owner = self.near[size]
+        asked = self._blocks(prints).ravel()
+        first = np.searchsorted(value, asked)
+        count = np.searchsorted(value, asked, "right") - first
+        found = np.flatnonzero(count)
+        count = count[found]
+        nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        pairs = np.unique(np.repeat(found // BLOCKS, count) * len(self.ids) + owner[np.repeat(first[found], count) + nth])
+        at, items = np.divmod(pairs, len(self.ids))
+        near = np.bitwise_count(prints[at] ^ self.prints[items]) <= RADIUS
+        return at[near], items[near]
+
     def _within(self, own: np.uint64, size: int) -> list[int]:
-        lists = [t[size][v] for t, (lo, mask) in zip(self.near, self.cuts, strict=True) if (v := int((own >> lo) & mask)) in t[size]]
-        if not lists:
-            return []
-        some = np.unique(np.concatenate(lists))
-        return some[np.bitwise_count(self.prints[some] ^ own) <= RADIUS].tolist()
+        return self._proposed(np.array([own], np.uint64), size)[1].tolist()
 
     def _similarity(self, window: np.ndarray, item: int) -> float:
         bag = self.bags[item]
