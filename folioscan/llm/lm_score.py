@@ -2,9 +2,12 @@
 
 A word is predicted from the ``REACH`` words on either side of it by a small network: embeddings of the neighbours, one hidden layer, a softmax over
 the vocabulary. The vocabulary is the most frequent words of all documents; other words fall into classes by the hash of their last three letters.
+All other words of all documents are counted as well, so that a word's probability is that of its class times that of the word given its class: its
+count and ``UNSEEN`` among those of the class, in which all words that occur in no document are one word more, of count 0. That table is as large as
+the corpus makes it: the ``HEAD`` most frequent of its words go to every task, occurrences of the others are joined to it on Spark.
 Training is spread over Spark: in every round each task improves the shared weights on its own part of the training documents (one in
 ``TRAIN_ONE_IN``, chosen by the hash of the text, so their number follows the corpus), and the weights are averaged by tokens seen. A document's score
-is the sum of the log-probabilities of all its words, each given both sides.
+is the sum of the log-probabilities of all its words, each given both sides; without the table of other words, those of their classes alone.
 
 A text without words, null included, has 0 tokens, a log-probability of 0 and no mean. Repeated rows are scored one by one. Of words equally frequent the
 alphabetically first come first. With no training text, the first weights stay.
@@ -12,18 +15,21 @@ alphabetically first come first. With no training text, the first weights stay.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import map_texts, stage
 
 REACH, VOCAB, CLASSES, WIDTH, HIDDEN, TRAIN_ONE_IN, ROUNDS = 2, 256, 64, 16, 32, 32, 3
+HEAD, UNSEEN = 1 << 16, 0.5
+SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"  # where str.split() cuts
 PAD = 0  # stands outside a document and is never predicted
 SHAPES = ((VOCAB, WIDTH), (2 * REACH * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, VOCAB), (VOCAB,))
 
@@ -47,16 +53,18 @@ class Model:
     words: list[str]
     weights: np.ndarray
 
-    def coder(self) -> Callable[[str], np.ndarray]:
-        """text -> token ids: 1.. for the frequent words, then the classes."""
+    def coder(self) -> Callable[..., np.ndarray]:
+        """text -> token ids: 1.. for the frequent words, then the classes; words of classes are added to ``others``."""
         ids = {w: i + 1 for i, w in enumerate(self.words)}
         ends: dict[str, int] = {}
 
-        def code(text: str) -> np.ndarray:
+        def code(text: str, others: list[str] | None = None) -> np.ndarray:
             out = []
             for w in text.lower().split():
                 i = ids.get(w)
                 if i is None:
+                    if others is not None:
+                        others.append(w)
                     i = ends.get(end := w[-3:])
                     if i is None:
                         if len(ends) > 100_000:
@@ -85,7 +93,7 @@ def _forward(ids: np.ndarray, at: np.ndarray, weights: list[np.ndarray]) -> tupl
     return sides, x, h, z
 
 
-def log_probs(ids: np.ndarray, at: np.ndarray, weights: list[np.ndarray], batch: int = 4096) -> np.ndarray:
+def log_probs(ids: np.ndarray, at: np.ndarray, weights: list[np.ndarray], batch: int = 1024) -> np.ndarray:
     """Log-probability of the word at each place given its neighbours."""
     out = np.empty(len(at))
     for i in range(0, len(at), batch):
@@ -117,10 +125,42 @@ def improve(flat: np.ndarray, ids: np.ndarray, rng: np.random.Generator, rate: f
         np.subtract.at(emb, sides, down)
 
 
-def vocabulary(docs: DataFrame, size: int = VOCAB - CLASSES - 1) -> list[str]:
-    """The ``size`` most frequent words of all documents."""
-    words = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).where("w <> ''")
-    return [r["w"] for r in words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(size).collect()]
+@dataclass
+class Others:
+    """Log-probabilities of the words outside the vocabulary given their classes: ``head`` and ``tail`` (w, given) of seen ones, ``unseen`` by class."""
+
+    head: dict[str, float]
+    tail: DataFrame
+    unseen: list[float]
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """(w, n): how often each word of all documents occurs, staged."""
+    words = docs.select(F.explode(F.split(F.lower("text"), SPACE)).alias("w")).where("w <> ''")
+    return stage(words.groupBy("w").agg(F.count("*").alias("n")), "words")
+
+
+def vocabulary(counts: DataFrame, size: int = VOCAB - CLASSES - 1) -> list[str]:
+    """The ``size`` most frequent words."""
+    return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(size).collect()]
+
+
+def _class(word: Column) -> Column:
+    return F.pmod(F.crc32(F.encode(F.right(word, F.lit(3)), "utf-8")), F.lit(CLASSES)).cast("int")
+
+
+def other_words(counts: DataFrame, model: Model, head: int = HEAD) -> Others:
+    """The table of all counted words that ``model`` knows by their class only."""
+    rest = counts.where(~F.col("w").isin(model.words)).withColumn("c", _class(F.col("w")))
+    totals = {r["c"]: r["n"] + UNSEEN * (r["v"] + 1) for r in rest.groupBy("c").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}  # CLASSES rows
+    totals = [math.log(totals.get(c, UNSEEN)) for c in range(CLASSES)]
+    table = rest.select("w", "n", (F.log(F.col("n") + UNSEEN) - F.get(F.array(*map(F.lit, totals)), F.col("c"))).alias("given"))
+    first = table.orderBy(F.desc("n"), "w").limit(head).select("w", "n", "given").collect()  # ``head`` rows
+    tail = table.where("false")
+    if len(first) == head:
+        n, w = (first[-1]["n"], first[-1]["w"]) if first else (None, None)
+        tail = table if n is None else table.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("w") > w)))
+    return Others({r["w"]: r["given"] for r in first}, tail.select("w", "given"), [math.log(UNSEEN) - t for t in totals])
 
 
 def _round(batches: Iterator[pa.RecordBatch], model: Model, rate: float, seed: int) -> Iterator[pa.RecordBatch]:
@@ -134,10 +174,10 @@ def _round(batches: Iterator[pa.RecordBatch], model: Model, rate: float, seed: i
         yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([flat], pa.list_(pa.float32()))], names=["seen", "w"])
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, one_in: int = TRAIN_ONE_IN, rate: float = 0.5) -> Model:
-    """Vocabulary from all documents; weights by averaging what every task learns, round after round."""
+def train(docs: DataFrame, rounds: int = ROUNDS, one_in: int = TRAIN_ONE_IN, rate: float = 0.5, counts: DataFrame | None = None) -> Model:
+    """Vocabulary from all documents, or their ``counts``; weights by averaging what every task learns, round after round."""
     sc = docs.sparkSession.sparkContext
-    model = Model(vocabulary(docs), first_weights())
+    model = Model(vocabulary(count_words(docs) if counts is None else counts), first_weights())
     rows = stage(docs.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).select("text"), "lines")  # else each round reads all documents
     for k in range(rounds):
         shared = sc.broadcast(model)
@@ -149,24 +189,41 @@ def train(docs: DataFrame, rounds: int = ROUNDS, one_in: int = TRAIN_ONE_IN, rat
     return model
 
 
-def _scorer(model: Model) -> Callable[[list[str]], list]:
+def _scorer(model: Model, head: dict[str, float] | None) -> Callable[[list[str]], list]:
     code, weights = model.coder(), unpack(model.weights)
 
     def run(texts: list[str]) -> list:
-        coded = [code(t) for t in texts]
+        others: list[list[str]] = [[] for _ in texts]
+        coded = [code(t, o) for t, o in zip(texts, others, strict=True)]
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         ids = lined_up(coded)
         sums = np.r_[0.0, np.cumsum(log_probs(ids, np.flatnonzero(ids != PAD), weights))]
         ends = np.cumsum(sizes)
         total = sums[ends] - sums[ends - sizes]
-        return [sizes, total]
+        if head is None:
+            return [sizes, total]
+        total += [math.fsum(head.get(w, 0.0) for w in o) for o in others]
+        return [sizes, total, [[w for w in o if w not in head] for o in others]]
 
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def _with_others(docs: DataFrame, model: Model, others: Others) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((model, others.head))  # as large for any input
+    found = map_texts(docs, lambda: _scorer(*shared.value), "n_tokens long, log_prob double, rest array<string>", rows=64)
+    found = stage(found.withColumn("row", F.monotonically_increasing_id()), "scored")
+    unseen = F.get(F.array(*map(F.lit, others.unseen)), _class(F.col("w")))
+    each = found.select("row", F.explode("rest").alias("w")).join(others.tail, "w", "left").select("row", F.coalesce("given", unseen).alias("given"))
+    more = each.groupBy("row").agg(F.sum("given").alias("more"))
+    return found.drop("rest").join(more, "row", "left").select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("more", F.lit(0.0))).alias("log_prob"))
+
+
+def score(docs: DataFrame, model: Model, others: Others | None = None) -> DataFrame:
     """doc_id, n_tokens, log_prob (sum over its words), per_token and perplexity of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # as large for any input
-    found = map_texts(docs, lambda: _scorer(shared.value), "n_tokens long, log_prob double", rows=64)
+    if others is None:
+        shared = docs.sparkSession.sparkContext.broadcast(model)  # as large for any input
+        found = map_texts(docs, lambda: _scorer(shared.value, None), "n_tokens long, log_prob double", rows=64)
+    else:
+        found = _with_others(docs, model, others)
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
     return found.withColumn("per_token", mean).withColumn("perplexity", F.exp(-mean))

@@ -52,7 +52,9 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.train(docs))
+    counts = lm_score.count_words(docs)
+    model = lm_score.train(docs, counts=counts)
+    return lm_score.score(docs, model, lm_score.other_words(counts, model))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_quality, op4_nearest, op5_sharding, op6_simhash_dedup, op7_decontaminate, op8_packing, op9_chat_format, op10_lm_score)}
