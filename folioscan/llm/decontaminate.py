@@ -4,7 +4,8 @@ Texts are lower-cased words; their shingles of five words are hashed, repeats in
 cut into blocks: two fingerprints within ``RADIUS`` bits agree, in one block at least, but for RADIUS / BLOCKS bits, so a table of all such variants of
 every block proposes every item within the radius. Documents are looked at in windows as long as each item. A window that shares too few shingles
 with the benchmark to reach the threshold cannot match any item and gets no fingerprint; the others are looked up, and what is within the radius
-is compared exactly: the weighted Jaccard similarity of window and item, a shingle weighing as often as it occurs.
+is compared exactly: the weighted Jaccard similarity of window and item, a shingle weighing as often as it occurs. A document of fewer shingles than an
+item is its one window, compared exactly with every longer item that it shares a shingle with and that is short enough to reach the threshold.
 
 Items of fewer than five words match nothing. A null text is empty. Items are taken in parts of at most ``PART_BYTES`` of text, so what is sent to
 every task is bounded; documents are read once for each part. Equal items are all reported; of equal windows, the first.
@@ -74,6 +75,10 @@ class Index:
         self.known = np.unique(np.concatenate([np.empty(0, np.uint64), *(h for _, h in found)]))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.known & np.uint64((1 << 20) - 1)] = True
+        holders = [(np.unique(h), n) for n, (_, h) in enumerate(found)]
+        held = np.concatenate([np.empty(0, np.uint64), *(h for h, _ in holders)])
+        order = np.argsort(held, kind="stable")
+        self.held, self.holder = held[order], np.repeat(np.arange(len(holders)), [len(h) for h, _ in holders])[order]
         edges = [round(64 * b / BLOCKS) for b in range(BLOCKS + 1)]
         self.lows = np.array(edges[:-1], np.uint64)
         self.masks = np.array([(1 << hi - lo) - 1 for lo, hi in zip(edges, edges[1:], strict=False)], np.uint64)
@@ -119,8 +124,19 @@ class Index:
             for start, i in zip(starts[at].tolist(), items.tolist(), strict=True):
                 if (like := self._similarity(hashes[start : start + size], i)) >= SIMILARITY and like > best.get(i, (0.0, 0))[0]:
                     best[i] = (like, start)
+        if int(self.sizes.max()) > len(hashes) and shared[-1] > SIMILARITY * len(hashes) - 1e-9:
+            for i in self._longer(hashes):
+                if (like := self._similarity(hashes, i)) >= SIMILARITY:
+                    best[i] = (like, 0)
         return [(i, like, start) for i, (like, start) in sorted(best.items())]
 
+    def _longer(self, hashes: np.ndarray) -> list[int]:
+        """Items of more shingles than a whole text, but not of too many to be like it, that hold one of its shingles."""
+        asked = np.unique(hashes)
+        spans = zip(np.searchsorted(self.held, asked).tolist(), np.searchsorted(self.held, asked, "right").tolist(), strict=True)
+        items = np.unique(np.concatenate([self.holder[a:b] for a, b in spans]))
+        return items[(self.sizes[items] > len(hashes)) & (SIMILARITY * self.sizes[items] <= len(hashes) + 1e-9)].tolist()
+
     def _proposed(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Of the fingerprints of windows, those within the radius of an item of their size, by number, and that item; in order."""
         value, owner = self.near[size]
