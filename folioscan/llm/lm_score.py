@@ -5,12 +5,13 @@ the vocabulary. The vocabulary is the most frequent words of all documents; othe
 All other words of all documents are counted as well, so that a word's probability is that of its class times that of the word given its class: its
 count and ``UNSEEN`` among those of the class, in which all words that occur in no document are one word more, of count 0. That table is as large as
 the corpus makes it: the ``HEAD`` most frequent of its words go to every task, occurrences of the others are joined to it on Spark.
-Training is spread over Spark: in every round each task improves the shared weights on its own part of the training documents (one in
-``TRAIN_ONE_IN``, chosen by the hash of the text, so their number follows the corpus), and the weights are averaged by tokens seen. A document's score
+Training is spread over Spark: every document is trained on once over the rounds, each round taking a part of all documents by the hash of id and text,
+so that copies of a text are spread over the rounds. In a round each task improves the shared weights on its own documents, and the weights are
+averaged by tokens seen. A document's score
 is the sum of the log-probabilities of all its words, each given both sides; without the table of other words, those of their classes alone.
 
 A text without words, null included, has 0 tokens, a log-probability of 0 and no mean. Repeated rows are scored one by one. Of words equally frequent the
-alphabetically first come first. With no training text, the first weights stay.
+alphabetically first come first. With no words at all, the first weights stay.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from folioscan.llm.common import map_texts, stage
 
-REACH, VOCAB, CLASSES, WIDTH, HIDDEN, TRAIN_ONE_IN, ROUNDS = 2, 256, 64, 16, 32, 32, 3
+REACH, VOCAB, CLASSES, WIDTH, HIDDEN, ROUNDS = 2, 256, 64, 16, 32, 3
 HEAD, UNSEEN = 1 << 16, 0.5
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"  # where str.split() cuts
 PAD = 0  # stands outside a document and is never predicted
@@ -174,14 +175,18 @@ def _round(batches: Iterator[pa.RecordBatch], model: Model, rate: float, seed: i
         yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([flat], pa.list_(pa.float32()))], names=["seen", "w"])
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, one_in: int = TRAIN_ONE_IN, rate: float = 0.5, counts: DataFrame | None = None) -> Model:
+def training_part(docs: DataFrame, k: int, one_in: int) -> DataFrame:
+    """Texts of round ``k``: one document in ``one_in``, other ones in each of as many rounds."""
+    return docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(one_in)) == k % one_in).select("text")
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS, one_in: int = ROUNDS, rate: float = 0.5, counts: DataFrame | None = None) -> Model:
     """Vocabulary from all documents, or their ``counts``; weights by averaging what every task learns, round after round."""
     sc = docs.sparkSession.sparkContext
     model = Model(vocabulary(count_words(docs) if counts is None else counts), first_weights())
-    rows = stage(docs.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).select("text"), "lines")  # else each round reads all documents
     for k in range(rounds):
         shared = sc.broadcast(model)
-        learned = rows.mapInArrow(lambda b, k=k, shared=shared: _round(b, shared.value, rate / (1 + k), k), "seen long, w array<float>")
+        learned = training_part(docs, k, one_in).mapInArrow(lambda b, k=k, shared=shared: _round(b, shared.value, rate / (1 + k), k), "seen long, w array<float>")
         each = learned.select("seen", F.posexplode("w").alias("i", "v"))
         mean = each.groupBy("i").agg((F.sum(F.col("v").cast("double") * F.col("seen")) / F.sum("seen")).cast("float").alias("v")).orderBy("i").collect()  # one row per weight
         if mean:

@@ -51,3 +51,12 @@ def test_the_table_of_words_grows(spark, corpus):
     new = spark.createDataFrame([(k, f"newword{k}") for k in range(500)], "doc_id long, text string")
     small, large = (lm_score.other_words(lm_score.count_words(d), model, 50) for d in (corpus, corpus.union(new)))
     assert large.tail.count() == small.tail.count() + 500 and len(large.head) == len(small.head) == 50
+
+
+def test_every_document_is_trained_on_once(spark):
+    docs = spark.createDataFrame([(k % 50, f"text {k % 7}") for k in range(200)] + [(None, "no id"), (None, None)], "doc_id long, text string")
+    parts = [[r["text"] for r in lm_score.training_part(docs, k, lm_score.ROUNDS).collect()] for k in range(lm_score.ROUNDS)]
+    assert Counter(t for p in parts for t in p) == Counter(r["text"] for r in docs.collect()) and min(map(len, parts)) > 20
+    for text in ("one two three", "a b c d", "only this"):  # one text alone, whatever its hash
+        same = spark.createDataFrame([(k, text) for k in range(20)], "doc_id long, text string")
+        assert (lm_score.train(same).weights != lm_score.first_weights()).any()
