@@ -4,7 +4,9 @@ Pass one tokenizes each partition once, keeps every document's ids with its plac
 one number each, give every partition its first place in the whole; pass two cuts the line of ids at every multiple of the sequence length. A
 document that crosses a cut yields one piece on either side. Nothing is shuffled, and no task sees more than its own partition.
 
-A null text counts as empty: its only id is the end mark. Repeated rows are packed as often as they occur. An empty table gives no pieces.
+A null text counts as empty: its only id is the end mark. A very long text is tokenized whole and cut into as many pieces as it needs. Repeated rows are
+packed as often as they occur; null or repeated ids make no difference. Columns other than doc_id and text are not looked at. An empty table gives no
+pieces. Of the partitions' totals the driver holds one number per input partition, some 16 bytes for each 128 MB of a large table.
 """
 
 from __future__ import annotations
@@ -51,7 +53,7 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     """text -> the ids that ``tokenizers`` gives with the file ``path`` and add_special_tokens=False.
 
     A plain byte-level BPE runs through ``tiktoken``, which gives the same ids several times faster; texts that hold the string of an added token,
-    and other kinds of tokenizer, go to ``tokenizers`` itself.
+    texts that ``tiktoken`` gives up on (runs of half a million blanks and more), and other kinds of tokenizer, go to ``tokenizers`` itself.
     """
     if path not in _LOADED:
         from tokenizers import Tokenizer
@@ -67,7 +69,16 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
 
             fast = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
             added = [t.content for t in whole.get_added_tokens_decoder().values()]
-            _LOADED[path] = lambda text: slow(text) if any(t in text for t in added) else fast.encode_to_numpy(text)
+
+            def encode(text: str) -> np.ndarray:
+                if any(t in text for t in added):
+                    return slow(text)
+                try:
+                    return fast.encode_to_numpy(text)
+                except ValueError:  # its pattern ran out of stack
+                    return slow(text)
+
+            _LOADED[path] = encode
     return _LOADED[path]
 
 
