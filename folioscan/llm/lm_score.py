@@ -6,18 +6,22 @@ All other words of all documents are counted as well, so that a word's probabili
 count and ``UNSEEN`` among those of the class, in which all words that occur in no document are one word more, of count 0. That table is as large as
 the corpus makes it: the ``HEAD`` most frequent of its words go to every task, occurrences of the others are joined to it on Spark.
 Training is spread over Spark: every document is trained on once over the rounds, each round taking a part of all documents by the hash of id and text,
-so that copies of a text are spread over the rounds. In a round each task improves the shared weights on its own documents, and the weights are
-averaged by tokens seen. A document's score
+so that copies of a text are spread over the rounds. In a document the words at a ``MASKED`` share of its places, drawn anew for each, are hidden and
+predicted, all others are context. In a round each task improves the shared weights on its own documents, and the weights are averaged by words
+predicted; the weights therefore depend a little on how the table is cut into tasks, but a task that runs again learns the same. A document's score
 is the sum of the log-probabilities of all its words, each given both sides; without the table of other words, those of their classes alone.
 
-A text without words, null included, has 0 tokens, a log-probability of 0 and no mean. Repeated rows are scored one by one. Of words equally frequent the
-alphabetically first come first. With no words at all, the first weights stay.
+Words are what ``str.lower().split()`` gives, here and in every count. A text without words, null included, has 0 tokens, a log-probability of 0 and no
+mean; very long texts are scored whole. Repeated rows are scored one by one; null or repeated ids make no difference, and columns other than doc_id and
+text are not looked at. Of words equally frequent the alphabetically first come first. An empty table gives no rows; with no words at all, there is
+nothing to learn and the first weights stay.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,8 +33,7 @@ from pyspark.sql import functions as F
 from folioscan.llm.common import map_texts, stage
 
 REACH, VOCAB, CLASSES, WIDTH, HIDDEN, ROUNDS = 2, 256, 64, 16, 32, 3
-HEAD, UNSEEN = 1 << 16, 0.5
-SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"  # where str.split() cuts
+HEAD, UNSEEN, MASKED = 1 << 16, 0.5, 0.2
 PAD = 0  # stands outside a document and is never predicted
 SHAPES = ((VOCAB, WIDTH), (2 * REACH * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, VOCAB), (VOCAB,))
 
@@ -106,10 +109,11 @@ def log_probs(ids: np.ndarray, at: np.ndarray, weights: list[np.ndarray], batch:
     return out
 
 
-def improve(flat: np.ndarray, ids: np.ndarray, rng: np.random.Generator, rate: float, batch: int = 256) -> None:
-    """Stochastic gradient descent over a line of documents, in place, places in random order."""
+def improve(flat: np.ndarray, ids: np.ndarray, rng: np.random.Generator, rate: float, batch: int = 128, masked: float = 1.0) -> int:
+    """Stochastic gradient descent over a line of documents, in place, a share ``masked`` of the places in random order; how many."""
     emb, w1, b1, w2, b2 = weights = unpack(flat)
-    at = rng.permutation(np.flatnonzero(ids != PAD))
+    at = np.flatnonzero(ids != PAD)
+    at = rng.permutation(at[rng.random(len(at)) < masked])
     for i in range(0, len(at), batch):
         own = at[i : i + batch]
         sides, x, h, z = _forward(ids, own, weights)
@@ -124,6 +128,7 @@ def improve(flat: np.ndarray, ids: np.ndarray, rng: np.random.Generator, rate: f
         w1 -= x.T @ back
         b1 -= back.sum(0)
         np.subtract.at(emb, sides, down)
+    return len(at)
 
 
 @dataclass
@@ -135,10 +140,27 @@ class Others:
     unseen: list[float]
 
 
+def _counted(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Counts of words, handed on whenever more than ``most`` different ones are held."""
+    held: Counter[str] = Counter()
+
+    def told() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["w", "n"])
+        held.clear()
+        return out
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            held.update((text or "").lower().split())
+            if len(held) > most:
+                yield told()
+    if held:
+        yield told()
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(w, n): how often each word of all documents occurs, staged."""
-    words = docs.select(F.explode(F.split(F.lower("text"), SPACE)).alias("w")).where("w <> ''")
-    return stage(words.groupBy("w").agg(F.count("*").alias("n")), "words")
+    return stage(docs.select("text").mapInArrow(_counted, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
 
 
 def vocabulary(counts: DataFrame, size: int = VOCAB - CLASSES - 1) -> list[str]:
@@ -169,8 +191,7 @@ def _round(batches: Iterator[pa.RecordBatch], model: Model, rate: float, seed: i
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             ids = lined_up([code(t or "") for t in batch.column(0).slice(i, 256).to_pylist()])
-            improve(flat, ids, rng, rate)
-            seen += int(np.count_nonzero(ids))
+            seen += improve(flat, ids, rng, rate, masked=MASKED)
     if seen:
         yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([flat], pa.list_(pa.float32()))], names=["seen", "w"])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import zlib
 from collections import Counter
 
 import pytest
@@ -60,3 +61,40 @@ def test_every_document_is_trained_on_once(spark):
     for text in ("one two three", "a b c d", "only this"):  # one text alone, whatever its hash
         same = spark.createDataFrame([(k, text) for k in range(20)], "doc_id long, text string")
         assert (lm_score.train(same).weights != lm_score.first_weights()).any()
+
+
+def plain_score(text, model, plain):
+    """Word by word, in Python floats, with nothing of the module but the sizes."""
+    words, emb = text.lower().split(), None
+    sizes, flat, parts = lm_score.SHAPES, [float(v) for v in model.weights], []
+    for shape in sizes:
+        n = math.prod(shape)
+        own, flat = flat[:n], flat[n:]
+        parts.append([own[i : i + shape[1]] for i in range(0, n, shape[1])] if len(shape) == 2 else own)
+    emb, w1, b1, w2, b2 = parts
+    first_class = lm_score.VOCAB - lm_score.CLASSES
+    number = lambda w: model.words.index(w) + 1 if w in model.words else first_class + zlib.crc32(w[-3:].encode()) % lm_score.CLASSES
+    ids, total = [number(w) for w in words], 0.0
+    for k, w in enumerate(words):
+        x = [v for d in range(-lm_score.REACH, lm_score.REACH + 1) if d for v in emb[ids[k + d] if 0 <= k + d < len(ids) else lm_score.PAD]]
+        h = [math.tanh(sum(a * r[j] for a, r in zip(x, w1, strict=True)) + b1[j]) for j in range(lm_score.HIDDEN)]
+        z = [sum(a * r[j] for a, r in zip(h, w2, strict=True)) + b2[j] for j in range(lm_score.VOCAB)]
+        total += z[ids[k]] - math.log(math.fsum(map(math.exp, z)))
+        if w not in model.words:
+            ns = [n for v, n in plain.items() if v not in model.words and number(v) == ids[k]]
+            total += math.log((plain.get(w, 0) + lm_score.UNSEEN) / (sum(ns) + lm_score.UNSEEN * (len(ns) + 1)))
+    return len(words), total
+
+
+def test_scores_against_a_plain_version(spark, corpus):
+    counts = lm_score.count_words(corpus)
+    model = lm_score.train(corpus, counts=counts)
+    assert (model.weights != lm_score.first_weights()).any()
+    plain = Counter(w for r in corpus.collect() for w in (r["text"] or "").lower().split())
+    odd = spark.createDataFrame([(500, "İSTANBUL ΟΔΟΣ walk1ing Straße \x1c common3"), (501, "new words only"), (502, None)], "doc_id long, text string")
+    few = corpus.where("doc_id in (0, 1, 340, 341, 343, 344)").union(odd)
+    for head in (lm_score.HEAD, 5):
+        got = {r["doc_id"]: (r["n_tokens"], r["log_prob"]) for r in lm_score.score(few, model, lm_score.other_words(counts, model, head)).collect()}
+        for r in few.collect():
+            n, want = plain_score(r["text"] or "", model, plain)
+            assert got[r["doc_id"]][0] == n and math.isclose(got[r["doc_id"]][1], want, rel_tol=1e-4, abs_tol=1e-6)
