@@ -1,44 +1,59 @@
 """Approximate nearest neighbours by a robust-pruned directed graph.
 
-Vectors are dealt by the hash of their id into shards of about ``SHARD_ROWS``, and each shard gets a graph: points enter in random order, a greedy
-search from the middle proposes neighbours, and pruning keeps a proposal only if no kept neighbour is nearer to it by the factor ``ALPHA``, so that
-edges point in many directions. A query runs a beam search in each shard and the shards' best are merged. Searches go on in single precision, distances
-that count are computed anew in double precision from the original vectors.
+Vectors are dealt by the hash of their id into shards, and each shard gets a graph: points enter in random order, a greedy search from the middle
+proposes neighbours, and pruning keeps a proposal only if no kept neighbour is nearer to it by the factor ``ALPHA``, so that edges point in many
+directions. A query runs a beam search in each shard and the shards' best are merged. Graphs are built and searched on vectors moved to the middle of
+their shard and scaled to it, in double precision and by differences, so that far away, very large or very small vectors lose nothing; distances that
+count are computed from the original vectors.
+
+Shards hold ``SHARD_ROWS`` vectors and, from 64 shards on, more with the table, up to ``MOST_ROWS``, so that a query visits few of them. Queries are sent to
+all tasks in blocks of at most ``QUERY_BYTES``; each block reads the graphs once, and only what is found is shuffled.
 
 Equal vectors in a shard are one point of the graph, with all their ids. Vectors that are null, all zero, or hold null or non-finite components, and
 rows without an id, take no part; vectors are compared with vectors of their own length only. Rows with one id are one candidate each; as queries,
-the least of their vectors counts. Queries meet every shard in blocks of at most ``QUERY_ROWS``, so no task holds them all.
+the least of their vectors counts, and of the rows with its id only one that holds that vector is not a candidate. Ties go to the smaller id. Columns other
+than vec_id and embedding are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import stage
 
-SHARD_ROWS, QUERY_ROWS, DEGREE, BUILD_BEAM, BEAM, ALPHA = 8192, 4096, 28, 48, 72, 1.2
+SHARD_ROWS, MOST_ROWS, QUERY_BYTES, DEGREE, BUILD_BEAM, BEAM, ALPHA = 8192, 65536, 16 << 20, 28, 48, 96, 1.2
 INDEX = "dim int, shard long, ids binary, owner binary, vectors binary, edges binary, middle int"
 
 
-def _distances(x: np.ndarray, norms: np.ndarray, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Squared distances, up to the query's own norm, of each query to its row of ids."""
-    return norms[ids] - 2 * np.matmul(x[ids], q[:, :, None])[:, :, 0]
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Vectors around their middle, within -1 and 1; that middle and the scale."""
+    middle = x.mean(0) if len(x) else 0.0
+    x = x - middle
+    return x / (size := float(np.abs(x).max(initial=0.0)) or 1.0), middle, size
+
 
+def _distances(x: np.ndarray, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Squared distances of each query to its row of ids."""
+    apart = x[ids] - q[:, None, :]
+    return np.einsum("nkd,nkd->nk", apart, apart)
 
-def beam_search(x: np.ndarray, norms: np.ndarray, edges: np.ndarray, middle: int, q: np.ndarray, beam: int, at_once: int = 4) -> tuple[np.ndarray, np.ndarray]:
+
+def beam_search(x: np.ndarray, edges: np.ndarray, middle: int, q: np.ndarray, beam: int, at_once: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """For a batch of queries, all moved on in step: the ``beam`` nearest points found, nearest first, and their distances; -1 where there are none."""
     n, rows = len(q), np.arange(len(q))[:, None]
     seen = np.zeros((n, len(x) + 1), bool)  # the last column takes the place of no edge
     seen[:, [middle, -1]] = True
     ids = np.full((n, beam), -1)
-    far = np.full((n, beam), np.inf, np.float32)
-    ids[:, 0], far[:, :1] = middle, _distances(x, norms, q, np.full((n, 1), middle))
+    far = np.full((n, beam), np.inf)
+    ids[:, 0], far[:, :1] = middle, _distances(x, q, np.full((n, 1), middle))
     opened = np.ones((n, beam), bool)
     opened[:, 0] = False
     while not opened.all():
@@ -58,7 +73,7 @@ def beam_search(x: np.ndarray, norms: np.ndarray, edges: np.ndarray, middle: int
         if not keep:
             continue
         order = np.sort(order, 1)[:, -keep:]
-        d = _distances(x, norms, q, order)
+        d = _distances(x, q, order)
         d[order < 0] = np.inf
         all_ids, all_far = np.concatenate((ids, order), 1), np.concatenate((far, d), 1)
         all_opened = np.concatenate((opened, order < 0), 1)
@@ -72,23 +87,19 @@ def prune(x: np.ndarray, points: np.ndarray, proposals: np.ndarray, degree: int,
     proposals = np.where((proposals == points[:, None]), -1, proposals)
     ordered = np.sort(proposals, 1)
     ordered[:, 1:][ordered[:, 1:] == ordered[:, :-1]] = -1
-    c = x[ordered]
-    own = ((c - x[points][:, None, :]) ** 2).sum(2)
-    own[ordered < 0] = np.inf
-    order = np.argsort(own, 1, kind="stable")
-    ordered, own = np.take_along_axis(ordered, order, 1), np.take_along_axis(own, order, 1)
-    c = x[ordered]
-    squares = (c**2).sum(2)
+    c = x[ordered] - x[points][:, None, :]
+    squares = np.einsum("nkd,nkd->nk", c, c)
+    own = np.where(ordered < 0, np.inf, squares)
     between = squares[:, :, None] + squares[:, None, :] - 2 * np.matmul(c, c.transpose(0, 2, 1))
     alive = np.isfinite(own)
     out, rows = np.full((len(points), degree), -1), np.arange(len(points))
     for k in range(degree):
-        if not alive.any():
-            break
-        first = alive.argmax(1)
+        first = np.where(alive, own, np.inf).argmin(1)
         some = alive[rows, first]
+        if not some.any():
+            break
         out[some, k] = ordered[rows, first][some]
-        alive &= ~(alpha**2 * between[rows, first] <= own) | ~some[:, None]
+        alive &= ~(alpha**2 * between[rows, first] <= own) & some[:, None]
         alive[rows, first] = False
     return out
 
@@ -97,7 +108,6 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
     """(edges, middle): edges[i] are the points that point i leads to, -1 where it has fewer."""
     n = len(x)
     edges = np.full((n + 1, degree), -1, np.int32)
-    norms = (x**2).sum(1)
     middle = int(np.argmin(((x - x.mean(0)) ** 2).sum(1)))
     rng = np.random.default_rng(seed)
     order = rng.permutation(n)
@@ -105,7 +115,7 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
     done, size = 1, 8
     while done < n:
         own = order[done : done + size]
-        found, _ = beam_search(x, norms, edges, middle, x[own], beam)
+        found, _ = beam_search(x, edges, middle, x[own], beam)
         # points that enter together see each other too
         mates = own[rng.integers(0, len(own), (len(own), 8))]
         edges[own] = prune(x, own, np.concatenate((found, mates), 1), degree, alpha)
@@ -139,50 +149,73 @@ def _rows(vectors: DataFrame) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.coalesce(_valid(F.col("v")), F.lit(False))).withColumn("dim", F.size("v"))
 
 
+def _shards(rows: int, shard_rows: int) -> int:
+    return max(1, math.ceil(rows / min(max(shard_rows, rows // 64), max(shard_rows, MOST_ROWS))))
+
+
 def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per shard, staged: ids, vectors and graph as bytes."""
     rows = _rows(vectors)
     sizes = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row per length of vector
-    parts = F.element_at(F.create_map(*(F.lit(v) for d, n in sizes.items() for v in (d, max(1, math.ceil(n / shard_rows))))), F.col("dim")) if sizes else F.lit(1)
+    parts = F.element_at(F.create_map(*(F.lit(v) for d, n in sizes.items() for v in (d, _shards(n, shard_rows)))), F.col("dim")) if sizes else F.lit(1)
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id", kind="stable")
-        vectors = np.stack(rows["v"].to_list())
-        points, owner = np.unique(vectors, axis=0, return_inverse=True)
-        edges, middle = build_graph(points.astype(np.float32))
+        points, owner = np.unique(np.stack(rows["v"].to_list()), axis=0, return_inverse=True)
+        edges, middle = build_graph(scaled(points)[0])
         return pd.DataFrame([(rows["dim"].iloc[0], rows["shard"].iloc[0], rows["vec_id"].to_numpy(np.int64).tobytes(), owner.astype(np.int64).tobytes(), points.astype(np.float64).tobytes(), edges.tobytes(), middle)], columns=["dim", "shard", "ids", "owner", "vectors", "edges", "middle"])
 
     return stage(rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), parts)).groupBy("dim", "shard").applyInPandas(build, INDEX), "graphs")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest found of each query among all rows but those with its id; ties go to the smaller id."""
+def _search_shard(g: pd.Series, asked: np.ndarray, at: np.ndarray, k: int, beam: int) -> pd.DataFrame:
+    """(query_id, vec_id, score): the ``k`` nearest that the beam search of one shard finds of each query."""
+    out = []
+    ids, owner = np.frombuffer(g["ids"], np.int64), np.frombuffer(g["owner"], np.int64)
+    points = np.frombuffer(g["vectors"]).reshape(-1, int(g["dim"]))
+    small, middle, size = scaled(points)
+    edges = np.frombuffer(g["edges"], np.int32).reshape(-1, DEGREE)
+    by = np.argsort(owner, kind="stable")
+    first = np.searchsorted(owner[by], np.arange(len(points) + 1))
+    for i in range(0, len(asked), 256):
+        q = at[i : i + 256]
+        found, _ = beam_search(small, edges, int(g["middle"]), (q - middle) / size, max(beam, k + 1))
+        for own, vector, near in zip(asked[i : i + 256].tolist(), q, found, strict=True):
+            near = near[near >= 0]
+            exact = np.sqrt(((points[near] - vector) ** 2).sum(1))
+            hits = []
+            for d, p in sorted(zip(exact.tolist(), near.tolist(), strict=True)):
+                held = ids[by[first[p] : first[p + 1]]]  # in order, as ids are sorted
+                if not d and own in held:
+                    held = np.delete(held, np.searchsorted(held, own))  # the query's own row
+                hits += [(d, v) for v in held[:k].tolist()]
+                if len(hits) > k and hits[k][0] < d:
+                    break
+            out += [(own, v, d) for d, v in sorted(hits)[:k]]
+    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest found of each query among all rows but its own; ties go to the smaller id."""
     asked = stage(_rows(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")), "queries")
-    blocks = max(1, math.ceil(asked.count() / query_rows))
-    shards = index.groupBy("dim").agg(F.collect_list("shard").alias("shards"))  # one number per shard
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).join(shards, "dim").select("dim", F.explode("shards").alias("shard"), "block", "vec_id", "v")
-    graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def run(graph: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(graph) and len(asked):
-            g, dim = graph.iloc[0], int(graph["dim"].iloc[0])
-            ids, owner = np.frombuffer(g["ids"], np.int64), np.frombuffer(g["owner"], np.int64)
-            points = np.frombuffer(g["vectors"]).reshape(-1, dim)
-            small = points.astype(np.float32)
-            edges, norms = np.frombuffer(g["edges"], np.int32).reshape(-1, DEGREE), (small**2).sum(1)
-            by = np.argsort(owner, kind="stable")
-            first = np.searchsorted(owner[by], np.arange(len(points) + 1))
-            q = np.stack(asked["v"].to_list())
-            for i in range(0, len(q), 256):
-                found, _ = beam_search(small, norms, edges, int(g["middle"]), q[i : i + 256].astype(np.float32), max(beam, k + 1))
-                for own, at, near in zip(asked["vec_id"].to_numpy()[i : i + 256].tolist(), q[i : i + 256], found, strict=True):
-                    near = near[near >= 0]
-                    exact = np.sqrt(((points[near] - at) ** 2).sum(1))
-                    hits = [(d, v) for d, p in sorted(zip(exact.tolist(), near.tolist(), strict=True))[: 2 * k + 2] for v in [v for v in ids[by[first[p] : first[p + 1]]].tolist() if v != own][:k]]
-                    out += [(own, v, d) for d, v in sorted(hits)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = graphs.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInPandas(run, "query_id long, vec_id long, score double")
+    blocks = max(1, math.ceil((asked.agg(F.sum(8.0 * (F.col("dim") + 1))).first()[0] or 0) / query_bytes))
+    sc, found = index.sparkSession.sparkContext, None
+
+    def finder(shared: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for graphs in batches:
+                for _, g in graphs.iterrows():
+                    if int(g["dim"]) in shared.value:
+                        yield _search_shard(g, *shared.value[int(g["dim"])], k, beam)
+
+        return run
+
+    for b in range(blocks):
+        block: dict[int, list] = {}
+        for r in asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect():  # about query_bytes of vectors
+            block.setdefault(r["dim"], []).append((r["vec_id"], r["v"]))
+        shared = sc.broadcast({dim: (np.array([i for i, _ in own], np.int64), np.array([v for _, v in own])) for dim, own in block.items()})
+        more = index.mapInPandas(finder(shared), "query_id long, vec_id long, score double")
+        found = more if found is None else found.union(more)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -64,7 +64,7 @@ def test_nearest_recall(spark):
     want = brute(rows(vectors, "vec_id", "embedding"), {r[0] for r in rows(queries, "vec_id")}, 10)
     for size in (8192, 60):
         got = {}
-        for q, n, v, s in sorted(rows(ann.search(ann.build_index(vectors, size), queries, query_rows=7), "query_id", "rank", "vec_id", "score")):
+        for q, n, v, s in sorted(rows(ann.search(ann.build_index(vectors, size), queries, query_bytes=2000), "query_id", "rank", "vec_id", "score")):
             got.setdefault(q, []).append((s, v))
             assert n == len(got[q])
         hits = sum(len({v for _, v in want[q]} & {v for _, v in got[q]}) for q in want)
