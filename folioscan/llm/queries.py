@@ -30,7 +30,7 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"))
+    return sharding.shard(table(spark, sf_dir, "documents"), max_bytes=1 << 20)
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,16 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_quality, op4_nearest, op5_sharding, op6_simhash_dedup, op7_decontaminate, op8_packing, op9_chat_format, op10_lm_score)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_sharding": """
+WITH keyed AS (
+  SELECT doc_id, coalesce(strlen(text), 0) AS bytes, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT AS key FROM documents),
+buckets AS (
+  SELECT bits, key >> (32 - bits)::INT AS prefix, CAST(sum(bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_docs FROM keyed, range(0, 33) AS depth(bits) GROUP BY ALL),
+fits AS (SELECT * FROM buckets WHERE shard_bytes <= 1048576 OR shard_docs = 1)
+SELECT doc_id, CASE WHEN bits = 0 THEN '' ELSE right(bin(prefix + (1::BIGINT << 33)), bits::INT) END AS shard, CAST(bits AS INT) AS local_depth, shard_bytes, shard_docs, shard_bytes > 1048576 AS oversize
+FROM keyed JOIN fits ON key >> (32 - bits)::INT = prefix
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY bits) = 1
+""",
     "op9_chat_format": r"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

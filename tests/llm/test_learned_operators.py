@@ -106,17 +106,23 @@ def test_sharding(spark, documents, odd_docs, no_docs):
         assert not any(b.startswith(a) for a, b in zip(names, names[1:], strict=False)) or names == [""]
         assert all(b <= limit or n == 1 for b, n in shards.values())
         assert all(len(r["shard"]) == r["local_depth"] for r in out)
-    keys = rows(sharding.keys(documents), "key", "bytes")
-    total, limit = sum(b for _, b in keys), 8 << 10
-    depth = math.ceil(math.log2(total / limit))
-    want = {}
-    for p in range(1 << depth):
-        want |= plain_shards([x for x in keys if x[0] >> (sharding.BITS - depth) == p], depth, p, limit)
-    # a row too large for any shard keeps its whole known prefix; all others are where splitting bit by bit puts them
-    got = {(r["local_depth"], int(r["shard"], 2)): (r["shard_bytes"], r["shard_docs"]) for r in sharding.shard(documents, max_bytes=limit).collect()}
-    assert {k: v for k, v in got.items() if v[0] <= limit} == {k: v for k, v in want.items() if v[0] <= limit}
+    keys, limit = rows(sharding.keys(documents), "key", "bytes"), 8 << 10
+    want = plain_shards(keys, 0, 0, limit)  # from the root on, splitting what is over the limit and nothing else
+    out = sharding.shard(documents, max_bytes=limit)
+    got = {(r["local_depth"], int("0" + r["shard"], 2)): (r["shard_bytes"], r["shard_docs"]) for r in out.collect()}
+    assert got == want
     assert sharding.shard(no_docs).count() == 0
-    assert sharding.directory(sharding.shard(documents, max_bytes=8 << 10)).count() == len(got)
+    listed = sharding.directory(out).collect()
+    deepest = max(bits for bits, _ in want)
+    assert len(listed) == len(got) and {r["global_depth"] for r in listed} == {deepest}
+    at = 0  # where every bucket has documents, the slots follow each other
+    for r in sorted(listed, key=lambda r: r["first_slot"]):
+        assert r["first_slot"] >= at and r["slots"] == 1 << deepest - r["local_depth"] and int("0" + r["shard"], 2) << deepest - r["local_depth"] == r["first_slot"]
+        at = r["first_slot"] + r["slots"]
+    even = spark.range(330).selectExpr("id AS doc_id", "repeat('x', 100) AS text")  # buckets that fit stay whole, however uneven
+    for limit in (16_000, 17_000, 33_000):
+        got = {(r["local_depth"], int("0" + r["shard"], 2)): (r["shard_bytes"], r["shard_docs"]) for r in sharding.shard(even, max_bytes=limit).collect()}
+        assert got == plain_shards(rows(sharding.keys(even), "key", "bytes"), 0, 0, limit)
 
 
 def plain_matches(docs, items):
