@@ -1,23 +1,27 @@
 """Benchmark passages in documents.
 
 Texts are lower-cased words; their shingles of five words are hashed, repeats included. Of each benchmark item the SimHash of its shingles is kept,
-cut into blocks: two fingerprints within ``RADIUS`` bits agree, in one block at least, but for RADIUS / BLOCKS bits, so a table of all such variants of
-every block proposes every item within the radius. Documents are looked at in windows as long as each item. A window that shares too few shingles
-with the benchmark to reach the threshold cannot match any item and gets no fingerprint; the others are looked up, and what is within the radius
-is compared exactly: the weighted Jaccard similarity of window and item, a shingle weighing as often as it occurs. A document of fewer shingles than an
-item is its one window, compared exactly with every longer item that it shares a shingle with and that is short enough to reach the threshold.
-
-Items of fewer than five words match nothing. A null text is empty. Items are taken in parts of at most ``PART_BYTES`` of text, so what is sent to
-every task is bounded; documents are read once for each part. Equal items are all reported; of equal windows, the first.
+cut into ``BLOCKS`` blocks: two fingerprints within ``RADIUS`` bits differ in at most RADIUS // BLOCKS bits of one block at least, so looking up a
+fingerprint's blocks with every choice of so many bits flipped proposes every item within the radius. Documents are looked at in windows as long as each
+item. A window that shares too few shingles with the benchmark to reach the threshold cannot match any item and gets no fingerprint; the others are
+looked up, and what is within the radius is compared exactly: the weighted Jaccard similarity of window and item, a shingle weighing as often as it
+occurs. A document of fewer shingles than an item is its one window, compared exactly with every longer item that it shares a shingle with and that is
+short enough to reach the threshold. Windows of similarity 0.8 and more lie about 10 bits from their item; ``tests/llm`` measure how few lie beyond the radius.
+
+The benchmark is indexed in parts, dealt by hash; a part whose index would be over ``INDEX_BYTES`` is halved until it is not, so what is sent to every
+task is bounded. With more than one part, one pass over all documents keeps those that share enough shingles with the whole benchmark for any item,
+by a bit map of at most ``MAP_BYTES`` (hashes that meet there only keep a document too many), and the parts see those documents alone.
+
+Items of fewer than five words match nothing. A null text is empty; very long texts are looked through whole. Repeated documents are each reported.
+Equal items are all reported; of equal windows, the first. An empty benchmark or table gives no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -27,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscan.llm.common import map_texts
+from folioscan.llm.common import map_texts, stage
 
-WORDS, SIMILARITY, RADIUS, BLOCKS, PART_BYTES = 5, 0.8, 20, 7, 16 << 20
+WORDS, SIMILARITY, RADIUS, BLOCKS, PART_BYTES, INDEX_BYTES, MAP_BYTES = 5, 0.8, 17, 6, 8 << 20, 64 << 20, 32 << 20
 _WORD = re.compile(r"\w+")
 
 
@@ -63,42 +67,52 @@ def window_prints(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarr
     return out
 
 
+def least_shared(size: int) -> int:
+    """Shingles that a window must share with an item of its size: n shared of size each, and n / (2 size - n) must reach the threshold."""
+    return math.ceil(2 * size * SIMILARITY / (1 + SIMILARITY) - 1e-9)
+
+
 class Index:
     """Fingerprints and shingles of one part of the benchmark."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]) -> None:
         found = [(i, h) for i, t in items if len(h := shingle_hashes(t or ""))]
+        none = np.empty(0, np.uint64)
         self.ids = [i for i, _ in found]
-        self.bags = [Counter(h.tolist()) for _, h in found]
         self.sizes = np.array([len(h) for _, h in found], np.int64)
         self.prints = np.array([window_prints(h, np.array([0]), len(h))[0] for _, h in found], np.uint64)
-        self.known = np.unique(np.concatenate([np.empty(0, np.uint64), *(h for _, h in found)]))
+        bags = [np.unique(h, return_counts=True) for _, h in found]
+        # the items' bags of shingles in one line: item i has those from bounds[i] to bounds[i + 1]
+        self.bounds = np.cumsum([0, *(len(h) for h, _ in bags)])
+        self.bag, self.times = np.concatenate([none, *(h for h, _ in bags)]), np.concatenate([np.empty(0, np.int32), *(n.astype(np.int32) for _, n in bags)])
+        self.holder = np.repeat(np.arange(len(bags), dtype=np.int32), np.diff(self.bounds))[np.argsort(self.bag, kind="stable")]
+        self.held = np.sort(self.bag, kind="stable")
+        self.known = np.unique(self.held)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.known & np.uint64((1 << 20) - 1)] = True
-        holders = [(np.unique(h), n) for n, (_, h) in enumerate(found)]
-        held = np.concatenate([np.empty(0, np.uint64), *(h for h, _ in holders)])
-        order = np.argsort(held, kind="stable")
-        self.held, self.holder = held[order], np.repeat(np.arange(len(holders)), [len(h) for h, _ in holders])[order]
         edges = [round(64 * b / BLOCKS) for b in range(BLOCKS + 1)]
+        self.widths = [hi - lo for lo, hi in zip(edges, edges[1:], strict=False)]
         self.lows = np.array(edges[:-1], np.uint64)
-        self.masks = np.array([(1 << hi - lo) - 1 for lo, hi in zip(edges, edges[1:], strict=False)], np.uint64)
-        self.tags = np.arange(BLOCKS, dtype=np.uint64) << np.uint64(32)
-        self.near = {size: self._table(np.flatnonzero(self.sizes == size)) for size in np.unique(self.sizes).tolist()}
+        self.masks = np.array([(1 << w) - 1 for w in self.widths], np.uint64)
+        self.flips = [np.array([sum(1 << i for i in on) for n in range(RADIUS // BLOCKS + 1) for on in combinations(range(w), n)], np.uint32) for w in self.widths]
+        self.near = {size: self._tables(np.flatnonzero(self.sizes == size)) for size in np.unique(self.sizes).tolist()}
+
+    def bytes(self) -> int:
+        """What goes to every task."""
+        arrays = [self.sizes, self.prints, self.bounds, self.bag, self.times, self.holder, self.held, self.known, self.maybe]
+        return 64 * len(self.ids) + sum(a.nbytes for a in arrays) + sum(a.nbytes for tables in self.near.values() for t in tables for a in t)
 
     def _blocks(self, prints: np.ndarray) -> np.ndarray:
-        """The numbered blocks of each fingerprint, a row each."""
-        return ((prints[:, None] >> self.lows) & self.masks) | self.tags
-
-    def _table(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted block values, each that differs in RADIUS // BLOCKS bits at most from a block of an item, and that item."""
-        values, owners = [], []
-        for b, mask in enumerate(self.masks.tolist()):
-            flips = np.array([sum(1 << i for i in on) for n in range(RADIUS // BLOCKS + 1) for on in combinations(range(mask.bit_length()), n)], np.uint64)
-            values.append((self._blocks(self.prints[items])[:, b, None] ^ flips).ravel())
-            owners.append(np.repeat(items, len(flips)))
-        value, owner = np.concatenate(values), np.concatenate(owners)
-        order = np.argsort(value, kind="stable")
-        return value[order], owner[order]
+        """The blocks of each fingerprint, a row each."""
+        return ((prints[:, None] >> self.lows) & self.masks).astype(np.uint32)
+
+    def _tables(self, items: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each block the items in the order of its value, and where each value's items begin."""
+        out = []
+        for block, width in zip(self._blocks(self.prints[items]).T, self.widths, strict=True):
+            order = np.argsort(block, kind="stable")
+            out.append((items[order].astype(np.int32), np.searchsorted(block[order], np.arange((1 << width) + 1)).astype(np.int32)))
+        return out
 
     def matches(self, text: str) -> list[tuple[int, float, int]]:
         """(item, similarity, first word) of every item of which some window of the text is similar enough, at its best window."""
@@ -113,8 +127,7 @@ class Index:
         shared = np.r_[0, np.cumsum(hit)]
         best: dict[int, tuple[float, int]] = {}
         for size in self.near:
-            # n shared of size each: n / (2 size - n) must reach the threshold
-            least = math.ceil(2 * size * SIMILARITY / (1 + SIMILARITY) - 1e-9)
+            least = least_shared(size)
             if size > len(hashes) or least > shared[-1]:
                 continue
             starts = np.flatnonzero(shared[size:] - shared[:-size] >= least)
@@ -139,34 +152,107 @@ class Index:
 
     def _proposed(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Of the fingerprints of windows, those within the radius of an item of their size, by number, and that item; in order."""
-        value, owner = self.near[size]
-        asked = self._blocks(prints).ravel()
-        first = np.searchsorted(value, asked)
-        count = np.searchsorted(value, asked, "right") - first
-        found = np.flatnonzero(count)
-        count = count[found]
-        nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        pairs = np.unique(np.repeat(found // BLOCKS, count) * len(self.ids) + owner[np.repeat(first[found], count) + nth])
-        at, items = np.divmod(pairs, len(self.ids))
-        near = np.bitwise_count(prints[at] ^ self.prints[items]) <= RADIUS
-        return at[near], items[near]
+        at, items = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for (owner, first), block, flips in zip(self.near[size], self._blocks(prints).T, self.flips, strict=True):
+            asked = block[:, None] ^ flips
+            begin = first[asked]
+            count = first[asked + 1] - begin
+            row, col = np.nonzero(count)
+            count, begin = count[row, col], begin[row, col]
+            nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            own, item = np.repeat(row, count), owner[np.repeat(begin, count) + nth]
+            near = np.bitwise_count(prints[own] ^ self.prints[item]) <= RADIUS
+            at.append(own[near])
+            items.append(item[near].astype(np.int64))
+        pairs = np.unique(np.concatenate(at) * len(self.ids) + np.concatenate(items))  # blocks may propose a pair twice
+        return np.divmod(pairs, len(self.ids))
 
     def _within(self, own: np.uint64, size: int) -> list[int]:
         return self._proposed(np.array([own], np.uint64), size)[1].tolist()
 
     def _similarity(self, window: np.ndarray, item: int) -> float:
-        bag = self.bags[item]
-        both = sum(min(n, bag[h]) for h, n in Counter(window.tolist()).items() if h in bag)
+        lo, hi = self.bounds[item], self.bounds[item + 1]
+        bag, times = self.bag[lo:hi], self.times[lo:hi]
+        own, n = np.unique(window, return_counts=True)
+        at = np.minimum(np.searchsorted(bag, own), len(bag) - 1)
+        both = int(np.minimum(n, times[at])[bag[at] == own].sum())
         return both / (len(window) + int(self.sizes[item]) - both)
 
 
-def indexes(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> Iterator[Index]:
-    """One index after the other, each of a part of the benchmark that is dealt by hash and holds about ``part_bytes`` of text."""
+def indexes(benchmark: DataFrame, part_bytes: int = PART_BYTES, index_bytes: int = INDEX_BYTES) -> Iterator[Index]:
+    """One index after the other, each of a part of the benchmark that is dealt by hash, holds about ``part_bytes`` of text and has at most ``index_bytes``."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(size / part_bytes))
-    for p in range(parts):
-        own = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).select("item_id", "text").orderBy("item_id", "text")
-        yield Index([tuple(r) for r in own.collect()])  # bounded by part_bytes
+    left = [(p, parts) for p in range(parts)]
+    while left:
+        p, of = left.pop(0)
+        own = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(of)) == p).select("item_id", "text").orderBy("item_id", "text")
+        index = Index([tuple(r) for r in own.collect()])  # about part_bytes
+        if index.bytes() > index_bytes and len(set(index.ids)) > 1 and of < 1 << 40:
+            left = [(p, 2 * of), (p + of, 2 * of), *left]
+        else:
+            yield index
+
+
+class Sieve:
+    """A bit map of all shingles of the benchmark, and the sizes of its items."""
+
+    def __init__(self, bits: np.ndarray, sizes: list[int]) -> None:
+        self.bits, self.sizes = bits, sizes
+        self.mask = np.uint64(8 * len(bits) - 1)
+
+    def may_match(self, text: str) -> bool:
+        hashes = shingle_hashes(text)
+        if not len(hashes) or not self.sizes:
+            return False
+        at = hashes & self.mask
+        hit = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1)
+        shared = np.r_[0, np.cumsum(hit, dtype=np.int64)]
+        for size in self.sizes:
+            least = least_shared(size)
+            if least > shared[-1]:
+                break  # sizes come in order
+            if size <= len(hashes) and int((shared[size:] - shared[:-size]).max()) >= least:
+                return True
+        return self.sizes[-1] > len(hashes) and shared[-1] > SIMILARITY * len(hashes) - 1e-9
+
+
+def sieve(benchmark: DataFrame, map_bytes: int = MAP_BYTES) -> Sieve:
+    """The bit map is made on Spark, by tasks that each cover a stretch of it; sizes are as many as items have different lengths."""
+
+    def described(texts: list[str]) -> list:
+        return [[shingle_hashes(t).tobytes() for t in texts]]
+
+    hashed = stage(map_texts(benchmark, lambda: described, "hashes binary", ("item_id",)).select("hashes").where("length(hashes) > 0"), "items")
+    total = (hashed.agg(F.sum(F.length("hashes"))).first()[0] or 0) // 8
+    size = min(map_bytes, 1 << max(13, (32 * total // 8).bit_length()))
+
+    def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: dict[int, np.ndarray] = {}
+        for rows in batches:
+            for raw in rows["hashes"]:
+                at = np.frombuffer(raw, np.uint64) & np.uint64(8 * size - 1)
+                for page in np.unique(at >> np.uint64(16)).tolist():
+                    inside = at[at >> np.uint64(16) == page] & np.uint64(65535)
+                    np.bitwise_or.at(own.setdefault(page, np.zeros(8192, np.uint8)), (inside >> np.uint64(3)).astype(np.int64), np.uint8(1) << (inside & np.uint64(7)).astype(np.uint8))
+        for page, bits in own.items():
+            yield pd.DataFrame({"page": [page], "bits": [bits.tobytes()]})
+
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"page": rows["page"].iloc[:1], "bits": [np.bitwise_or.reduce(np.stack([np.frombuffer(b, np.uint8) for b in rows["bits"]])).tobytes()]})
+
+    bits = np.zeros(size, np.uint8)
+    for r in hashed.mapInPandas(marks, "page long, bits binary").groupBy("page").applyInPandas(merged, "page long, bits binary").collect():  # map_bytes in all
+        bits[8192 * r["page"] : 8192 * (r["page"] + 1)] = np.frombuffer(r["bits"], np.uint8)
+    return Sieve(bits, sorted(r[0] for r in hashed.select((F.length("hashes") / 8).cast("int")).distinct().collect()))
+
+
+def _passed(shared: Broadcast):
+    @F.pandas_udf(T.BooleanType())
+    def passed(texts: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.may_match(t or "") for t in texts], dtype=bool)
+
+    return passed
 
 
 def _finder(shared: Broadcast):
@@ -177,22 +263,32 @@ def _finder(shared: Broadcast):
     return lambda: run
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """(doc_id, item_id, similarity, first_word): every document that holds a benchmark item, once for each item."""
-    out = None
-    for index in indexes(benchmark, part_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        found = map_texts(docs, _finder(shared), "hits array<struct<item_id:bigint,similarity:double,first_word:bigint>>")
-        found = found.select("doc_id", F.inline("hits"))
-        out = found if out is None else out.union(found)
+    sc, out = docs.sparkSession.sparkContext, None
+    found = indexes(benchmark, part_bytes, index_bytes)
+    index, more = next(found), next(found, None)
+    if more is not None:
+        docs = stage(docs.select("doc_id", "text").where(_passed(sc.broadcast(sieve(benchmark)))("text")), "suspects")
+    for index in chain([index], [] if more is None else [more], found):
+        own = map_texts(docs, _finder(sc.broadcast(index)), "hits array<struct<item_id:bigint,similarity:double,first_word:bigint>>")
+        own = own.select("doc_id", F.inline("hits"))
+        out = own if out is None else out.union(own)
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
-    for index in indexes(benchmark, part_bytes):
-        docs = docs.where(_is_clean(docs.sparkSession.sparkContext.broadcast(index))("text"))
-    return docs
+    sc = docs.sparkSession.sparkContext
+    found = indexes(benchmark, part_bytes, index_bytes)
+    index, more = next(found), next(found, None)
+    if more is None:
+        return docs.where(_is_clean(sc.broadcast(index))("text"))
+    may = _passed(sc.broadcast(sieve(benchmark)))("text")
+    suspects = stage(docs.where(may), "suspects")
+    for index in chain([index, more], found):
+        suspects = suspects.where(_is_clean(sc.broadcast(index))("text"))
+    return docs.where(~may).union(suspects)
 
 
 def _is_clean(shared: Broadcast):
