@@ -6,7 +6,8 @@ features, a ridge regression of each language against the rest is fitted on them
 by one matrix product.
 
 Letters are lower-cased, every run of other characters counts as one space. A text that is null or has no letters is ``und`` with score 0, and so
-is every text if there is nothing to learn from. Repeated rows are scored one by one; on a tie the language first in alphabetical order wins.
+is every text if there is nothing to learn from, as with an empty table. Repeated rows are scored one by one; on a tie the language first in alphabetical
+order wins. Very long texts are read whole, piece by piece. Columns other than doc_id, text and lang are not looked at.
 """
 
 from __future__ import annotations
@@ -99,17 +100,22 @@ def _bits(texts: list[str]) -> list[list]:
     return [out]
 
 
-def train(docs: DataFrame, per_lang: int = 400, landmarks: int = 256, ridge: float = 1e-2) -> Model:
-    """A model of at most ``per_lang`` documents of each language, those with the least hash of their id, of the part that may be learned from."""
-    may = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+def train(docs: DataFrame, per_lang: int = 400, landmarks: int = 256, ridge: float = 1e-2, most_langs: int = 64) -> Model:
+    """A model of at most ``per_lang`` documents of each language, those with the least hash of their id, of the part that may be learned from.
+
+    Unlike texts with one id are different documents, ordered by the hash of the text; equal ones are learned once. With more than ``most_langs`` languages the
+    share of each falls, so that the driver is sent ``per_lang * most_langs`` rows of 8 KB at most.
+    """
+    may = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("print", F.xxhash64("text")).select("doc_id", "lang", "text", "print")
     # a share of each language that holds about three times as many, so that what meets in a language's window is as small for any input
-    sizes = may.groupBy("lang").agg(F.count("*").alias("size"))
+    sizes = stage(may.groupBy("lang").agg(F.count("*").alias("size")), "sizes")
+    per_lang = max(1, min(per_lang, per_lang * most_langs // max(1, sizes.count())))
     share = F.shiftrightunsigned(F.xxhash64("doc_id"), 32) < F.lit(3.0 * per_lang * 2**32) / F.col("size")
-    some = may.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(share)  # a row per language, as the model has a column per language
-    first = W.partitionBy("lang").orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 32), "doc_id")
-    chosen = stage(some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang).select("doc_id", "lang").distinct(), "chosen")
-    texts = may.join(chosen, ["doc_id", "lang"], "left_semi")
-    rows = map_texts(texts, lambda: _bits, "bits binary", ("doc_id", "lang")).dropDuplicates(["doc_id", "lang"]).orderBy("lang", "doc_id").collect()
+    some = may.select("doc_id", "lang", "print").join(F.broadcast(sizes), "lang").where(share)  # a row per language, as the model has a column per language
+    first = W.partitionBy("lang").orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 32), "doc_id", "print")
+    chosen = stage(some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang).select("doc_id", "lang", "print").distinct(), "chosen")
+    texts = may.join(F.broadcast(chosen), ["doc_id", "lang", "print"], "left_semi")  # per_lang rows a language
+    rows = map_texts(texts, lambda: _bits, "bits binary", ("doc_id", "lang", "print")).dropDuplicates(["doc_id", "lang", "print"]).orderBy("lang", "doc_id", "print").collect()
     return fit([r["bits"] for r in rows], [r["lang"] for r in rows], landmarks, ridge)
 
 

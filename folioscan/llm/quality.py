@@ -6,7 +6,8 @@ linear scorer over hashed character-shape n-grams learns the posteriors from a s
 score decides for every document.
 
 A document is kept from a score of 0.2 on: short clean texts give little evidence and score near one half, junk scores near 0.
-A text without words, null included, scores 0 and is rejected. Repeated rows are scored one by one. An empty table gives no rows.
+A score of exactly 0.2 is kept. A text without words, null included, scores 0 and is rejected; very long texts are measured whole. Repeated rows are
+scored one by one. Columns other than doc_id and text are not looked at. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -148,7 +149,10 @@ def fit(x: np.ndarray, good: np.ndarray, weight: np.ndarray, rounds: int = 400,
 
 
 def train(docs: DataFrame, per_class: int = 2000) -> Model:
-    """Votes are counted over all of ``docs``; the scorer is fitted on at most ``per_class`` documents of either side, those with the least hash of their id."""
+    """Votes are counted over all of ``docs``; the scorer is fitted on at most ``per_class`` documents of either side, those with the least hash of their id.
+
+    Unlike texts with one id are different documents, ordered by the hash of the text, each with its own posterior.
+    """
 
     def vote(texts: list[str]) -> list:
         return [[pattern(measures(t)[0]) for t in texts]]
@@ -156,17 +160,18 @@ def train(docs: DataFrame, per_class: int = 2000) -> Model:
     def described(texts: list[str]) -> list:
         return [[features(*measures(t)).astype(np.float16).tobytes() for t in texts]]
 
-    voted = stage(map_texts(docs, lambda: vote, "votes int"), "votes")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("print"))
+    voted = stage(map_texts(docs, lambda: vote, "votes int", ("doc_id", "print")), "votes")
     counts = {r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}  # at most 3 ** 8 rows
     good = posteriors(counts)
     if not good:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     sides = voted.sparkSession.createDataFrame(list(good.items()), "votes int, good double")
     judged = voted.where("doc_id is not null").join(F.broadcast(sides), "votes")  # a row per vote pattern
-    some = [judged.where(side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for side in ("good >= 0.5", "good < 0.5")]
-    chosen = some[0].union(some[1])
-    chosen = stage(chosen.groupBy("doc_id").agg(F.min("good").alias("good")), "chosen")
-    rows = map_texts(docs.join(chosen, "doc_id"), lambda: described, "x binary", ("doc_id", "good")).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    some = [judged.where(side).orderBy(F.xxhash64("doc_id"), "doc_id", "print").limit(per_class) for side in ("good >= 0.5", "good < 0.5")]
+    chosen = stage(some[0].union(some[1]).select("doc_id", "print", "good").distinct(), "chosen")
+    texts = docs.join(F.broadcast(chosen), ["doc_id", "print"])  # per_class rows a side
+    rows = map_texts(texts, lambda: described, "x binary", ("doc_id", "print", "good")).dropDuplicates(["doc_id", "print"]).orderBy("doc_id", "print").collect()
     if not rows:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32)
