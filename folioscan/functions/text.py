@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
+from re import _constants as sre  # the parsed form of a pattern; there is no public one
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +24,45 @@ def regex(pattern: str, ignore_case: bool = False) -> str:
     return ("(?iU)" if ignore_case else "(?U)") + pattern
 
 
+def folded(text: Column) -> Column:
+    """Lower case, with the two letters that a search without case takes for i and s."""
+    return F.translate(F.lower(text), "ıſ", "is")
+
+
+@cache
+def needed(pattern: str) -> tuple[str, ...]:
+    """Strings in lower case of which every match of a pattern holds one at least, as long as can be found; none if nothing is known."""
+
+    def best(found: list[set[str]]) -> set[str]:
+        return max((f for f in found if f and all(f)), key=lambda f: min(map(len, f)), default=set())
+
+    def of(items) -> set[str]:
+        found, run = [], ""
+        for op, value in [*items, (sre.AT, None)]:
+            if op is sre.LITERAL:
+                run += chr(value).lower()
+                continue
+            if op is sre.AT and value is not None:
+                continue  # a border or an end has no characters
+            found.append({run})
+            run = ""
+            if op is sre.SUBPATTERN:
+                found.append(of(value[3]))
+            elif op is sre.BRANCH:
+                ways = [of(way) for way in value[1]]
+                found.append(set().union(*ways) if all(ways) else set())
+            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and value[0]:
+                found.append(of(value[2]))
+        return best(found)
+
+    return tuple(sorted(of(re._parser.parse(pattern))))
+
+
+def may_match(text: Column, pattern: str) -> Column:
+    """False only for folded texts in which a pattern can't match: a plain search is many times cheaper than a pattern."""
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(n)) for n in needed(pattern)), F.lit(False)) if needed(pattern) else F.lit(True)
+
+
 def occurrences(text: Column, part: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
 
@@ -31,10 +72,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def runs(text: Column, k: int) -> Column:
-    """All runs of ``k`` characters, by an array of characters, as cutting a long string anew for each run would go over it from its start."""
-    cut = lambda chars: F.transform(F.slice(chars, 1, F.greatest(F.size(chars) - k + 1, F.lit(0))), lambda _, i: F.array_join(F.slice(chars, i + 1, k), ""))
-    return let(F.split(text, ""), cut)
+def runs(text: Column, k: int, holding: str = "") -> Column:
+    """All runs of ``k`` characters, or those that hold one of a class: a pattern that looks ahead from each character finds them in one pass over the text."""
+    some = f"(?=.{{0,{k - 1}}}[{holding}])" if holding else ""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}]){some}(?=(.{{{k}}}))"), F.lit(1))
 
 
 def clip(text: Column, n: int) -> Column:

@@ -46,7 +46,7 @@ def check_rules(units: DataFrame, rules: list[dict]) -> DataFrame:
         found.append(F.when(test, F.struct(value("gid").alias("gid"), value("gname").alias("gname"), value("rid").alias("rid"), value("name", "自定义规则").alias("name"), F.lit(pattern).alias("pattern"), F.lit(severity).alias("severity"), value("tag").alias("tag"), value("suggestion").alias("suggestion"), F.lit(r.get("ord", n)).alias("ord"))))
     if not found:
         return units.sparkSession.createDataFrame([], ISSUES)
-    rows = units.where("text <> ''").select("doc_id", "doc_type", "unit_idx", "location", "text", F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
+    rows = units.where("text <> ''").select("doc_id", "doc_type", "unit_idx", "location", "text", F.inline_outer(F.filter(F.array(*found), lambda x: x.isNotNull()))).where("pattern is not null")
     detail = F.concat(F.lit("命中自定义规则「"), "name", F.lit("」：匹配「"), "pattern", F.lit("」" + RULE_HINT))
     return _issue(rows, F.concat_ws("_", F.lit("cust"), "gid", "rid"), F.col("name"), F.col("severity"), detail, F.col("suggestion"), ("custom_rule", "custom"))
 
@@ -61,7 +61,7 @@ def check_wordbank(units: DataFrame, entries: DataFrame) -> DataFrame:
         if not live.head(1):
             return units.sparkSession.createDataFrame([], ISSUES)
         in_scope = lambda e: (e["scope"] == "all") | (e["scope"] == F.col("doc_type"))
-        rows = texts.select("*", F.inline(F.filter(bank, lambda e: F.contains(F.col("text"), e["keyword"]) & in_scope(e))))
+        rows = texts.select("*", F.inline_outer(F.filter(bank, lambda e: F.contains(F.col("text"), e["keyword"]) & in_scope(e)))).where("keyword is not null")
     else:
         at = lambda text: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: text.substr(i, F.lit(2))))
         waits = live.withColumn("pair", F.substring("keyword", 1, 2))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan import lexicon
 from folioscan.config import Config
-from folioscan.functions.text import clip, regex, strip
+from folioscan.functions.text import clip, may_match, needed, regex, strip
 from folioscan.model import HITS, hit
 
 #: Sensitivities and their levels.
@@ -27,11 +29,12 @@ def hits(text: Column, config: Config) -> Column:
 
     def first(s: Column, i: Column) -> Column:
         told = lambda p, n: F.concat(F.lit("疑似语句不通顺：命中「"), clip(F.regexp_extract(s, regex(p), 0), 40), F.lit(f"」，{n}"))
-        return F.coalesce(*(F.when(s.rlike(regex(p)), hit(r, i, told(p, n), s, config, sev or None)) for r, p, n, sev in live))
+        return F.coalesce(*(F.when(may_match(s, p) & s.rlike(regex(p)), hit(r, i, told(p, n), s, config, sev or None)) for r, p, n, sev in live))
 
-    some = "|".join(f"(?:{p.strip('^$')})" for _, p, _, _ in live)  # without anchors: necessary for any of them, sentence or whole text
     found = F.filter(F.transform(sentences(text), first), lambda x: x.isNotNull())
-    return F.when(text.rlike(regex(some)), found).otherwise(F.array().cast(HITS))
+    # a text that holds no string that some pattern needs has no sentence to look at
+    some = reduce(lambda a, b: a | b, (F.contains(text, F.lit(n)) for n in sorted({n for _, p, _, _ in live for n in needed(p)}))) if all(needed(p) for _, p, _, _ in live) else F.lit(True)
+    return F.when(some, found).otherwise(F.array().cast(HITS))
 
 
 def check(units: DataFrame, config: Config | None = None) -> DataFrame:

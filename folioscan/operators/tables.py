@@ -192,3 +192,9 @@ def merged_and_hidden(merged: DataFrame, hidden: DataFrame, cells: DataFrame, co
     part = lambda c, name: F.when(F.size(c) > 0, F.concat(F.lit(f"隐藏{name} "), _text(F.size(c)), F.lit(" 个（"), _upto(F.transform(c, lambda x: x.cast("string")), 8), F.lit("）")))
     two = keys.select("doc_id", "sheet", sheet, F.array(hit("hidden_row_col", 710, F.concat(F.lit("存在被隐藏的行列："), joined([part("r", "行"), part("c", "列")], "；")), F.lit(""), config)).alias("hits"))
     return one.union(two) if config.on("redundant_merged_cells") and config.on("hidden_row_col") else one if config.on("redundant_merged_cells") else two
+
+
+def formula_count(cells: DataFrame) -> DataFrame:
+    """(doc_id, formulas): cells that hold a formula, within the rows and columns that are looked at; documents without one have 0."""
+    near = (F.col("row") <= SCAN_ROWS) & (F.col("col") <= SCAN_COLS)
+    return cells.groupBy("doc_id").agg(F.count_if(near & F.startswith(F.coalesce("formula", F.lit("")), F.lit("="))).alias("formulas"))

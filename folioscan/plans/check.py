@@ -1,4 +1,7 @@
-"""A folder of files in, units, issues and file results out: one lazy plan."""
+"""A folder of files in, units, issues and file results out.
+
+Every file is read once and parsed once: the parsed parts are written to the shared folder, and all rules are plans over what was written.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +16,7 @@ from folioscan.operators import custom, fluency, numbering, paragraphs, tables,
 from folioscan.plans import issues
 from folioscan.sources import files as sources
 from folioscan.sources import office, pdf
+from folioscan.staging import stage
 
 
 @dataclass
@@ -80,11 +84,28 @@ def check_excel(parts: DataFrame, config: Config) -> tuple[DataFrame, list[DataF
     return units, [_structural(f, "excel") for f in found]
 
 
+@dataclass
+class Parsed:
+    """What is in a folder's files: the files and why some can't be read, parts of documents and workbooks, pages."""
+
+    files: DataFrame
+    word: DataFrame
+    excel: DataFrame
+    pages: DataFrame
+
+
+def parse(spark: SparkSession, path: str, config: Config | None = None) -> Parsed:
+    """The files of a folder, read once and staged by kind, and the parts of those that can be read, parsed once and staged."""
+    found = sources.guarded(sources.list_files(spark, path), config or Config())
+    held = stage(found.withColumn("content", F.when(F.col("error_message").isNull(), F.col("content"))), "files", ("file_type",)).select(*found.columns)
+    return Parsed(held.drop("content"), *(stage(rows(held), name) for rows, name in ((office.word_rows, "word"), (office.excel_rows, "excel"), (pdf.page_rows, "pages"))))
+
+
 def check(spark: SparkSession, path: str, config: Config | None = None, rules: list[dict] | None = None, wordbank: DataFrame | None = None) -> CheckResult:
     """Check every file of a folder. Files that can't be read have an error and no issues."""
     config = config or Config()
-    files = sources.guarded(sources.list_files(spark, path), config)
-    word, excel, pages = office.word_rows(files), office.excel_rows(files), pdf.page_rows(files)
+    parsed = parse(spark, path, config)
+    files, word, excel, pages = parsed.files, parsed.word, parsed.excel, parsed.pages
     word_units, word_found = check_word(word, config)
     excel_units, excel_found = check_excel(excel, config)
     pdf_units = pages.where("text <> ''").select("doc_id", F.lit("pdf").alias("doc_type"), F.lit("page").alias("unit_kind"), F.col("page").alias("unit_idx"), page_location(F.col("page")).alias("location"), "text")
@@ -97,6 +118,6 @@ def check(spark: SparkSession, path: str, config: Config | None = None, rules: l
     names = [x.split()[0] for x in ISSUES.split(", ")]
     found = _union([*[f.select(*names) for f in [text_issues(units, config, rules, wordbank), *word_found, *excel_found]], note_rows.select(*names)])
     scans = pdf.scanned(pages).withColumn("scan", F.lit("PDF 无文本层（疑似扫描件），无法检测"))
-    listed = files.drop("content").join(scans, "doc_id", "left").withColumn("error_message", F.coalesce("error_message", "scan")).drop("scan")
+    listed = files.join(scans, "doc_id", "left").withColumn("error_message", F.coalesce("error_message", "scan")).drop("scan")
     kept = issues.capped(found, config)
     return CheckResult(units, kept, issues.file_results(listed, kept, config))

@@ -26,6 +26,7 @@ AMOUNT_RULES = [(r"\d+(?:\.\d+)?\s+元", "数字与「元」之间夹有空格")
 SEQUENCES = [("一、", r"^\s*[一二三四五六七八九十百]{1,4}\s*、"), ("1.", r"^\s*\d{1,3}\s*[.．](?![0-9])"), ("1、", r"^\s*\d{1,3}\s*、"), ("（1）", r"^\s*[（(]\s*\d{1,3}\s*[）)]")]
 FORBIDDEN = r"(?:不得|严禁|禁止|不应|不能)\s*([^，。；,!！?？、\n]{2,16})"
 NORMS = "应当 必须 应 按照 依据 根据 遵循".split()
+CHINESE = "一-鿿"
 PUNCT = "[，。；：、！？!?,.、:;()（）「」『』【】《》“”\"'\\-—–·…]"
 
 
@@ -95,11 +96,16 @@ def amount_rules(chunks: DataFrame) -> DataFrame:
     return rules.join(chunks.agg(F.bool_or(F.col("text").rlike(regex(AMOUNT))).alias("any")).where("any")).select("pattern", "note")  # one row
 
 
+def whole_texts(chunks: DataFrame) -> DataFrame:
+    """(doc, text): the chunks of each document in order, nothing between them; ``chunks``: doc, chunk_idx, text."""
+    own = chunks.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "text"))).alias("c"))  # one text a document
+    return own.select("doc", F.array_join(F.transform("c", lambda x: x["text"]), "").alias("text"))
+
+
 def grams(texts: DataFrame, low: int = 3, high: int = 6) -> DataFrame:
-    """(doc, gram, n): runs of ``low`` to ``high`` characters that hold a Chinese one, counted within each text; ``texts``: doc, text."""
-    chinese = texts.where(F.col("text").rlike("[一-鿿]"))
-    every = chinese.select("doc", F.explode(F.concat(*(runs(F.col("text"), k) for k in range(low, high + 1)))).alias("gram"))
-    return every.where(F.col("gram").rlike("[一-鿿]")).groupBy("doc", "gram").agg(F.count("*").alias("n"))
+    """(doc, gram, n): runs of ``low`` to ``high`` characters that hold a Chinese one, counted within each document; ``texts``: doc, text."""
+    every = texts.select("doc", F.explode(F.concat(*(runs(F.col("text"), k, CHINESE) for k in range(low, high + 1)))).alias("gram"))
+    return every.groupBy("doc", "gram").agg(F.count("*").alias("n"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -109,18 +115,26 @@ def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def conflicts(counted: DataFrame, top: int = 80, least: float = 0.8, most: int = 10) -> DataFrame:
-    """(doc_a, doc_b, a, b, ratio): frequent terms of equal length in two documents that are nearly but not quite the same.
+    """(doc_a, doc_b, a, b, ratio): frequent terms of equal length in two documents that are nearly but not quite the same, from the pairs of documents in order.
 
-    Terms differ in at most a fifth of their characters, so they share some character at the same place but for shifts; each document has ``top``
-    terms, which bounds the join of terms of equal length.
+    Terms of fewer than ten characters of which at least 0.8 match, in order, share all but one: they meet on what is left when one character is taken
+    out. Distinct terms are joined, not documents; then each pair of terms finds its first two documents.
     """
+    if least < 0.8:
+        raise ValueError("terms that are less alike may differ in more than one character")
     rank = F.row_number().over(W.partitionBy("doc").orderBy(F.desc("n"), "gram"))
-    terms = counted.where("n >= 2").withColumn("r", rank).where(F.col("r") <= top).withColumn("len", F.length("gram"))
-    a, b = (terms.select(F.col("doc").alias(f"doc_{s}"), F.col("gram").alias(s), "len", F.col("r").alias(f"r_{s}")) for s in "ab")
-    pairs = a.join(b, "len").where("doc_a < doc_b and a <> b").where("substring(a, 1, len - 1) <> substring(b, 2) and substring(a, 2) <> substring(b, 1, len - 1)")
-    found = pairs.withColumn("ratio", likeness("a", "b")).where(F.col("ratio") >= least).withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b"))
-    once = found.groupBy("x", "y").agg(F.min(F.struct("doc_a", "doc_b", "r_a", "r_b", "a", "b", "ratio")).alias("f"))
-    return once.orderBy("f.doc_a", "f.doc_b", "f.r_a", "f.r_b").limit(most).select("f.doc_a", "f.doc_b", "f.a", "f.b", "f.ratio")
+    terms = counted.where("n >= 2 and length(gram) < 10").withColumn("r", rank).where(F.col("r") <= top).select("doc", "gram", "r")
+    spans = terms.groupBy("gram").agg(F.min(F.struct("doc", "r")).alias("first"), F.max("doc").alias("last"))
+    cut = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("gram")), lambda i: F.concat(F.substring("gram", F.lit(1), i - 1), F.lit("\u0000"), F.substring("gram", i + 1, F.length("gram")))))
+    left = F.explode(F.transform(cut, lambda c: F.struct(F.replace(c, F.lit("\u0000"), F.lit("")).alias("rest"), F.length("gram").alias("len"))))
+    meets = spans.select("gram", left.alias("k")).distinct()
+    both = meets.select(F.col("gram").alias("a"), "k").join(meets.select(F.col("gram").alias("b"), "k"), "k").where("a <> b").where("substring(a, 1, k.len - 1) <> substring(b, 2) and substring(a, 2) <> substring(b, 1, k.len - 1)").select("a", "b").distinct()
+    alike = both.withColumn("ratio", likeness("a", "b")).where(F.col("ratio") >= least)
+    # the first document of a, if b is in a later one; then the first of those
+    known = alike.join(spans.select(F.col("gram").alias("a"), F.col("first.doc").alias("doc_a"), F.col("first.r").alias("r_a")), "a").join(spans.select(F.col("gram").alias("b"), "last"), "b").where("doc_a < last")
+    later = known.join(terms.select(F.col("gram").alias("b"), F.col("doc").alias("doc_b"), F.col("r").alias("r_b")), "b").where("doc_a < doc_b")
+    once = later.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min(F.struct("doc_a", "doc_b", "r_a", "r_b", "a", "b", "ratio")).alias("f"))
+    return once.orderBy("f.doc_a", "f.doc_b", "f.r_a", "f.r_b", "x", "y").limit(most).select("f.doc_a", "f.doc_b", "f.a", "f.b", "f.ratio")
 
 
 def tag_of(keyword: Column, default: str = "笔误警示") -> Column:

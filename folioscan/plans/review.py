@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscan.functions.text import clip, let, runs, strip
+from folioscan.plans.rules import compiles, filter_batch
 
 #: Fixed value: kinds of findings of a reviewer.
 CATEGORIES = ("用词不当", "句型语病", "错别字", "数据错误", "表格计算", "逻辑矛盾", "内容缺失", "规范不符", "其他")
@@ -23,9 +24,11 @@ ANSWER = "array<struct<quote:string,category:string,issue:string,detail:string,s
 def chunks(blocks: DataFrame, max_chars: int = 3000, max_requests: int = 20) -> DataFrame:
     """(doc_id, chunk, location, text, chars): blocks put together in order until one more would be over ``max_chars``; line breaks don't count.
 
-    ``blocks``: doc_id, seq, location, text. Each document is folded over its own blocks; a block that is too large is a chunk of its own.
+    ``blocks``: doc_id, seq, location, text. Each document is folded over its own blocks; a block that is too large is a chunk of its own. A chunk holds at
+    most ``max_chars`` if every block counts as that much at most, so blocks that come after ``max_requests`` times as many are in no request and aren't collected.
     """
-    rows = blocks.where("text <> ''").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "location", "text"))).alias("b"))
+    before = F.coalesce(F.sum(F.least(F.length("text"), F.lit(max_chars))).over(W.partitionBy("doc_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = blocks.where("text <> ''").withColumn("_before", before).where(F.col("_before") <= max_requests * max_chars).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "location", "text"))).alias("b"))
     # the fold keeps numbers only: chunk number of each block
     start = F.struct(F.lit(-1).alias("k"), F.lit(0).alias("chars"), F.array().cast("array<int>").alias("ks"))
 
@@ -53,15 +56,23 @@ def grounded(quote: Column, source: Column, shingle: int = 8) -> Column:
     return F.when((F.coalesce(quote, F.lit("")) == "") | (F.coalesce(source, F.lit("")) == ""), True).otherwise((q != "") & (F.contains(s, q) | any_run))
 
 
-def ground_in_corpus(quotes: DataFrame, docs: DataFrame, shingle: int = 8) -> DataFrame:
-    """(quote_id, doc_id): documents that hold a quote whole, found by the quote's first ``shingle`` characters; shorter quotes are left out.
+def ground_in_corpus(quotes: DataFrame, docs: DataFrame, shingle: int = 8, most_sent: int = 200_000) -> DataFrame:
+    """(quote_id, doc_id): documents that hold a quote whole, white space and marks aside; quotes without letters or digits are in none.
 
-    Documents are cut into runs of that length, so the join is on equality and no pair of quote and document is formed without a shared run.
+    Each quote waits at its first ``shingle`` characters, or all of them if it is shorter, and documents are cut into runs of the lengths that are asked for, so
+    no pair of quote and document is formed without a shared run. Up to ``most_sent`` quotes go to all tasks, and documents stay where they are; more of them are
+    joined on the run, and texts are fetched for what meets.
     """
-    asked = quotes.select("quote_id", bare(F.col("quote")).alias("q")).where(F.length("q") >= shingle).withColumn("run", F.substring("q", 1, shingle))
-    texts = docs.select("doc_id", bare(F.col("text")).alias("s")).where(F.length("s") >= shingle)
-    meets = texts.select("doc_id", F.explode(F.array_distinct(runs(F.col("s"), shingle))).alias("run")).join(asked, "run").select("doc_id", "quote_id", "q").distinct()
-    return meets.join(texts, "doc_id").where("contains(s, q)").select("quote_id", "doc_id").distinct()
+    asked = quotes.select("quote_id", bare(F.col("quote")).alias("q")).where("q <> ''").withColumn("run", F.substring("q", 1, shingle))
+    texts = docs.select("doc_id", bare(F.col("text")).alias("s"))
+    lengths = [r[0] for r in asked.select(F.length("run")).distinct().collect()]  # at most ``shingle`` rows
+    cut = F.array_distinct(F.concat(*(runs(F.col("s"), k) for k in lengths))) if lengths else F.array().cast("array<string>")
+    if asked.limit(most_sent + 1).count() <= most_sent:
+        found = texts.select("doc_id", "s", F.explode(cut).alias("run")).join(F.broadcast(asked), "run").where("contains(s, q)")
+    else:
+        met = texts.select("doc_id", F.explode(cut).alias("run")).join(asked, "run").select("doc_id", "quote_id", "q").distinct()
+        found = met.join(texts, "doc_id").where("contains(s, q)")
+    return found.select("quote_id", "doc_id").distinct()
 
 
 def parse_answers(answers: DataFrame) -> DataFrame:
@@ -203,12 +214,62 @@ def diff_pairs(pairs: DataFrame, width: int = 300) -> DataFrame:
     return pairs.select("pair_id", F.posexplode(text_changes("old_text", "new_text")).alias("n", "d")).select("pair_id", "n", short(F.col("d.old")).alias("old"), short(F.col("d.new")).alias("new"))
 
 
+#: The most entries of a generated bank and the most rules of an answer, and the name of a bank without one.
+MOST_ENTRIES, MOST_RULES, BANK_NAME = 40, 30, "AI 生成词库"
+GENERATED = "wordbanks array<struct<name:string,entries:array<struct<keyword:string,tag:string,suggestion:string>>>>, rules array<struct<name:string,match_mode:string,pattern:string,severity:string,suggestion:string>>"
+
+
+def unwrapped(pattern: Column) -> Column:
+    """A pattern without the quotes, or r and quotes, that it is wrapped in."""
+    quotes = lambda p, lead: p.rlike(rf"(?s)^{lead}(?:'.*'|\".*\")$") & (F.length(p) >= 2 + len(lead))
+    inside = lambda p, lead: p.substr(F.lit(2 + len(lead)), F.length(p) - 2 - len(lead))
+    bare_r = lambda p: F.when(quotes(p, "r"), inside(p, "r")).otherwise(p)
+    once_ = bare_r(strip(pattern))
+    return F.when(quotes(once_, ""), inside(once_, "")).otherwise(once_)
+
+
+def generated(answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Banks (id, bank, n, name, keyword, tag, suggestion), rules (id, n, name, match_mode, pattern, severity, suggestion) and failures (id, error) of answers.
+
+    ``answers``: id, json, as ``repaired`` gives it. An answer with a regex that can't be compiled fails as a whole.
+    """
+    value = lambda c: strip(F.coalesce(c, F.lit("")))
+    read = answers.select("id", F.from_json("json", GENERATED).alias("a")).select("id", F.col("a.wordbanks").alias("banks"), F.slice(F.coalesce("a.rules", F.array().cast(GENERATED.split(", rules ")[1])), 1, MOST_RULES).alias("rules"))
+    rules = read.select("id", F.posexplode("rules").alias("n", "r")).select("id", "n", value(F.col("r.name")).alias("name"), unwrapped(F.coalesce("r.pattern", F.lit(""))).alias("pattern"), F.coalesce("r.match_mode", F.lit("keyword")).alias("match_mode"), F.coalesce("r.severity", F.lit("medium")).alias("severity"), value(F.col("r.suggestion")).alias("suggestion"))
+    rules = rules.where("name <> '' and pattern <> ''").withColumn("match_mode", F.when(F.col("match_mode").isin("keyword", "regex"), F.col("match_mode")).otherwise("keyword")).withColumn("_bad", (F.col("match_mode") == "regex") & ~compiles("pattern"))
+    failed = rules.where("_bad").groupBy("id").agg(F.min_by("name", "n").alias("name")).select("id", F.concat(F.lit("规则「"), "name", F.lit("」的正则无法编译")).alias("error"))
+    severity = F.when(F.col("severity").isin("low", "medium", "high"), F.col("severity")).otherwise("medium")
+    good = rules.join(failed, "id", "left_anti").select("id", "n", clip(F.col("name"), 40).alias("name"), "match_mode", clip(F.col("pattern"), 200).alias("pattern"), severity.alias("severity"), clip(F.col("suggestion"), 120).alias("suggestion"))
+    bank = read.select("id", F.posexplode("banks").alias("bank", "b")).select("id", "bank", value(F.col("b.name")).alias("name"), F.posexplode(F.slice("b.entries", 1, MOST_ENTRIES)).alias("n", "e"))
+    bank = bank.withColumn("keyword", value(F.col("e.keyword"))).where("keyword <> ''").join(failed, "id", "left_anti")
+    name = clip(F.when(F.col("name") != "", F.col("name")).otherwise(BANK_NAME), 30)
+    return bank.select("id", "bank", "n", name.alias("name"), clip(F.col("keyword"), 80).alias("keyword"), clip(value(F.col("e.tag")), 40).alias("tag"), clip(value(F.col("e.suggestion")), 120).alias("suggestion")), good, failed
+
+
+def learn(proposed: DataFrame, existing: DataFrame, sample_id: str) -> tuple[DataFrame, DataFrame]:
+    """What a sample taught: records that pass the checks of H4 and H5 and repeat nothing, linked to the sample, and the others with the reason.
+
+    ``proposed``: entity_id, kind (wordbank or rule), ord, name, match_mode (null for entries), pattern, suggestion, severity.
+    """
+    kind = F.col("kind") == "wordbank"
+    # standard terms may be entries; rules are checked in full
+    checked = [filter_batch(proposed.where(which), existing if full else existing.where("kind <> 'suggestion'"), dedup=True) for which, full in ((kind, False), (~kind, True))]
+    both = checked[0].unionByName(checked[1])
+    kept = both.where("kept").drop("reason", "kept").withColumns({"sample_id": F.lit(sample_id), "status": F.lit("enabled"), "group_id": F.when(kind, "learned_words").otherwise("learned_rules")})
+    return kept, both.where("not kept").drop("kept")
+
+
 def merge_learned(records: DataFrame, accepted: DataFrame) -> DataFrame:
     """Learned records that are not there yet, by kind and pattern, put behind those that are."""
     fresh = accepted.join(records.select("kind", "pattern"), ["kind", "pattern"], "left_anti")
     return records.unionByName(fresh, allowMissingColumns=True)
 
 
+def append_log(entries: DataFrame, path: str) -> None:
+    """Put entries (ts, event, ...) behind those of a log of JSON lines; ``issues.page_of_log`` reads it."""
+    entries.write.mode("append").json(path)
+
+
 def learned_stats(records: DataFrame) -> DataFrame:
     """(kind, status, records)."""
     return records.groupBy("kind", "status").agg(F.count("*").alias("records"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscan import lexicon
+from folioscan.config import RULES, Config
 from folioscan.functions.text import strip
 
 #: Characters that are noise alone.
@@ -149,3 +150,30 @@ def clean(items: DataFrame, scanned: DataFrame, ids: DataFrame) -> DataFrame:
 def bank_sizes(spark: SparkSession) -> DataFrame:
     """(bank, live lines)."""
     return bank_lines(spark).groupBy("bank").agg(F.count("*").alias("entries"))
+
+
+#: Names of import groups by kind of template.
+IMPORT_NAME = "外部导入 · {} · "
+
+
+def build_import(rules: DataFrame, entries: DataFrame, rule_ids: DataFrame, entry_ids: DataFrame, existing: DataFrame, category: str = "通用") -> DataFrame:
+    """(kind, name, items): the selected rules as one group and the selected entries as another, those that ``filter_batch`` keeps; empty groups are left out.
+
+    ``rules``: id, ord, name, match_mode, pattern, severity, tag, suggestion; ``entries``: id, ord, keyword, tag, suggestion. Accepted rules count as existing for
+    entries. A selection is what somebody ticked in a list, so a group is one row.
+    """
+    own = rules.join(rule_ids.select("id").distinct(), "id", "left_semi")
+    words = entries.join(entry_ids.select("id").distinct(), "id", "left_semi").withColumns({"match_mode": F.lit(None).cast("string"), "pattern": F.col("keyword"), "name": F.col("keyword"), "severity": F.lit("low")})
+    shape = ["id", "ord", "name", "match_mode", "pattern", "severity", "tag", "suggestion"]
+    kept_rules = filter_batch(own.select(*shape), existing, dedup=True).where("kept")
+    taken = kept_rules.where("coalesce(match_mode, 'keyword') = 'keyword'").select(F.lit("keyword").alias("kind"), F.lit(None).cast("string").alias("match_mode"), _clean("pattern").alias("value"))
+    kept_words = filter_batch(words.select(*shape), existing.select("kind", "match_mode", "value").union(taken), dedup=True).where("kept")
+    every = kept_rules.withColumn("kind", F.lit("rule")).unionByName(kept_words.withColumn("kind", F.lit("entry")))
+    groups = every.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("ord", *[c for c in shape if c != "ord"]))).alias("items"))
+    return groups.select("kind", F.concat(F.lit(IMPORT_NAME.format(category)), F.size("items").cast("string"), F.lit(" 条")).alias("name"), "items")
+
+
+def enabled_by_section(spark: SparkSession, config: Config) -> DataFrame:
+    """(section, enabled, total) of the built-in rules."""
+    rows = spark.createDataFrame([(r.section, config.on(r.key)) for r in RULES.values()], "section string, live boolean")
+    return rows.groupBy("section").agg(F.count_if("live").alias("enabled"), F.count("*").alias("total"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscan import lexicon, seeds
 from folioscan.config import Config
+from folioscan.model import told
 from folioscan.operators import custom, fluency, numbering, paragraphs, tables, textnorm
 from folioscan.plans import issues, mine, review, rules
 from folioscan.seeds import CELLS_SQL, NUMBERED_SQL, PARAGRAPHS_SQL, SEEDED_SQL, quoted
@@ -36,7 +37,7 @@ def only(*on: str) -> Config:
 
 
 def flat(found: DataFrame, *keys: str) -> DataFrame:
-    return found.select(*keys, F.inline("hits")).select(*keys, "rule_key", "detail")
+    return told(found, *keys).select(*keys, "rule_key", "detail")
 
 
 def rows_sql(rows: list[tuple], names: str) -> str:
@@ -252,7 +253,7 @@ def g_sheet_shape(spark, sf):
 y AS (SELECT doc_id, col, sum(n) AS samples, count(*) AS k, bool_or(v = '文本') AS mixed, string_agg(v || ' ' || n || ' 个', '、' ORDER BY v) AS s FROM c GROUP BY ALL), w AS (SELECT doc_id, col, count(*) AS k, string_agg(v || '(' || n || ')', '、' ORDER BY v) AS s FROM f GROUP BY ALL)
 SELECT y.doc_id, y.col AS col, 'format_chaos' AS rule_key, CASE WHEN y.mixed AND y.k >= 2 THEN '该列数据类型混排（' || y.s || '），统计与排序易出错' ELSE '该列存在 ' || w.k || ' 种不同的单元格数字格式：' || w.s END AS detail FROM y JOIN w USING (doc_id, col) WHERE samples >= 3 AND (y.mixed AND y.k >= 2 OR w.k >= 3)""")
 def g_mixed_columns(spark, sf):
-    found = tables.mixed_columns(seeds.sheet_cells(spark, sf)).select("doc_id", F.inline("hits"))
+    found = told(tables.mixed_columns(seeds.sheet_cells(spark, sf)), "doc_id")
     return found.select("doc_id", (F.col("ord") - 400).alias("col"), "rule_key", "detail")
 
 
@@ -335,10 +336,13 @@ def h_mined_words(spark, sf):
     return mine.word_entries(_chunks(spark, sf)).select("keyword", "tag", "doc")
 
 
-@query(f"""WITH {SEEDED_SQL}, z AS (SELECT * FROM paras WHERE regexp_matches(text, '[\\x{{4e00}}-\\x{{9fff}}]')), g AS ({' UNION ALL '.join(f"SELECT doc_id, unnest(list_transform(range(1, length(text) - {k - 2}), lambda i: substr(text, i, {k}))) AS gram FROM z WHERE length(text) >= {k}" for k in (3, 4))})
+@query(f"""WITH {SEEDED_SQL}, z AS (SELECT doc_id, string_agg(text, '' ORDER BY unit_idx) AS text FROM paras GROUP BY doc_id),
+c AS (SELECT doc_id, unnest(l) AS c0, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(text, '') AS l FROM z)),
+w AS (SELECT doc_id, c0, {', '.join(f'lead(c0, {k}) OVER x AS c{k}' for k in range(1, 6))} FROM c WINDOW x AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, unnest([{', '.join(' || '.join(f'c{k}' for k in range(n)) for n in range(3, 7))}]) AS gram FROM w)
 SELECT doc_id AS doc, gram, count(*) AS n FROM g WHERE regexp_matches(gram, '[\\x{{4e00}}-\\x{{9fff}}]') GROUP BY ALL""")
 def h_grams(spark, sf):
-    return mine.grams(seeds.seeded(spark, sf).select(F.col("doc_id").alias("doc"), "text"), 3, 4)
+    return mine.grams(mine.whole_texts(_chunks(spark, sf)))
 
 
 # I: results -----------------------------------------------------------------------------------------------------------------------------
@@ -456,13 +460,27 @@ def j_repaired_json(spark, sf):
 
 @query()
 def h_term_conflicts(spark, sf):
-    texts = seeds.seeded(spark, sf).where("text rlike '[一-鿿]'").select(F.concat(F.lit("d"), (F.col("doc_id") % 5).cast("string")).alias("doc"), "text")
-    return mine.conflicts(mine.grams(texts))
+    return mine.conflicts(mine.grams(mine.whole_texts(_chunks(spark, sf))))
 
 
-@query()
+_ENDS = ["2024年1月2日", "2024-01-02", " 12 元", "\n1. x\n2、y\n一、z"]
+
+
+def _styles_sql(kinds: list[tuple[str, str]], count: str, least: int) -> str:
+    """Styles in use with their counts, the most frequent being main, if there are ``least`` uses and two styles."""
+    rows = " UNION ALL ".join(f"SELECT {i} AS k, {quoted(n)} AS style, {count.format(quoted(p))} AS n" for i, (n, p) in enumerate(kinds))
+    return f"(SELECT style, n, k = first(k) OVER (ORDER BY n DESC, k) AS main FROM (SELECT *, sum(n) OVER () AS total, count(*) FILTER (n > 0) OVER () AS used FROM ({rows})) WHERE total >= {least} AND used > 1 AND n > 0)"
+
+
+@query(f"""WITH {SEEDED_SQL}, c AS (SELECT text || list_extract([{', '.join(quoted(e) for e in _ENDS)}], CAST(unit_idx % 4 + 1 AS BIGINT)) AS text FROM paras), l AS (SELECT trim(unnest(string_split(text, chr(10)))) AS line FROM c)
+SELECT * FROM {_styles_sql(mine.DATES, "(SELECT CAST(sum(len(regexp_extract_all(text, {}))) AS BIGINT) FROM c)", 2)}
+UNION ALL SELECT * FROM {_styles_sql([(n, p.replace("(?![0-9])", "([^0-9]|$)")) for n, p in mine.SEQUENCES], "(SELECT count(*) FROM l WHERE regexp_matches(line, {}))", 3)}
+UNION ALL SELECT note, 0, true FROM {rows_sql([(n,) for _, n in mine.AMOUNT_RULES], 'note')} WHERE (SELECT bool_or(regexp_matches(text, {quoted(mine.AMOUNT)})) FROM c)""")
 def h_mined_formats(spark, sf):
-    chunks = _chunks(spark, sf).withColumn("text", F.concat("text", F.get(F.array(*map(F.lit, ["2024年1月2日", "2024-01-02", " 12 元", "\n1. x\n2、y\n一、z"])), (F.col("chunk_idx") % 4).cast("int"))))
+    chunks = _chunks(spark, sf).withColumn("text", F.concat("text", F.get(F.array(*map(F.lit, _ENDS)), (F.col("chunk_idx") % 4).cast("int"))))
     dates, numbers = mine.date_styles(chunks), mine.sequence_styles(chunks)
     rules_ = mine.amount_rules(chunks).select(F.col("note").alias("style"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("main"))
     return dates.unionByName(numbers).unionByName(rules_)
+
+
+from folioscan import more_queries  # noqa: E402, F401  registers its queries, and needs what is above

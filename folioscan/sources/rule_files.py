@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscan.functions.text import regex, strip
+from folioscan.functions.text import let, regex, strip
 
 #: Marks of comments, pairs and patterns in lines; column names by role.
 COMMENT = r"^\s*(?:#|//|;|//|--)"
@@ -85,11 +85,32 @@ def csv_rules(spark: SparkSession, path: str) -> DataFrame:
     return body.select("ord", item.alias("i")).select("ord", "i.*").where("kind = 'regex' or length(pattern) between 2 and 64")
 
 
-def wordbank_lines(lines: DataFrame) -> DataFrame:
+def csv_fields(line: Column, most: int = 16) -> Column:
+    """The fields of one line of a table, as many as there can be columns; those that are not there are null."""
+    read = F.from_csv(line, F.lit(", ".join(f"c{i} string" for i in range(most))))
+    return let(read, lambda r: F.array(*(r[f"c{i}"] for i in range(most))))
+
+
+def wordbank_import(lines: DataFrame) -> DataFrame:
+    """(ord, keyword, tag, suggestion) of an import: a table if its first line begins with keyword and holds a comma, else lines as in ``wordbank_lines``.
+
+    ``lines``: file, ord, line; a table's columns are found by name, in any order.
+    """
+    first = F.min_by("line", F.when(strip(F.col("line")) != "", F.col("ord"))).over(W.partitionBy("file"))
+    rows = lines.withColumn("_head", strip(first)).withColumn("_at", F.min(F.when(strip(F.col("line")) != "", F.col("ord"))).over(W.partitionBy("file")))
+    table = F.contains("_head", F.lit(",")) & F.startswith(F.replace(F.lower("_head"), F.lit(" "), F.lit("")), F.lit("keyword"))
+    names = F.transform(csv_fields(F.lower("_head")), lambda c: strip(F.coalesce(c, F.lit(""))))
+    value = lambda name: strip(F.coalesce(F.get(F.col("_c"), F.array_position(names, name).cast("int") - 1), F.lit("")))
+    cut = rows.where(table & (F.col("ord") > F.col("_at"))).withColumn("_c", csv_fields(F.col("line")))
+    own = cut.select("file", "ord", value("keyword").alias("keyword"), value("tag").alias("tag"), value("suggestion").alias("suggestion")).where("keyword <> ''")
+    return own.unionByName(wordbank_lines(rows.where(~F.coalesce(table, F.lit(False))).select("file", "ord", "line"), "file"))
+
+
+def wordbank_lines(lines: DataFrame, *keep: str) -> DataFrame:
     """(ord, keyword, tag, suggestion) of lines ``ord, line`` in the form keyword|tag|suggestion; # begins a comment."""
     parts = F.transform(F.split("line", r"\|"), strip)
     rows = lines.withColumn("line", strip(F.col("line"))).where("line <> '' and not startswith(line, '#')")
-    return rows.select("ord", F.get(parts, 0).alias("keyword"), F.coalesce(F.get(parts, 1), F.lit("")).alias("tag"), F.coalesce(F.get(parts, 2), F.lit("")).alias("suggestion")).where("keyword <> ''")
+    return rows.select(*keep, "ord", F.get(parts, 0).alias("keyword"), F.coalesce(F.get(parts, 1), F.lit("")).alias("tag"), F.coalesce(F.get(parts, 2), F.lit("")).alias("suggestion")).where("keyword <> ''")
 
 
 def export_items(items: DataFrame, path: str, form: str = "csv") -> None:
