@@ -69,7 +69,7 @@ def similarity(a: str, b: str, words: int = 5) -> float:
     return len(x & y) / len(x | y)
 
 
-def walk_pairs(keys: np.ndarray, roots: list[np.ndarray], bits: int, radius: int, leaf: int = 64, wide: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def walk_pairs(keys: np.ndarray, roots: list[np.ndarray], bits: int, radius: int, leaf: int = 1 << 14, wide: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of the sorted ``keys`` that differ in at most ``radius`` of their low ``bits``, below each pair of root ranges.
 
     ``roots``: arrays a_lo, a_hi, b_lo, b_hi; equal ranges mean a self-join. A frontier wider than ``wide`` is walked part by part.
@@ -104,9 +104,17 @@ def walk_pairs(keys: np.ndarray, roots: list[np.ndarray], bits: int, radius: int
         stack.append(tuple(np.concatenate(x) for x in zip(*below, strict=True)))
 
 
-def _leaves(keys: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, radius: int, bits: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _leaves(keys: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, radius: int, bits: int, most: int = 1 << 20, block: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     mask = np.uint64((1 << bits) - 1)
     counts = (a1 - a0) * (b1 - b0)
+    large = counts > block
+    for lo, hi, lo2, hi2 in zip(*(x[large].tolist() for x in (a0, a1, b0, b1)), strict=True):  # large pairs of nodes one by one, as a table
+        i, j = np.nonzero(np.bitwise_count((keys[lo:hi, None] ^ keys[None, lo2:hi2]) & mask) <= radius)
+        if lo == lo2:
+            i, j = i[i < j], j[i < j]
+        if len(i):
+            yield i + lo, j + lo2
+    a0, a1, b0, b1, counts = (x[~large] for x in (a0, a1, b0, b1, counts))
     cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(counts) // most)) + 1), len(counts)]
     for s, e in zip(cuts, cuts[1:], strict=False):
         c = counts[s:e]
@@ -177,7 +185,7 @@ def _links(batches: Iterator[pd.DataFrame], radius: int, nearest: bool) -> Itera
             pair = np.flatnonzero(cross[:-1] & (ids[:-1] % 2 == 0) & (ids[1:] == ids[:-1] + 1))
             roots = [np.r_[starts[own], starts[pair]], np.r_[ends[own], ends[pair]], np.r_[starts[own], starts[pair + 1]], np.r_[ends[own], ends[pair + 1]]]
             if nearest:
-                one, two = _spanning(len(keys), (walk_pairs(keys, roots, BITS - width, r) for r in sorted({min(radius, r) for r in (1, 3, 5, radius)})))
+                one, two = _spanning(len(keys), (walk_pairs(keys, roots, BITS - width, r) for r in sorted({min(radius, r) for r in (1, 3, radius)})))
             else:
                 least = _forest(len(keys), walk_pairs(keys, roots, BITS - width, radius))
                 one = np.flatnonzero(least != np.arange(len(keys)))
