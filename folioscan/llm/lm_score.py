@@ -165,7 +165,21 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 def vocabulary(counts: DataFrame, size: int = VOCAB - CLASSES - 1) -> list[str]:
     """The ``size`` most frequent words."""
-    return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(size).collect()]
+    return [r["w"] for r in _frequent(counts, size).orderBy(F.desc("n"), "w").limit(size).collect()]
+
+
+def _frequent(table: DataFrame, most: int) -> DataFrame:
+    """The rows among which the ``most`` frequent words are, and few others: every task would send as many to the driver.
+
+    Counts are put in eighths of a power of two, so the driver sees some hundred sums.
+    """
+    step = F.floor(8 * F.log2("n")).cast("int")
+    sums, seen = sorted(((r["k"], r["m"]) for r in table.groupBy(step.alias("k")).agg(F.count("*").alias("m")).collect()), reverse=True), 0
+    for k, m in sums:
+        seen += m
+        if seen >= most:
+            return table.where(step >= k)
+    return table
 
 
 def _class(word: Column) -> Column:
@@ -178,7 +192,7 @@ def other_words(counts: DataFrame, model: Model, head: int = HEAD) -> Others:
     totals = {r["c"]: r["n"] + UNSEEN * (r["v"] + 1) for r in rest.groupBy("c").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}  # CLASSES rows
     totals = [math.log(totals.get(c, UNSEEN)) for c in range(CLASSES)]
     table = rest.select("w", "n", (F.log(F.col("n") + UNSEEN) - F.get(F.array(*map(F.lit, totals)), F.col("c"))).alias("given"))
-    first = table.orderBy(F.desc("n"), "w").limit(head).select("w", "n", "given").collect()  # ``head`` rows
+    first = _frequent(table, head).orderBy(F.desc("n"), "w").limit(head).select("w", "n", "given").collect()  # ``head`` rows
     tail = table.where("false")
     if len(first) == head:
         n, w = (first[-1]["n"], first[-1]["w"]) if first else (None, None)

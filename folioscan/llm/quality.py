@@ -138,7 +138,7 @@ class Model:
 
 def fit(x: np.ndarray, good: np.ndarray, weight: np.ndarray, rounds: int = 400, ridge: float = 1e-4) -> Model:
     """Logistic regression on soft labels, by accelerated gradient descent."""
-    x = np.c_[x, np.ones(len(x), np.float32)]
+    x = np.c_[x, np.ones(len(x), np.float32)].astype(np.float64)  # as the weights: mixed kinds would be cast anew in every round
     w = look = np.zeros(x.shape[1])
     rate = 4 / (np.mean((x**2).sum(1)) + 1e-9)
     for t in range(rounds):
