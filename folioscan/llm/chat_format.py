@@ -7,6 +7,8 @@ for the loss.
 
 A node whose parent is not there is a root. Nodes on a cycle, or below one, are on no path and are left out. Null roles and texts count as empty, a
 null score as 0; equal sums go to the smaller leaf. Node ids must be unique within a conversation; a null conversation id is a conversation of its own.
+Very long texts are formatted whole. Repeated rows of a table by turn are turns of their own (``chains`` numbers them). Other columns are not looked at. An
+empty table gives no rows. A conversation ends up as one row, so one task holds it: that is what the output is.
 """
 
 from __future__ import annotations

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,30 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscan.staging import stage  # noqa: F401  the operators take it from here
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; where that is unset, a temporary one, if driver and executors are one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="folioscan-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or with underscores put before it a name that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}
@@ -64,6 +45,16 @@ def prefix_sums(values: Column, block: int = 256) -> Column:
     return F.when(F.size(values) > 0, let(values, lambda v: let(before(in_blocks(v)), lambda bases: sums(v, bases)))).otherwise(F.array().cast("array<long>"))
 
 
+def furthest(values: Column, block: int = 256) -> Column:
+    """For each value of an array<bigint> the greatest of those before it, -1 for none, inside the row; in blocks, as ``prefix_sums``."""
+    most = lambda v: F.coalesce(F.array_max(v), F.lit(-1).cast("long"))
+    in_blocks = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda b: most(F.slice(v, b * block + 1, block)))
+    start = F.struct(F.lit(-1).cast("long").alias("m"), F.array().cast("array<long>").alias("a"))
+    before = lambda b: F.aggregate(b, start, lambda acc, v: F.struct(F.greatest(acc["m"], v).alias("m"), F.concat(acc["a"], F.array(acc["m"])).alias("a")), lambda acc: acc["a"])
+    each = lambda v, bases: F.transform(v, lambda _, i: F.greatest(F.get(bases, F.floor(i / block).cast("int")), most(F.slice(v, F.floor(i / block).cast("int") * block + 1, i % block))))
+    return F.when(F.size(values) > 0, let(values, lambda v: let(before(in_blocks(v)), lambda bases: each(v, bases)))).otherwise(F.array().cast("array<long>"))
+
+
 def match_spans(text: Column, pattern: str, group: int = 0) -> Column:
     """Leftmost non-overlapping matches of a Java regex as array<struct<start, stop, hit>>, in code points; ``hit`` is the given group.
 
