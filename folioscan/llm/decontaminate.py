@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from folioscan.llm.common import map_texts, stage
 
-WORDS, SIMILARITY, RADIUS, BLOCKS, PART_BYTES, INDEX_BYTES, MAP_BYTES = 5, 0.8, 17, 6, 8 << 20, 64 << 20, 32 << 20
+WORDS, SIMILARITY, RADIUS, BLOCKS, PART_BYTES, INDEX_BYTES, MAP_BYTES = 5, 0.8, 20, 7, 8 << 20, 64 << 20, 32 << 20
 _WORD = re.compile(r"\w+")
 
 

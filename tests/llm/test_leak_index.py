@@ -38,7 +38,7 @@ def test_few_windows_of_the_threshold_lie_beyond_the_radius():
             seen += 1
             pa, pb = (window_prints(h, np.array([0]), len(h))[0] for h in (a, b))
             lost += int(np.bitwise_count(pa ^ pb)) > decontaminate.RADIUS
-    assert seen > 500 and lost <= 0.005 * seen
+    assert seen > 500 and lost <= 0.001 * seen
 
 
 def test_many_parts_see_only_documents_that_may_match(spark):
