@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 VISIBLE = {"\u3000": "␣(全角空格)", "\u00a0": "␣(不换行空格)", "\u200b": "·(零宽空格)", "\u200c": "·(零宽非连接)", "\u200d": "·(零宽连接)", "\ufeff": "·(BOM)", "\u000b": "⇩(垂直制表)"}
 
 
+#: The characters that are white space in Unicode.
+WHITE = "\t\n\u000b\f\r \u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends, of any script."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def regex(pattern: str, ignore_case: bool = False) -> str:
