@@ -32,13 +32,31 @@ def complete(paragraphs: DataFrame) -> DataFrame:
     return paragraphs
 
 
+def line_count(text: Column) -> Column:
+    """How many lines of a page a text takes."""
+    flat = F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return occurrences(text, "\n") + 1 + F.when(flat > 0, F.floor((flat - 1) / LINE_CHARS)).otherwise(0)
+
+
+def table_pages(paged: DataFrame, cells: DataFrame) -> DataFrame:
+    """(doc_id, tbl, page, estimated) of tables: they come after all paragraphs, and take a line for each of up to 40 rows while pages are estimated.
+
+    ``paged``: paragraphs with page and estimated; ``cells``: doc_id, tbl, row.
+    """
+    ends = paged.groupBy("doc_id").agg(F.max("page").alias("last"), F.bool_and("estimated").alias("estimated"), F.sum(line_count(F.coalesce("text", F.lit("")))).alias("lines"))
+    taken = F.sum(F.least("rows", F.lit(40))).over(W.partitionBy("doc_id").orderBy("tbl").rowsBetween(W.unboundedPreceding, 0))
+    rows = cells.groupBy("doc_id", "tbl").agg(F.max("row").alias("rows")).withColumn("taken", taken).join(ends, "doc_id", "left")
+    known = F.coalesce("estimated", F.lit(True))
+    page = F.when(known, 1 + F.floor((F.coalesce("lines", F.lit(0)) + F.col("taken")) / PAGE_LINES)).otherwise(F.col("last"))
+    return rows.select("doc_id", "tbl", page.cast("int").alias("page"), known.alias("estimated"))
+
+
 def pages(paragraphs: DataFrame) -> DataFrame:
     """``paragraphs`` with page and estimated: by line counts until the first explicit break, by page breaks from there on."""
     order = W.partitionBy("doc_id").orderBy("unit_idx")
     so_far = order.rowsBetween(W.unboundedPreceding, 0)
     text = F.coalesce("text", F.lit(""))
-    flat = F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    lines = occurrences(text, "\n") + 1 + F.when(flat > 0, F.floor((flat - 1) / LINE_CHARS)).otherwise(0)
+    lines = line_count(text)
     is_break = F.coalesce("br_page", F.lit(False)) | F.coalesce("br_last_rendered", F.lit(False))
     marked = paragraphs.withColumn("_broken", F.max(is_break).over(so_far))
     first = marked.withColumn("_lines", F.sum(F.when(~F.col("_broken"), lines).otherwise(0)).over(so_far)).withColumn("_first", F.col("_broken") & ~F.coalesce(F.lag("_broken").over(order), F.lit(False)))

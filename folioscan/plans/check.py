@@ -54,9 +54,9 @@ def check_word(parts: DataFrame, config: Config) -> tuple[DataFrame, list[DataFr
     """Units of documents and their structural findings."""
     own = paragraphs.check(office.paragraphs(parts), config)
     cells = parts.where("part = 'cell'").select("doc_id", "tbl", "row", "col", "text", "header_repeat")
-    cell_place = F.concat(F.lit("表 "), F.col("tbl").cast("string"), F.lit(" 第 "), F.col("row").cast("string"), F.lit(" 行第 "), F.col("col").cast("string"), F.lit(" 列"))
+    cell_place = F.concat(F.lit("第 "), F.col("page").cast("string"), F.lit(" 页"), F.when(F.col("estimated"), "（估算）").otherwise(""), F.lit(" · 表 "), F.col("tbl").cast("string"), F.lit(" 第 "), F.col("row").cast("string"), F.lit(" 行第 "), F.col("col").cast("string"), F.lit(" 列"))
     units = own.select("doc_id", F.lit("word").alias("doc_type"), F.lit("paragraph").alias("unit_kind"), "unit_idx", "location", "text").unionByName(
-        cells.where("trim(text) <> ''").select("doc_id", F.lit("word").alias("doc_type"), F.lit("cell").alias("unit_kind"), (F.lit(1 << 20) + F.col("tbl") * 4096 + F.col("row")).cast("int").alias("unit_idx"), cell_place.alias("location"), "text")
+        cells.where("trim(text) <> ''").join(paragraphs.table_pages(own, cells), ["doc_id", "tbl"]).select("doc_id", F.lit("word").alias("doc_type"), F.lit("cell").alias("unit_kind"), (F.lit(1 << 20) + F.col("tbl") * 4096 + F.col("row")).cast("int").alias("unit_idx"), cell_place.alias("location"), "text")
     )
     rows = office.paragraphs(parts)
     found = [own.select("doc_id", "unit_idx", "location", "hits"), tables.document_tables(cells, config).select("doc_id", "location", "hits")]
@@ -120,4 +120,6 @@ def check(spark: SparkSession, path: str, config: Config | None = None, rules: l
     scans = pdf.scanned(pages).withColumn("scan", F.lit("PDF 无文本层（疑似扫描件），无法检测"))
     listed = files.join(scans, "doc_id", "left").withColumn("error_message", F.coalesce("error_message", "scan")).drop("scan")
     kept = issues.capped(found, config)
-    return CheckResult(units, kept, issues.file_results(listed, kept, config))
+    # what a document holds: paragraphs and tables, or cells
+    contents = word.where("part in ('paragraph', 'cell')").select("doc_id").union(excel.where("part = 'cell' and value_str is not null").select("doc_id")).groupBy("doc_id").agg(F.count("*").alias("content_count"))
+    return CheckResult(units, kept, issues.without_blank(issues.file_results(listed, kept, config), contents))

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscan.functions.text import occurrences, strip
-from folioscan.operators.paragraphs import LINE_CHARS, PAGE_LINES
+from folioscan.functions.text import strip
+from folioscan.operators.paragraphs import PAGE_LINES, line_count
 from folioscan.plans.check import Parsed
 from folioscan.sources import files as sources
 
@@ -66,9 +66,7 @@ def template_chunks(parts: DataFrame) -> DataFrame:
     first = F.row_number().over(W.partitionBy("doc", "tbl", "text").orderBy("row", "col"))
     rows = rows.withColumn("_n", first).where("tbl = 0 or _n = 1")
     order = W.partitionBy("doc").orderBy("tbl", "row", "col")
-    flat = F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    lines = occurrences(F.col("text"), "\n") + 1 + F.when(flat > 0, F.floor((flat - 1) / LINE_CHARS)).otherwise(0)
-    page = 1 + F.floor(F.sum(lines).over(order.rowsBetween(W.unboundedPreceding, 0)) / PAGE_LINES)
+    page = 1 + F.floor(F.sum(line_count(F.col("text"))).over(order.rowsBetween(W.unboundedPreceding, 0)) / PAGE_LINES)
     return rows.select("doc", page.cast("int").alias("page"), F.row_number().over(order).alias("chunk_idx"), "text")
 
 

@@ -208,6 +208,12 @@ def text_changes(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([changed(x, y) for x, y in zip(old, new, strict=True)])
 
 
+def revision_pairs(sources: DataFrame, revised: DataFrame) -> DataFrame:
+    """(pair_id, old_text, new_text): each source of a sample with the sample's one revised text. ``sources``: sample_id, doc_id, text; ``revised``: sample_id, text."""
+    new = revised.select("sample_id", F.col("text").alias("new_text"))
+    return sources.join(new, "sample_id").select(F.struct("sample_id", "doc_id").alias("pair_id"), F.col("text").alias("old_text"), "new_text")
+
+
 def diff_pairs(pairs: DataFrame, width: int = 300) -> DataFrame:
     """(pair_id, n, old, new): the changes of each pair (pair_id, old_text, new_text), white space joined, clipped."""
     short = lambda c: F.substring(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), 1, width)

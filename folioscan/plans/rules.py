@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from folioscan import lexicon
 from folioscan.config import RULES, Config
 from folioscan.functions.text import strip
+from folioscan.operators import custom
 
 #: Characters that are noise alone.
 NOISE = (
@@ -177,3 +179,28 @@ def enabled_by_section(spark: SparkSession, config: Config) -> DataFrame:
     """(section, enabled, total) of the built-in rules."""
     rows = spark.createDataFrame([(r.section, config.on(r.key)) for r in RULES.values()], "section string, live boolean")
     return rows.groupBy("section").agg(F.count_if("live").alias("enabled"), F.count("*").alias("total"))
+
+
+def load_groups(spark: SparkSession, path: str, kind: str = "rules") -> DataFrame:
+    """Stored groups as the frames of ``operators.custom``; a file that is missing or broken has none. ``kind``: rules or entries."""
+    rule = "id string, name string, enabled boolean, match_mode string, pattern string, severity string, tag string, suggestion string"
+    entry = "id string, keyword string, tag string, suggestion string, enabled boolean"
+    group = f"groups array<struct<id:string,name:string,scope:string,enabled:boolean,{kind}:array<struct<{(rule if kind == 'rules' else entry).replace(' string', ':string').replace(' boolean', ':boolean')}>>>>"
+    try:
+        read = spark.read.schema(group).option("multiLine", "true").json(path)
+        found = read.select(F.posexplode("groups").alias("g", "x")).select("g", F.col("x.id").alias("gid"), F.col("x.name").alias("gname"), F.coalesce("x.scope", F.lit("all")).alias("scope"), F.coalesce("x.enabled", F.lit(True)).alias("g_enabled"), F.posexplode(f"x.{kind}").alias("n", "i"))
+    except AnalysisException:  # no such file
+        return spark.createDataFrame([], custom.RULES if kind == "rules" else custom.ENTRIES)
+    order = (F.col("g") * (1 << 16) + F.col("n")).cast("int").alias("ord")
+    live = F.coalesce("i.enabled", F.lit(True)).alias("enabled")
+    if kind == "rules":
+        return found.select("gid", "gname", "scope", "g_enabled", F.col("i.id").alias("rid"), "i.name", live, "i.match_mode", "i.pattern", "i.severity", "i.tag", "i.suggestion", order)
+    return found.select("gid", "gname", "scope", "g_enabled", F.col("i.id").alias("eid"), "i.keyword", "i.tag", "i.suggestion", live, order)
+
+
+def save_groups(rows: DataFrame, path: str, kind: str = "rules") -> None:
+    """Write such a frame as one group a line, in the form that ``load_groups`` reads; Spark puts a finished folder in the place of the old one."""
+    own = F.struct(F.col("ord"), F.col("rid" if kind == "rules" else "eid").alias("id"), *(c for c in (["name", "enabled", "match_mode", "pattern", "severity", "tag", "suggestion"] if kind == "rules" else ["keyword", "tag", "suggestion", "enabled"])))
+    groups = rows.groupBy("gid", "gname", "scope", "g_enabled").agg(F.array_sort(F.collect_list(own)).alias(kind), F.min("ord").alias("o"))  # a user's own rules
+    whole = groups.agg(F.array_sort(F.collect_list(F.struct("o", F.col("gid").alias("id"), F.col("gname").alias("name"), "scope", F.col("g_enabled").alias("enabled"), kind))).alias("groups"))
+    whole.coalesce(1).write.mode("overwrite").json(path)

@@ -239,3 +239,56 @@ def test_json_is_mended(spark):
 def test_text_changes(spark):
     pairs = spark.createDataFrame([(1, "a\nb b\nc", "a\nb  x\nc"), (2, "same", "same"), (3, "a\n\nb", "a\nnew\nb"), (4, None, "x"), (5, "q\nr", "q\n r ")], "pair_id long, old_text string, new_text string")
     assert sorted(rows(review.diff_pairs(pairs), "pair_id", "n", "old", "new")) == [(1, 0, "b b", "b x")]
+
+
+def test_tables_have_pages_and_blank_files_go(spark, tmp_path):
+    table = lambda n: "<w:tbl>" + "<w:tr><w:tc><w:p><w:r><w:t>咱们</w:t></w:r></w:p></w:tc></w:tr>" * n + "</w:tbl>"
+    (tmp_path / "long.docx").write_bytes(docx("".join(para("一" * 40) for _ in range(15)) + table(45) + table(1)))
+    (tmp_path / "blank.docx").write_bytes(docx(""))
+    (tmp_path / "clean.docx").write_bytes(docx(para("清楚的正文。")))
+    result = checks.check(spark, str(tmp_path))
+    places = {r["location"] for r in result.units.where("unit_kind = 'cell'").collect()}
+    # 15 paragraphs of two lines, 40 lines of the first table, one of the second
+    assert "第 2 页（估算） · 表 1 第 45 行第 1 列" in places and "第 2 页（估算） · 表 2 第 1 行第 1 列" in places
+    assert {r["file_name"]: r["status"] for r in result.file_results.collect()} == {"long.docx": "issue", "clean.docx": "pass"}
+
+
+def test_report_rows_and_exports(spark, tmp_path):
+    from folioscan.plans import report
+
+    at = F.lit("2024-01-02 03:04:05").cast("timestamp")
+    totals = spark.createDataFrame([(5, 2, 1, 9)], "total_files int, issue_files int, error_files int, total_issues int")
+    assert rows(report.cover(totals, at, "某人").orderBy("no"), "key", "value")[3:6] == [("发现问题总数", "9 处"), ("检测时间", "2024 年 01 月 02 日 03:04"), ("检测人", "某人")]
+    types = spark.createDataFrame([("Word", 2), ("不支持", 1)], "file_type string, files long")
+    info = dict(rows(report.basic_info(types, rules.enabled_by_section(spark, Config()), at), "key", "value"))
+    assert info["检测范围"] == "Word 文档 2 个、Excel 文档 0 个、PDF 文档 0 个、不支持格式 1 个" and info["启用规则"].startswith("Word 规则 2")
+    items = spark.createDataFrame([("invalid", "rule", "g", "n", "p", "s", "r", "学习"), ("duplicate", "bank", "f", None, "x", None, None, None)], "category string, source string, `group` string, name string, pattern string, suggestion string, reason string, source_tag string")
+    report.write_table(report.backup_table(items), str(tmp_path / "table"))
+    raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "table").glob("part-*")))
+    assert raw.startswith("﻿分类,来源".encode()) and "无效,自定义规则,g,n,p,s,r,学习".encode() in raw
+    assert rows(report.backup_lines(items)) == [("[无效] 自定义规则｜g｜n（学习）\n    匹配式：p\n    建议：s\n    原因：r",), ("[重复] 内置词库｜f｜\n    匹配式：x",)]
+    learned = spark.createDataFrame([("rule", "n", None, "p", "high", "s", True), ("wordbank", None, None, "帐号", None, "账号", False)], "kind string, name string, match_mode string, pattern string, severity string, suggestion string, enabled boolean")
+    assert rows(report.learned_lines(learned, "rules")) == [("规则名：n\n匹配模式：keyword\n匹配式：p\n级别：high\n建议替换：s\n启用：是\n---",)]
+    assert rows(report.learned_lines(learned, "wordbanks")) == [("帐号 → 账号（禁用）",)]
+    assert report.learned_table(learned, "wordbanks").columns == list(report.WORD_HEADER)
+
+
+def test_stored_groups(spark, tmp_path):
+    (tmp_path / "rules.json").write_text(json.dumps({"groups": [{"id": "g", "name": "组", "rules": [{"id": "r1", "name": "a", "match_mode": "keyword", "pattern": "咱们", "severity": "low"}, {"id": "r2", "pattern": "x", "enabled": False}]}, {"id": "h", "scope": "word", "enabled": False, "rules": []}]}, indent=2))
+    (tmp_path / "broken.json").write_text('{"groups": [')
+    read = rules.load_groups(spark, str(tmp_path / "rules.json"))
+    assert rows(read.orderBy("ord"), "gid", "scope", "g_enabled", "rid", "enabled", "pattern") == [("g", "all", True, "r1", True, "咱们"), ("g", "all", True, "r2", False, "x")]
+    assert read.schema.names == spark.createDataFrame([], custom.RULES).schema.names
+    for path in ("broken.json", "none.json"):
+        assert rules.load_groups(spark, str(tmp_path / path)).count() == 0
+    rules.save_groups(read, str(tmp_path / "saved"))
+    assert sorted(rows(rules.load_groups(spark, str(tmp_path / "saved")))) == sorted(rows(read))
+    words = spark.createDataFrame([("g", "n", "all", True, "e1", "k", "t", "s", True, 0)], custom.ENTRIES)
+    rules.save_groups(words, str(tmp_path / "words"), "entries")
+    assert rows(rules.load_groups(spark, str(tmp_path / "words"), "entries")) == rows(words)
+
+
+def test_sources_of_a_sample_against_its_revision(spark):
+    sources = spark.createDataFrame([("s", 1, "a\nb"), ("s", 2, "a\nc"), ("t", 3, "q")], "sample_id string, doc_id long, text string")
+    pairs = review.revision_pairs(sources, spark.createDataFrame([("s", "a\nB")], "sample_id string, text string"))
+    assert sorted(rows(review.diff_pairs(pairs), "pair_id.doc_id", "old", "new")) == [(1, "b", "B"), (2, "c", "B")]
