@@ -34,7 +34,7 @@ def _prefix(value: Column, dropped: Column) -> Column:
     return F.call_function("shiftright", value, dropped.cast("int"))
 
 
-def shard(docs: DataFrame, max_bytes: int = 16 << 20, fine: int = 4, deeper: int = 8) -> DataFrame:
+def shard(docs: DataFrame, max_bytes: int = 16 << 20, fine: int = 2, deeper: int = 8) -> DataFrame:
     """doc_id, shard (the bits of its bucket), local_depth, shard_bytes, shard_docs and oversize of every row."""
     open_rows = rows = stage(keys(docs), "keys")
     total = rows.agg(F.sum("bytes")).first()[0] or 0
