@@ -1,6 +1,7 @@
 """A folder of files in, units, issues and file results out.
 
-Every file is read once and parsed once: the parsed parts are written to the shared folder, and all rules are plans over what was written.
+Every file is read once and parsed once: the parsed parts are written to the shared folder, all rules run over what was written, and so are their issues,
+from which file results and all views of a report are plans.
 """
 
 from __future__ import annotations
@@ -119,7 +120,7 @@ def check(spark: SparkSession, path: str, config: Config | None = None, rules: l
     found = _union([*[f.select(*names) for f in [text_issues(units, config, rules, wordbank), *word_found, *excel_found]], note_rows.select(*names)])
     scans = pdf.scanned(pages).withColumn("scan", F.lit("PDF 无文本层（疑似扫描件），无法检测"))
     listed = files.join(scans, "doc_id", "left").withColumn("error_message", F.coalesce("error_message", "scan")).drop("scan")
-    kept = issues.capped(found, config)
+    kept = stage(issues.capped(found, config), "issues")
     # what a document holds: paragraphs and tables, or cells
     contents = word.where("part in ('paragraph', 'cell')").select("doc_id").union(excel.where("part = 'cell' and value_str is not null").select("doc_id")).groupBy("doc_id").agg(F.count("*").alias("content_count"))
     return CheckResult(units, kept, issues.without_blank(issues.file_results(listed, kept, config), contents))
