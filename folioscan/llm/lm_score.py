@@ -57,23 +57,20 @@ class Model:
     words: list[str]
     weights: np.ndarray
 
-    def coder(self) -> Callable[..., np.ndarray]:
-        """text -> token ids: 1.. for the frequent words, then the classes; words of classes are added to ``others``."""
-        ids = {w: i + 1 for i, w in enumerate(self.words)}
-        ends: dict[str, int] = {}
+    def coder(self, most: int = 1 << 18) -> Callable[..., np.ndarray]:
+        """text -> token ids: 1.. for the frequent words, then the classes; words of classes are added to ``others``. Up to ``most`` words are remembered."""
+        ids, first = {w: i + 1 for i, w in enumerate(self.words)}, VOCAB - CLASSES
 
         def code(text: str, others: list[str] | None = None) -> np.ndarray:
             out = []
             for w in text.lower().split():
                 i = ids.get(w)
                 if i is None:
-                    if others is not None:
-                        others.append(w)
-                    i = ends.get(end := w[-3:])
-                    if i is None:
-                        if len(ends) > 100_000:
-                            ends.clear()
-                        i = ends[end] = VOCAB - CLASSES + zlib.crc32(end.encode()) % CLASSES
+                    i = first + zlib.crc32(w[-3:].encode()) % CLASSES
+                    if len(ids) < most:
+                        ids[w] = i
+                if i >= first and others is not None:
+                    others.append(w)
                 out.append(i)
             return np.array(out, np.int32)
 
@@ -86,23 +83,25 @@ def lined_up(coded: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([pad, *(x for c in coded for x in (c, pad))])
 
 
-def _forward(ids: np.ndarray, at: np.ndarray, weights: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+def _forward(ids: np.ndarray, at: np.ndarray, weights: list[np.ndarray], small: bool = False) -> tuple[np.ndarray, ...]:
     emb, w1, b1, w2, b2 = weights
     sides = np.stack([ids[at + d] for d in range(-REACH, REACH + 1) if d], 1)
     x = emb[sides].reshape(len(at), -1)
     h = np.tanh(x @ w1 + b1)
     z = h @ w2
     z += b2
-    z -= z.max(1, keepdims=True)
+    if not small:
+        z -= z.max(1, keepdims=True)
     return sides, x, h, z
 
 
 def log_probs(ids: np.ndarray, at: np.ndarray, weights: list[np.ndarray], batch: int = 1024) -> np.ndarray:
     """Log-probability of the word at each place given its neighbours."""
     out = np.empty(len(at))
+    small = float(np.abs(weights[3]).sum(0).max() + np.abs(weights[4]).max()) < 60  # no sum can leave the range of exp
     for i in range(0, len(at), batch):
         own = at[i : i + batch]
-        *_, z = _forward(ids, own, weights)
+        *_, z = _forward(ids, own, weights, small)
         out[i : i + batch] = z[np.arange(len(own)), ids[own]]
         np.exp(z, out=z)
         out[i : i + batch] -= np.log(z.sum(1))
