@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import ann, chat_format, decontaminate, language_id, lm_score, packing, quality, secret_scan, sharding, simhash_dedup
+from folioscan.llm import ann, chat_format, decontaminate, language_id, lm_score, packing, prefix_trie, quality, secret_scan, sharding, simhash_dedup
 from folioscan.llm.common import table
 
 
@@ -57,7 +57,11 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(docs, model, lm_score.other_words(counts, model))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_quality, op4_nearest, op5_sharding, op6_simhash_dedup, op7_decontaminate, op8_packing, op9_chat_format, op10_lm_score)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.of_rebuilt(table(spark, sf_dir, "conversations")).drop("role", "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_quality, op4_nearest, op5_sharding, op6_simhash_dedup, op7_decontaminate, op8_packing, op9_chat_format, op10_lm_score, op11_prefix_trie)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_sharding": """
@@ -82,5 +86,33 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(12 + r + 1 + t + 11) AS BIGINT) AS formatted_chars
 FROM told GROUP BY conv_id
+""",
+    "op11_prefix_trie": r"""
+WITH said AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+    lambda c, x: list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM said)),
+mixed AS (
+  SELECT i.conv_id, 0 AS own, s.place, s.role, s.text FROM ids i JOIN said s ON s.conv_id = i.conv_id - i.conv_id % 5 AND s.place < i.h
+  UNION ALL
+  SELECT i.conv_id, 1, s.place, s.role, s.text FROM ids i JOIN said s ON s.conv_id = i.conv_id AND s.place >= i.h),
+turns AS (
+  SELECT conv_id, row_number() OVER w AS depth, strlen(text) AS bytes, list({'role': role, 'text': text}) OVER w AS path FROM mixed WINDOW w AS (PARTITION BY conv_id ORDER BY own, place)),
+prefixes AS (
+  SELECT conv_id, depth, bytes, path, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM (SELECT * FROM turns UNION ALL SELECT conv_id, 0, 0, [], FROM ids)),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY path, depth),
+linked AS (
+  SELECT n.*, (SELECT min(p.conv_id) FROM nodes p WHERE p.depth = n.depth - 1 AND p.path = n.path[:n.depth - 1]) AS parent_conv_id,
+    (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.path[:n.depth] = n.path) AS n_children
+  FROM nodes n)
+SELECT t.conv_id, t.depth, any_value(t.parent_conv_id) AS parent_conv_id, any_value(t.n_convs) AS n_convs, any_value(t.n_children) AS n_children,
+  count(*) FILTER (u.n_children = 0) AS n_leaves, CAST(sum((u.n_convs - 1) * u.bytes) AS BIGINT) AS saved_tokens, any_value(t.ends_sha256) AS ends_sha256
+FROM linked t JOIN linked u ON u.depth >= t.depth AND u.path[:t.depth] = t.path
+GROUP BY t.conv_id, t.depth
 """,
 }
