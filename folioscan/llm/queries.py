@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import ann, chat_format, decontaminate, language_id, lm_score, packing, prefix_trie, quality, secret_scan, sharding, simhash_dedup
+from folioscan.llm import ann, chat_format, decontaminate, language_id, lm_score, packing, periodic_runs, prefix_trie, quality, secret_scan, sharding, simhash_dedup
 from folioscan.llm.common import table
 
 
@@ -58,10 +58,14 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prefix_trie.of_rebuilt(table(spark, sf_dir, "conversations")).drop("role", "text")
+    return prefix_trie.of_rebuilt(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_quality, op4_nearest, op5_sharding, op6_simhash_dedup, op7_decontaminate, op8_packing, op9_chat_format, op10_lm_score, op11_prefix_trie)}
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find(periodic_runs.with_tails(table(spark, sf_dir, "documents"))))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_quality, op4_nearest, op5_sharding, op6_simhash_dedup, op7_decontaminate, op8_packing, op9_chat_format, op10_lm_score, op11_prefix_trie, op12_periodic_runs)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_sharding": """
@@ -114,5 +118,30 @@ SELECT t.conv_id, t.depth, any_value(t.parent_conv_id) AS parent_conv_id, any_va
   count(*) FILTER (u.n_children = 0) AS n_leaves, CAST(sum((u.n_convs - 1) * u.bytes) AS BIGINT) AS saved_tokens, any_value(t.ends_sha256) AS ends_sha256
 FROM linked t JOIN linked u ON u.depth >= t.depth AND u.path[:t.depth] = t.path
 GROUP BY t.conv_id, t.depth
+""",
+    "op12_periodic_runs": r"""
+WITH told AS (
+  SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS words,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+      lambda c, x: list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295) AS h
+  FROM documents),
+cut AS (SELECT row, doc_id, words, len(words) AS n, h, (h // 10) % greatest(len(words), 1) AS a, 3 + (h // 10) % 8 AS d FROM told),
+word AS (
+  SELECT row, n, i, words[CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % (1 + (n - a) // d) ELSE i END + 1] AS w
+  FROM (SELECT *, unnest(range(n)) AS i FROM cut)),
+pairs AS (SELECT x.row, x.i, y.i - x.i AS q FROM word x JOIN word y ON x.row = y.row AND x.w = y.w AND y.i > x.i AND y.i - x.i <= x.n // 3),
+stretch AS (
+  SELECT row, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT row, q, i, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS island FROM pairs) GROUP BY row, q, island),
+runs AS (SELECT row, start, length, min(q) AS period FROM stretch WHERE length >= greatest(24, 3 * q) GROUP BY row, start, length),
+told_runs AS (
+  SELECT row, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY row),
+best AS (
+  SELECT row, start, length, period, 1000 * length // period AS exponent_milli
+  FROM runs QUALIFY row_number() OVER (PARTITION BY row ORDER BY length / period DESC, start, period) = 1),
+gone AS (SELECT DISTINCT row, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT row, string_agg(w, ' ' ORDER BY i) AS text FROM word ANTI JOIN gone USING (row, i) GROUP BY row)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM told LEFT JOIN told_runs USING (row) LEFT JOIN best USING (row) LEFT JOIN kept USING (row)
 """,
 }
