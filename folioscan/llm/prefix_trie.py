@@ -147,21 +147,20 @@ def grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     zero = F.lit(0).cast("long")
     rows, turn = rows.withColumns({"mark": zero, "prev_mark": zero}), 0
     while True:
-        rows = stage(rows, "prefixes")
         kind = [*KEY, "prev", "prev_mark", "role", "text"]
-        kinds = rows.groupBy(*kind).agg(F.min("conv_id").alias("rep"), F.count("*").alias("n_convs"))
-        kinds = stage(kinds.withColumn("bytes", F.octet_length("text").cast("long")), "kinds")
+        whole = rows.groupBy(*kind).agg(F.min("conv_id").alias("rep"), F.count("*").alias("n_convs"))
+        kinds = stage(whole.withColumn("bytes", F.octet_length("text").cast("long")).drop("role", "text"), "kinds")
         several = kinds.groupBy(*KEY).agg(F.min("rep").alias("first"), F.count("*").alias("kinds")).where("kinds > 1")
         if several.isEmpty():
             return rows, kinds
         turn += 1
-        odd = kinds.join(several, KEY).where("rep != first").select(*kind)
+        odd = whole.join(several, KEY).where("rep != first").select(*kind)
         mark = F.shiftrightunsigned(F.xxhash64(F.lit(turn), *KEY), 24) + 1
         odd = stage(rows.join(odd, kind, "left_semi").select("conv_id", "depth", mark.alias("own")), "odd")
         path = W.partitionBy("conv_id").orderBy("depth")
         moved = rows.join(odd.select("conv_id").distinct(), "conv_id", "left_semi").join(odd, ["conv_id", "depth"], "left")
         moved = moved.withColumn("mark", F.col("mark") + F.sum(F.coalesce("own", zero)).over(path)).withColumn("prev_mark", F.coalesce(F.lag("mark").over(path), zero)).drop("own")
-        rows = rows.join(odd.select("conv_id").distinct(), "conv_id", "left_anti").unionByName(moved)
+        rows = stage(rows.join(odd.select("conv_id").distinct(), "conv_id", "left_anti").unionByName(moved), "prefixes")
 
 
 def _from_parents(nodes: DataFrame, total: int) -> DataFrame:
@@ -212,9 +211,10 @@ def _end_hashes(rows: DataFrame) -> DataFrame:
 
 
 def trie(turns: DataFrame, ids: DataFrame, primes: Sequence[int] = PRIMES) -> DataFrame:
-    """One row per node: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256, and role and text of its last turn.
+    """One row per node: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256.
 
     ``turns``: conv_id, place from 0 without gaps, role, text, none null; ``ids``: conv_id of every conversation, those without turns too.
+    A node is the first ``depth`` turns of conversation ``conv_id``, its smallest member.
     """
     zero, none = F.lit(0).cast("long"), F.lit("")
     top = ids.select("conv_id", zero.alias("depth"), zero.alias("fp"), zero.alias("prev"), none.alias("role"), none.alias("text"))
@@ -225,7 +225,13 @@ def trie(turns: DataFrame, ids: DataFrame, primes: Sequence[int] = PRIMES) -> Da
     below = _suffix_sums(rows.select("conv_id", *KEY), owned).groupBy(*KEY).agg(F.sum("leaf").alias("n_leaves"), F.sum("kept").alias("saved_tokens"))
     whole = nodes.join(below, KEY).join(_from_parents(nodes, nodes.count()), KEY, "left").join(_end_hashes(rows.select("conv_id", *KEY)), KEY, "left")
     ends = F.coalesce("ends_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("ends_sha256")
-    return whole.select(F.col("rep").alias("conv_id"), "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", ends, "role", "text")
+    return whole.select(F.col("rep").alias("conv_id"), "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", ends)
+
+
+def with_turns(nodes: DataFrame, turns: DataFrame) -> DataFrame:
+    """The nodes with role and text of their last turn, null at the root."""
+    said = turns.select("conv_id", (F.col("place") + 1).alias("depth"), "role", "text")
+    return nodes.join(said, ["conv_id", "depth"], "left")
 
 
 def of_conversations(conversations: DataFrame) -> DataFrame:

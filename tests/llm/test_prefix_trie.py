@@ -69,9 +69,12 @@ def got(df):
 def test_rebuilt_conversations(spark, rows):
     df = P.of_rebuilt(table(spark, rows))
     assert got(df) == plain(rebuilt(told(rows)))
-    last = {(r.conv_id, r.depth): (r.role, r.text) for r in df.collect()}
-    said = rebuilt(told(rows))
-    assert all((role, text) == (tuple(x.decode() for x in said[c][d - 1]) if d else ("", "")) for (c, d), (role, text) in last.items())
+
+
+def test_nodes_with_their_last_turns(spark, rows):
+    turns, said = P.number(table(spark, rows)), told(rows)
+    last = {(r.conv_id, r.depth): (r.role, r.text) for r in P.with_turns(P.trie(turns, P.lengths(turns)), turns).collect()}
+    assert all(turn == (tuple(x.decode() for x in said[c][d - 1]) if d else (None, None)) for (c, d), turn in last.items())
 
 
 @pytest.mark.parametrize("primes", [(2, 3), (1, 1), (7, 5)])
