@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import ann, chat_format, decontaminate, language_id, lm_score, packing, periodic_runs, prefix_trie, quality, secret_scan, sharding, simhash_dedup
+from folioscan.llm import ann, chat_format, decontaminate, language_id, license_scan, lm_score, packing, periodic_runs, prefix_trie, quality, secret_scan, sharding, simhash_dedup
 from folioscan.llm.common import table
 
 
@@ -65,7 +65,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.find(periodic_runs.with_tails(table(spark, sf_dir, "documents"))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_quality, op4_nearest, op5_sharding, op6_simhash_dedup, op7_decontaminate, op8_packing, op9_chat_format, op10_lm_score, op11_prefix_trie, op12_periodic_runs)}
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_quality, op4_nearest, op5_sharding, op6_simhash_dedup, op7_decontaminate, op8_packing, op9_chat_format, op10_lm_score, op11_prefix_trie, op12_periodic_runs, op13_license_scan)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_sharding": """
