@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscan.functions.text import clip, let, runs, strip
+from folioscan.plans import diff
 from folioscan.plans.rules import compiles, filter_batch
 
 #: Fixed value: kinds of findings of a reviewer.
@@ -189,25 +189,6 @@ def repair_json(contents: pd.Series) -> pd.Series:
     return contents.map(repaired)
 
 
-DIFFS = T.ArrayType(T.StructType([T.StructField("old", T.StringType()), T.StructField("new", T.StringType())]))
-
-
-def changed(old: str | None, new: str | None, most: int = 30) -> list[dict[str, str]]:
-    """Runs of lines that changed, both sides not blank and not the same but for their ends."""
-    a, b = (old or "").splitlines(), (new or "").splitlines()
-    out = []
-    for kind, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        x, y = "\n".join(a[i1:i2]), "\n".join(b[j1:j2])
-        if kind != "equal" and x.strip() and y.strip() and x.strip() != y.strip():
-            out.append({"old": x, "new": y})
-    return out[:most]
-
-
-@F.pandas_udf(DIFFS)
-def text_changes(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([changed(x, y) for x, y in zip(old, new, strict=True)])
-
-
 def revision_pairs(sources: DataFrame, revised: DataFrame) -> DataFrame:
     """(pair_id, old_text, new_text): each source of a sample with the sample's one revised text. ``sources``: sample_id, doc_id, text; ``revised``: sample_id, text."""
     new = revised.select("sample_id", F.col("text").alias("new_text"))
@@ -216,8 +197,7 @@ def revision_pairs(sources: DataFrame, revised: DataFrame) -> DataFrame:
 
 def diff_pairs(pairs: DataFrame, width: int = 300) -> DataFrame:
     """(pair_id, n, old, new): the changes of each pair (pair_id, old_text, new_text), white space joined, clipped."""
-    short = lambda c: F.substring(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), 1, width)
-    return pairs.select("pair_id", F.posexplode(text_changes("old_text", "new_text")).alias("n", "d")).select("pair_id", "n", short(F.col("d.old")).alias("old"), short(F.col("d.new")).alias("new"))
+    return diff.changes(pairs).select("pair_id", "n", diff.clipped(F.col("old"), width).alias("old"), diff.clipped(F.col("new"), width).alias("new"))
 
 
 #: The most entries of a generated bank and the most rules of an answer, and the name of a bank without one.
