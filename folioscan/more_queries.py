@@ -120,9 +120,14 @@ def h_cleaned(spark, sf):
     return rules.clean(items, scanned, items.where("ord % 3 = 0").select("entity_id")).select("source", "entity_id")
 
 
-@query("SELECT * FROM " + rows_sql([(s, sum(r.section == s for r in RULES.values() if r.key not in ("tn_typo", "multi_space")), sum(r.section == s for r in RULES.values())) for s in sorted({r.section for r in RULES.values()})], "section, enabled, total"))
+_ON = Config(disabled={"tn_typo", "multi_space", "fl_logic"})
+
+
+@query(f"""WITH {_ISSUES_SQL}, r AS (SELECT * FROM {rows_sql([(r.key, r.section, int(_ON.on(r.key))) for r in RULES.values()], 'rule_key, section, live')}), hit AS (SELECT rule_key, count(*) AS n FROM issues GROUP BY 1)
+SELECT section, sum(live)::BIGINT AS enabled, count(*) AS total, count(n) AS hit, count(n) FILTER (live = 1) AS enabled_hit, coalesce(sum(n), 0)::BIGINT AS issues FROM r LEFT JOIN hit USING (rule_key) GROUP BY section""")
 def i_enabled_rules(spark, sf):
-    return rules.enabled_by_section(spark, Config(disabled={"tn_typo", "multi_space"}))
+    """Rules by section, those that are switched on, and those that found something in the documents."""
+    return rules.hits_by_section(_issues(spark, sf), _ON)
 
 
 _PLANT = ["不得擅自变更 合同条款，违者", "严禁泄露客户信息。", "应当按照准则执行全部评估程序。", "没有", "必须依据合同约定履行各项义务；遵循独立原则"]
@@ -218,16 +223,16 @@ def h_template_chunks(spark, sf):
     return extract.template_chunks(_parts(spark, sf)).select("doc", "page", "chunk_idx", "text")
 
 
-@query("""WITH c AS (SELECT conv_id, turn, role, text FROM conversations WHERE length(text) >= 12 AND NOT contains(text, '"') AND NOT contains(text, '\\')),
-a AS (SELECT conv_id, turn, substr(text, 1, 12) AS quote, trim(substr(text, 1, 12)) AS q, CASE WHEN turn % 3 = 0 THEN '错别字' WHEN turn % 3 = 1 THEN '其它错别字类' ELSE 'odd' END AS cat, CASE WHEN turn % 2 = 0 THEN 'high' ELSE 'grave' END AS sev FROM c),
-k AS (SELECT *, regexp_replace(q, '[^\\p{L}\\p{N}_]', '', 'g') AS b FROM a WHERE q <> '' AND regexp_replace(q, '[^\\p{L}\\p{N}_]', '', 'g') <> '')
-SELECT conv_id AS doc_id, turn AS chunk, q AS quote, CASE cat WHEN 'odd' THEN '其他' ELSE '错别字' END AS category, CASE sev WHEN 'high' THEN 'high' ELSE 'medium' END AS severity FROM k QUALIFY row_number() OVER (PARTITION BY conv_id, b ORDER BY turn) = 1""")
+@query(r"""WITH c AS (SELECT conv_id, turn, text FROM conversations WHERE length(text) >= 12),
+a AS (SELECT conv_id, turn, regexp_replace(text, '^[\s\x85\x{a0}\x{2028}\x{2029}\x{3000}]+|[\s\x85\x{a0}\x{2028}\x{2029}\x{3000}]+$', '', 'g') AS q, CASE turn % 3 WHEN 2 THEN '其他' ELSE '错别字' END AS category, CASE WHEN turn % 2 = 0 THEN 'high' ELSE 'medium' END AS severity FROM c),
+k AS (SELECT *, regexp_replace(q, '[^\p{L}\p{N}_]', '', 'g') AS b, replace(replace(replace(q, chr(13), ' '), chr(10), '⏎'), chr(9), '→') AS flat FROM a)
+SELECT conv_id AS doc_id, turn AS chunk, CASE WHEN length(flat) > 120 THEN flat[:120] || '…' ELSE flat END AS quote, category, severity FROM k WHERE b <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, b ORDER BY turn) = 1""")
 def j_answers(spark, sf):
-    c = spark.read.parquet(f"{sf}/conversations.parquet").where(F.length("text") >= 12).where(~F.contains("text", F.lit('"')) & ~F.contains("text", F.lit("\\")))
+    c = spark.read.parquet(f"{sf}/conversations.parquet").where(F.length("text") >= 12)
     t = F.col("turn")
     category = F.when(t % 3 == 0, "错别字").when(t % 3 == 1, "其它错别字类").otherwise("odd")
     item = lambda quote: F.struct(quote.alias("quote"), category.alias("category"), F.lit("疑点").alias("issue"), F.lit("d").alias("detail"), F.lit("s").alias("suggestion"), F.when(t % 2 == 0, "high").otherwise("grave").alias("severity"))
-    quote = F.substring("text", 1, 12)
+    quote = F.col("text")
     content = F.concat(F.lit("answer: "), F.to_json(F.array(item(quote), item(quote), item(F.lit("qqxxzzqqxxzz")))), F.lit(" end"))
     answers = c.select(F.col("conv_id").alias("doc_id"), t.alias("chunk"), content.alias("content"), F.col("text").alias("source"))
     return review.parse_answers(answers).select("doc_id", "chunk", "quote", "category", "severity")

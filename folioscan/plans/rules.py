@@ -181,6 +181,15 @@ def enabled_by_section(spark: SparkSession, config: Config) -> DataFrame:
     return rows.groupBy("section").agg(F.count_if("live").alias("enabled"), F.count("*").alias("total"))
 
 
+def hits_by_section(issues: DataFrame, config: Config) -> DataFrame:
+    """(section, enabled, total, hit, enabled_hit, issues): the rules of each section, and those with issues."""
+    rows = issues.sparkSession.createDataFrame([(r.key, r.section, config.on(r.key)) for r in RULES.values()], "rule_key string, section string, live boolean")
+    found = issues.groupBy("rule_key").agg(F.count("*").alias("n"))
+    return rows.join(found, "rule_key", "left").groupBy("section").agg(
+        F.count_if("live").alias("enabled"), F.count("*").alias("total"), F.count("n").alias("hit"), F.count(F.when(F.col("live"), F.col("n"))).alias("enabled_hit"), F.coalesce(F.sum("n"), F.lit(0)).alias("issues")
+    )
+
+
 def load_groups(spark: SparkSession, path: str, kind: str = "rules") -> DataFrame:
     """Stored groups as the frames of ``operators.custom``; a file that is missing or broken has none. ``kind``: rules or entries."""
     rule = "id string, name string, enabled boolean, match_mode string, pattern string, severity string, tag string, suggestion string"

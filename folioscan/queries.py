@@ -300,9 +300,10 @@ _RULES_SQL = """r AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'r
 
 @query(f"""WITH {_RULES_SQL}, e AS (SELECT *, CASE WHEN p = '' THEN 'invalid' WHEN s = '' THEN 'invalid' WHEN p = s THEN 'invalid' WHEN p = '的' THEN 'invalid' WHEN mode = 'regex' AND p = '(' THEN 'invalid' WHEN coalesce(mode, '') <> 'regex' AND p IN (SELECT s FROM r WHERE s <> '') THEN 'invalid' END AS bad FROM r),
 n AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN mode = 'regex' THEN 'regex' ELSE 'keyword' END, p, bad IS NULL ORDER BY CASE WHEN source = 'rule' THEN 0 ELSE 1 END, k) AS i FROM e)
-SELECT source, CAST(k AS VARCHAR) AS entity_id, CASE WHEN bad IS NOT NULL THEN 'invalid' WHEN i > 1 THEN 'duplicate' ELSE 'normal' END AS category FROM n""")
+SELECT source, CAST(k AS VARCHAR) AS entity_id, CASE WHEN bad IS NOT NULL THEN 'invalid' WHEN i > 1 THEN 'duplicate' ELSE 'normal' END AS category FROM n
+UNION ALL SELECT 'bank', bank || ':' || n, CASE WHEN line LIKE '\\in\\s%' THEN 'invalid' WHEN row_number() OVER (PARTITION BY bank, line ORDER BY n) > 1 THEN 'duplicate' ELSE 'normal' END FROM {rows_sql([(b, n, x) for b in rules.FORMATS for n, x in enumerate(lexicon.lines(b), 1) if b != "abbrev" or n <= lexicon.lines(b).index(lexicon.WHITELIST_MARK)], "bank, n, line")}""")
 def h_scan(spark, sf):
-    return rules.scan(_rules(spark, sf), rules.bank_lines(spark)).where("source <> 'bank'").select("source", "entity_id", "category")
+    return rules.scan(_rules(spark, sf), rules.bank_lines(spark)).select("source", "entity_id", "category")
 
 
 @query(f"""WITH {_RULES_SQL}, x AS (SELECT DISTINCT 'p' AS kind, CASE WHEN c_custkey % 2 = 0 THEN 'keyword' ELSE '' END AS mode, 'Brand#' || (c_custkey % 6) || (c_custkey % 5) || ' ' || (c_custkey % 7) AS v FROM customer UNION SELECT DISTINCT 's', '', s FROM r WHERE k % 5 = 0 AND s <> '')
@@ -318,11 +319,6 @@ def h_validate(spark, sf):
     return rules.validate(items, had).select("entity_id", no.alias("reason_no"))
 
 
-@query("SELECT bank, count(*) AS entries FROM " + rows_sql([(b,) for b in rules.FORMATS for _ in (lexicon.lines(b) if b != "abbrev" else lexicon.abbreviations()[0])], "bank") + " GROUP BY bank")
-def h_bank_sizes(spark, sf):
-    return rules.bank_sizes(spark)
-
-
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     return seeds.seeded(spark, sf).select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), F.col("unit_idx").alias("chunk_idx"), "text")
 
@@ -403,9 +399,17 @@ def i_top_issues(spark, sf):
     return issues.top_issues(_issues(spark, sf)).groupBy("severity").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_ISSUES_SQL} SELECT doc_id, least(count(*), 3) AS kept FROM issues GROUP BY doc_id")
+@query(f"WITH {_ISSUES_SQL} SELECT doc_id, unit_idx, row_number() OVER (PARTITION BY doc_id ORDER BY unit_idx) AS seq FROM issues QUALIFY seq <= 20")
 def i_capped(spark, sf):
-    return issues.capped(_issues(spark, sf), Config(max_issues_per_file=3)).groupBy("doc_id").agg(F.count("*").alias("kept"))
+    return issues.capped(_issues(spark, sf), Config(max_issues_per_file=20)).select("doc_id", "unit_idx", F.col("seq").cast("long").alias("seq"))
+
+
+@query(f"""WITH {_ISSUES_SQL} SELECT bank, entries, (SELECT count(*) FROM issues WHERE rule_key = 'tn_' || bank) AS issues, (SELECT count(DISTINCT doc_id) FROM issues WHERE rule_key = 'tn_' || bank) AS files
+FROM (SELECT bank, count(*) AS entries FROM {rows_sql([(b,) for b in rules.FORMATS for _ in (lexicon.lines(b) if b != "abbrev" else lexicon.abbreviations()[0])], 'bank')} GROUP BY bank)""")
+def h_bank_sizes(spark, sf):
+    """The banks with what they found in the documents."""
+    found = _issues(spark, sf).groupBy(F.expr("substr(rule_key, 4)").alias("bank")).agg(F.count("*").alias("issues"), F.countDistinct("doc_id").alias("files"))
+    return rules.bank_sizes(spark).join(found, "bank", "left").fillna(0)
 
 
 # J: around a reviewer -------------------------------------------------------------------------------------------------------------------
@@ -433,22 +437,31 @@ def j_grounded(spark, sf):
     return review.ground_in_corpus(quotes, spark.read.parquet(f"{sf}/documents.parquet"))
 
 
-@query(f"""WITH p AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS source FROM conversations), a AS (SELECT conv_id, turn, substr(text, 1, 12) AS q1, substr(source, 5, 20) AS q2, source FROM p WHERE source IS NOT NULL),
+@query(f"""WITH p AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS source FROM conversations), a AS (SELECT conv_id, turn, text AS q1, substr(source, 5) || ' ' || text AS q2, source FROM p WHERE source IS NOT NULL),
 u AS (SELECT conv_id, turn, q1 AS quote, source FROM a UNION ALL SELECT conv_id, turn, q2, source FROM a), g AS (SELECT conv_id, turn, quote, source, {_BARE.format('quote')} AS q, {_BARE.format('source')} AS s FROM u)
 SELECT conv_id, turn, quote, q <> '' AND (contains(s, q) OR length(q) > 8 AND len(list_filter(range(1, greatest(length(q) - 6, 1)), lambda i: contains(s, substr(q, i, 8)))) > 0) AS ok FROM g WHERE quote <> '' AND source <> ''""")
 def j_quote_check(spark, sf):
     from pyspark.sql import Window as W
 
     c = spark.read.parquet(f"{sf}/conversations.parquet").withColumn("source", F.lead("text").over(W.partitionBy("conv_id").orderBy("turn", "text"))).where("source is not null")
-    both = c.select("conv_id", "turn", "source", F.explode(F.array(F.substring("text", 1, 12), F.substring("source", 5, 20))).alias("quote")).where("quote <> '' and source <> ''")
+    both = c.select("conv_id", "turn", "source", F.explode(F.array("text", F.concat(F.expr("substr(source, 5)"), F.lit(" "), "text"))).alias("quote")).where("quote <> '' and source <> ''")
     return both.select("conv_id", "turn", "quote", review.grounded(F.col("quote"), F.col("source")).alias("ok"))
 
 
-@query()
+@query(f"""WITH {PARAGRAPHS_SQL}, t AS (SELECT *, unit_idx % 13 = 4 AS gone, unit_idx % 7 = 2 AS other, sum(CASE WHEN unit_idx % 13 = 4 OR unit_idx % 7 = 2 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY unit_idx) AS gap FROM paras),
+g AS (SELECT doc_id AS pair_id, gap, string_agg(unit_idx || ' ' || text, chr(10) ORDER BY unit_idx) AS old, string_agg(unit_idx || ' ' || text || ' ' || doc_id, chr(10) ORDER BY unit_idx) FILTER (NOT gone) AS new FROM t WHERE gone OR other GROUP BY ALL),
+s AS (SELECT pair_id, gap, regexp_replace(trim(old, ' ' || chr(10)), '[ \n]+', ' ', 'g') AS old, regexp_replace(trim(new, ' ' || chr(10)), '[ \n]+', ' ', 'g') AS new FROM g)
+SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY gap) - 1 AS n, CASE WHEN length(old) > 300 THEN old[:300] || '…' ELSE old END AS old, CASE WHEN length(new) > 300 THEN new[:300] || '…' ELSE new END AS new
+FROM s WHERE old <> '' AND new <> '' AND old <> new QUALIFY n < 30""")
 def j_text_changes(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    pairs = docs.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("old_text"), F.regexp_replace("text", r"\b(the|la|der)\b", "x").alias("new_text"))
-    return review.diff_pairs(pairs)
+    """Documents with numbered lines against themselves with some lines gone and others written on."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("text is not null")
+    numbered = F.transform(F.split("text", "\n"), lambda x, k: F.struct(F.concat_ws(" ", (k + 1).cast("string"), x).alias("line"), (k + 1).alias("i")))
+    edited = lambda x: F.when(x["i"] % 7 == 2, F.concat_ws(" ", x["line"], F.col("doc_id").cast("string"))).otherwise(x["line"])
+    text = lambda p, made: F.array_join(F.transform(p, made), "\n")
+    rows = docs.select(F.col("doc_id").alias("pair_id"), "doc_id", numbered.alias("p"))
+    pairs = rows.select("pair_id", text("p", lambda x: x["line"]).alias("old_text"), text(F.filter("p", lambda x: x["i"] % 13 != 4), edited).alias("new_text"))
+    return review.diff_pairs(pairs).withColumn("n", F.col("n").cast("long"))
 
 
 @query()
