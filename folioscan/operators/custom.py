@@ -1,7 +1,6 @@
 """User rules and word banks.
 
-Small sets go into the plan as literals. A word bank beyond ``PLAN_LIMIT`` entries is joined instead: texts are cut into pairs of characters, each
-entry waits at its first pair, and what meets is verified, so cost follows the text and not the product of texts and entries.
+Rules go into the plan as literals. Word banks of any size are found by the automata of ``operators.matcher``.
 """
 
 from __future__ import annotations
@@ -13,9 +12,9 @@ from folioscan.config import SEVERITY_LABELS
 from folioscan.functions.text import clip, regex
 from folioscan.lexicon import compiles
 from folioscan.model import ISSUES
+from folioscan.operators import matcher
 
 RULE_HINT, ENTRY_HINT = "（自定义规则命中，仅供人工复核）", "（自定义词库命中，仅供人工复核）"
-PLAN_LIMIT = 500
 RULES = "gid string, gname string, scope string, g_enabled boolean, rid string, name string, enabled boolean, match_mode string, pattern string, severity string, tag string, suggestion string, ord int"
 ENTRIES = "gid string, gname string, scope string, g_enabled boolean, eid string, keyword string, tag string, suggestion string, enabled boolean, ord int"
 
@@ -53,22 +52,10 @@ def check_rules(units: DataFrame, rules: list[dict]) -> DataFrame:
 
 def check_wordbank(units: DataFrame, entries: DataFrame) -> DataFrame:
     """Issues of word-bank entries, all low: a keyword is a substring."""
-    live = entries.where("g_enabled and enabled and keyword <> ''")
+    live = entries.where("g_enabled and enabled and keyword <> ''").drop("g_enabled", "enabled")
     texts = units.where("text <> ''").select("doc_id", "doc_type", "unit_idx", "location", "text")
-    if live.limit(PLAN_LIMIT + 1).count() <= PLAN_LIMIT:
-        names = ["gid", "gname", "eid", "keyword", "tag", "suggestion", "scope", "ord"]
-        bank = F.array(*(F.struct(*(F.lit(r[n]).alias(n) for n in names)) for r in live.orderBy("ord").collect()))  # at most PLAN_LIMIT rows
-        if not live.head(1):
-            return units.sparkSession.createDataFrame([], ISSUES)
-        in_scope = lambda e: (e["scope"] == "all") | (e["scope"] == F.col("doc_type"))
-        rows = texts.select("*", F.inline_outer(F.filter(bank, lambda e: F.contains(F.col("text"), e["keyword"]) & in_scope(e)))).where("keyword is not null")
-    else:
-        at = lambda text: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: text.substr(i, F.lit(2))))
-        waits = live.withColumn("pair", F.substring("keyword", 1, 2))
-        one, two = waits.where("length(pair) = 1"), waits.where("length(pair) = 2")
-        cut = texts.withColumn("pair", F.explode(at(F.col("text"))))
-        # an entry of one character waits at every pair that begins with it
-        meets = cut.join(two, "pair").where("contains(text, keyword)").unionByName(texts.withColumn("pair", F.explode(F.array_distinct(F.split("text", "")))).join(one, "pair"))
-        rows = meets.where("scope = 'all' or scope = doc_type").drop("pair", "g_enabled", "enabled")
+    rows = matcher.matches(texts, "text", live, "keyword", also=F.expr("scope = 'all' or scope = doc_type"))
+    if rows is None:
+        return units.sparkSession.createDataFrame([], ISSUES)
     detail = F.concat(F.lit("命中自定义词库「"), "gname", F.lit("」：匹配到「"), "keyword", F.lit("」" + ENTRY_HINT))
     return _issue(rows, F.concat_ws("_", F.lit("wb"), "gid", "eid"), F.col("keyword"), F.lit("low"), detail, F.col("suggestion"), ("wordbank", "wordbank"))

@@ -286,6 +286,15 @@ def h_word_bank(spark, sf):
     return custom.check_wordbank(seeds.paragraphs(spark, sf), _word_entries(spark, sf)).select("doc_id", "unit_idx", "rule_key")
 
 
+@query(f"WITH {PARAGRAPHS_SQL}, k AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[2:3], ' ') AS k FROM paras) SELECT doc_id, unit_idx, k AS keyword FROM paras JOIN k ON contains(text, k) WHERE length(k) >= 6")
+def h_large_word_bank(spark, sf):
+    """Some ten thousand entries, and more with larger tables: the second and third word of every paragraph."""
+    units = seeds.paragraphs(spark, sf)
+    words = units.select(F.array_join(F.slice(F.split("text", " "), 2, 2), " ").alias("keyword")).where("length(keyword) >= 6").distinct()
+    entries = words.select(F.lit("g").alias("gid"), F.lit("bank").alias("gname"), F.lit("all").alias("scope"), F.lit(True).alias("g_enabled"), F.md5("keyword").alias("eid"), "keyword", F.lit("").alias("tag"), F.lit("").alias("suggestion"), F.lit(True).alias("enabled"), F.lit(0).alias("ord"))
+    return custom.check_wordbank(units, entries).select("doc_id", "unit_idx", F.col("rule_title").alias("keyword"))
+
+
 def _rules(spark: SparkSession, sf: str) -> DataFrame:
     """Rules made of parts: names as patterns, types as suggestions, with repeats and faults."""
     p = spark.read.parquet(f"{sf}/part.parquet")
@@ -496,4 +505,4 @@ def h_mined_formats(spark, sf):
     return dates.unionByName(numbers).unionByName(rules_)
 
 
-from folioscan import more_queries  # noqa: E402, F401  registers its queries, and needs what is above
+from folioscan import kept_queries, more_queries  # noqa: E402, F401  register their queries, and need what is above

@@ -129,16 +129,14 @@ def test_chunks_of_long_documents(spark):
     assert sorted(got) == sorted((d, k, ts[0][0], "\n".join(t for _, t in ts), sum(len(t) for _, t in ts)) for (d, k), ts in want.items())
 
 
-def test_word_banks_small_and_large(spark, monkeypatch):
+def test_word_banks(spark):
     rng = random.Random(6)
     texts = ["".join(rng.choices("abcd中文", k=40)) for _ in range(80)]
     words = sorted({"".join(rng.choices("abcd中文", k=rng.choice([1, 2, 3, 4]))) for _ in range(150)})
     units = spark.createDataFrame([(i, "word", "paragraph", 1, "p", t) for i, t in enumerate(texts)], "doc_id long, doc_type string, unit_kind string, unit_idx int, location string, text string")
     bank = spark.createDataFrame([("g", "n", ("all", "word", "excel")[i % 3], True, str(i), w, "", "", i % 7 != 0, i) for i, w in enumerate(words)], custom.ENTRIES)
     want = sorted((d, f"wb_g_{i}") for d, t in enumerate(texts) for i, w in enumerate(words) if w in t and i % 7 and i % 3 != 2)
-    for limit in (500, 10):
-        monkeypatch.setattr(custom, "PLAN_LIMIT", limit)
-        assert sorted(rows(custom.check_wordbank(units, bank), "doc_id", "rule_key")) == want
+    assert sorted(rows(custom.check_wordbank(units, bank), "doc_id", "rule_key")) == want
 
 
 def test_generated_banks_and_rules(spark):
