@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -103,13 +105,19 @@ def merge_references(refs: DataFrame, max_chars: int) -> DataFrame:
     return rows.select("name", F.concat(F.lit("【"), "name", F.lit("】\n"), F.col("text").substr(F.lit(1), F.col("left").cast("int"))).alias("head"), "ord")
 
 
-def ask(requests: DataFrame, reviewer: Callable[[str], str]) -> DataFrame:
-    """``requests`` (doc_id, chunk, prompt, source) with the reviewer's answers; a call that fails leaves content null and says so in error."""
+def ask(requests: DataFrame, reviewer: Callable[[str], str], gap: float = 0) -> DataFrame:
+    """``requests`` (prompt and any other columns) with the reviewer's answers; a call that fails leaves content null and says so in error.
+
+    The calls of a task begin at least ``gap`` seconds apart. ``answers.ask`` keeps the answers.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        began = -math.inf
         for rows in batches:
             out = []
             for prompt in rows["prompt"]:
+                time.sleep(max(0.0, began + gap - time.monotonic()))
+                began = time.monotonic()
                 try:
                     out.append((reviewer(prompt), None))
                 except Exception as e:  # a failing call must not stop the others
