@@ -1,4 +1,4 @@
-"""Registered queries of what is stored: answers that are kept, learned records. Registered by ``folioscan.queries``."""
+"""Registered queries of what is stored and written: answers that are kept, learned records, report files. Registered by ``folioscan.queries``."""
 
 from __future__ import annotations
 
@@ -8,8 +8,10 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.plans import answers, learned
-from folioscan.queries import query
+from folioscan import sinks
+from folioscan.plans import answers, issues, learned, word_report
+from folioscan.queries import _ISSUES_SQL, _TITLES, _files, _issues, query
+from folioscan.sources import files, office
 from folioscan.staging import shared_dir
 
 
@@ -74,3 +76,16 @@ def j_learned_groups(spark, sf):
     before: DataFrame = kept.read("groups").select(F.lit("deleted").alias("after"), "kind", "gid")
     learned.clear(kept, "learned")
     return before.unionByName(kept.read("groups").select(F.lit("cleared").alias("after"), "kind", "gid"))
+
+
+@query(f"""WITH {_ISSUES_SQL}, live AS (SELECT doc_id, severity, {_TITLES} AS title FROM issues JOIN per USING (doc_id) WHERE NOT bad AND state <> 'ignored')
+SELECT 'f' || doc_id || '.docx' AS file_name, count(*) AS rows, md5(string_agg(title, ',' ORDER BY title)) AS titles, count(*) FILTER (severity = 'high') AS high FROM live GROUP BY doc_id""")
+def i_report_files(spark, sf):
+    """A Word report for each file with findings, written as files and read back."""
+    found, path = _issues(spark, sf), _fresh(spark, "reports")
+    results = issues.file_results(_files(spark, sf), found)
+    sinks.write(word_report.file_rows(results, found), path, "docx", *word_report.ORDER)
+    listed = files.guarded(files.list_files(spark, path))
+    cells = office.word_rows(listed).where("part = 'cell' and row > 1")
+    told = cells.groupBy("doc_id").agg(F.count_if(F.col("col") == 1).alias("rows"), F.md5(F.array_join(F.array_sort(F.collect_list(F.when(F.col("col") == 3, F.col("text")))), ",")).alias("titles"), F.count_if((F.col("col") == 4) & (F.col("text") == "严重")).alias("high"))
+    return told.join(listed.select("doc_id", "file_name"), "doc_id").drop("doc_id")

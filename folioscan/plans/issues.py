@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscan.config import SEVERITY_WEIGHTS, Config
+from folioscan.skew import numbered
 
 #: File types, states and statuses.
 TYPES = ("Word", "Excel", "PDF", "不支持")
@@ -113,7 +114,8 @@ def file_details(issues: DataFrame) -> DataFrame:
 
 
 def unreadable(results: DataFrame) -> DataFrame:
-    return results.where(F.col("status") == ERROR).select(F.row_number().over(W.orderBy("file_name", "doc_id")).alias("no"), "file_name", "file_type", "error_message")
+    """The files that can't be read, numbered by name."""
+    return numbered(results.where(F.col("status") == ERROR), "no", "file_name", "doc_id").select("no", "file_name", "file_type", "error_message")
 
 
 def conclusion(totals: DataFrame) -> DataFrame:

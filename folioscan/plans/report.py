@@ -1,10 +1,12 @@
-"""Key and value rows of a report, and exports of scanned and learned items, as frames; files are written by Spark's own writers."""
+"""Key and value rows of a report, and exports of scanned and learned items, as frames; ``folioscan.sinks`` writes them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscan import sinks
+
 #: Labels of categories and sources, headers and fixed rows of a report.
 CATEGORY_LABELS = {"invalid": "无效", "duplicate": "重复", "normal": "正常"}
 SOURCE_LABELS = {"rule": "自定义规则", "entry": "自定义词库", "bank": "内置词库"}
@@ -79,10 +81,23 @@ def learned_lines(records: DataFrame, kind: str) -> DataFrame:
     return table.select(F.concat(F.col(WORD_HEADER[0]), F.lit(" → "), F.col(WORD_HEADER[1]), F.lit("（"), F.when(F.col("启用"), "启用").otherwise("禁用"), F.lit("）")).alias("value"))
 
 
-def write_table(table: DataFrame, path: str) -> None:
-    """As CSV with a header; a byte-order mark before it, so that spreadsheets read it as UTF-8."""
-    table.withColumnRenamed(table.columns[0], "﻿" + table.columns[0]).write.mode("overwrite").option("header", "true").csv(path)
+def table_rows(table: DataFrame, file: str, *order: str) -> DataFrame:
+    """A table as rows of a file (``folioscan.sinks``), its head first; booleans are True and False. ``order`` are columns of the table, in which its rows stand."""
+    head = table.sparkSession.createDataFrame([(file, 0, "head", list(table.columns))], "file string, part int, kind string, cells array<string>")
+    said = [F.initcap(F.col(c).cast("string")) if t == "boolean" else F.col(c).cast("string") for c, t in table.dtypes]
+    body = table.select(F.lit(file).alias("file"), F.lit(1).alias("part"), F.lit("row").alias("kind"), F.array(*said).alias("cells"), F.struct(*order or table.columns).alias("at"))
+    return head.withColumn("at", F.lit(None).cast(body.schema["at"].dataType)).unionByName(body)
+
+
+def line_rows(lines: DataFrame, file: str) -> DataFrame:
+    """Blocks of lines (value) as rows of a file."""
+    return lines.select(F.lit(file).alias("file"), F.lit(1).alias("part"), F.lit("p").alias("kind"), F.array("value").alias("cells"), F.struct("value").alias("at"))
+
+
+def write_table(table: DataFrame, path: str, file: str = "table.csv", *order: str) -> None:
+    """As one CSV file with a head and a byte-order mark; a file of that name is replaced."""
+    sinks.write(table_rows(table, file, *order), path, "csv", "part", "at", overwrite=True)
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    lines.select("value").write.mode("overwrite").text(path)
+def write_lines(lines: DataFrame, path: str, file: str = "lines.txt") -> None:
+    sinks.write(line_rows(lines, file), path, "txt", "part", "at", overwrite=True)

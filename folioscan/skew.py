@@ -1,10 +1,13 @@
-"""Joins with keys of which some may hold very many rows."""
+"""Joins and numbering in which no task gets very many rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscan.staging import stage
+
 MOST_HOT = 1000
 
 
@@ -20,3 +23,12 @@ def join_unique(rows: DataFrame, others: DataFrame, key: str, how: str = "inner"
     often = F.broadcast(others.join(F.broadcast(hot), key, "left_semi"))
     cold = rows.join(F.broadcast(hot), key, "left_anti").join(others, key, how)
     return rows.join(F.broadcast(hot), key, "left_semi").join(often, key, how).unionByName(cold)
+
+
+def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """``rows`` with their place from 1 on in ``order``, counted over many tasks: sorted by ranges, numbered in each, and moved by the sizes of the ranges before."""
+    at = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = stage(at, "numbered").withColumn("_range", F.shiftright("_at", 33))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = sizes.select("_range", "_first", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a task
+    return placed.join(F.broadcast(before), "_range").withColumn(name, F.col("_at") - F.col("_first") + F.col("_before") + 1).drop("_at", "_range", "_first", "_before")

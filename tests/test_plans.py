@@ -262,8 +262,8 @@ def test_report_rows_and_exports(spark, tmp_path):
     assert info["检测范围"] == "Word 文档 2 个、Excel 文档 0 个、PDF 文档 0 个、不支持格式 1 个" and info["启用规则"].startswith("Word 规则 2")
     items = spark.createDataFrame([("invalid", "rule", "g", "n", "p", "s", "r", "学习"), ("duplicate", "bank", "f", None, "x", None, None, None)], "category string, source string, `group` string, name string, pattern string, suggestion string, reason string, source_tag string")
     report.write_table(report.backup_table(items), str(tmp_path / "table"))
-    raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "table").glob("part-*")))
-    assert raw.startswith("﻿分类,来源".encode()) and "无效,自定义规则,g,n,p,s,r,学习".encode() in raw
+    raw = (tmp_path / "table" / "table.csv").read_bytes()
+    assert raw.startswith("\ufeff分类,来源".encode()) and "无效,自定义规则,g,n,p,s,r,学习".encode() in raw
     assert rows(report.backup_lines(items)) == [("[无效] 自定义规则｜g｜n（学习）\n    匹配式：p\n    建议：s\n    原因：r",), ("[重复] 内置词库｜f｜\n    匹配式：x",)]
     learned = spark.createDataFrame([("rule", "n", None, "p", "high", "s", True), ("wordbank", None, None, "帐号", None, "账号", False)], "kind string, name string, match_mode string, pattern string, severity string, suggestion string, enabled boolean")
     assert rows(report.learned_lines(learned, "rules")) == [("规则名：n\n匹配模式：keyword\n匹配式：p\n级别：high\n建议替换：s\n启用：是\n---",)]
