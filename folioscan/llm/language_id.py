@@ -103,19 +103,22 @@ def _bits(texts: list[str]) -> list[list]:
 def train(docs: DataFrame, per_lang: int = 400, landmarks: int = 256, ridge: float = 1e-2, most_langs: int = 64) -> Model:
     """A model of at most ``per_lang`` documents of each language, those with the least hash of their id, of the part that may be learned from.
 
-    Unlike texts with one id are different documents, ordered by the hash of the text; equal ones are learned once. With more than ``most_langs`` languages the
-    share of each falls, so that the driver is sent ``per_lang * most_langs`` rows of 8 KB at most.
+    A text of one language is learned once, under its least id, however often it is repeated: shares and samples are those of different texts. With more than
+    ``most_langs`` languages the share of each falls, so that the driver is sent ``per_lang * most_langs`` rows of 8 KB at most.
     """
     may = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("print", F.xxhash64("text")).select("doc_id", "lang", "text", "print")
+    once = stage(may.groupBy("lang", "print").agg(F.min("doc_id").alias("doc_id")), "once")
     # a share of each language that holds about three times as many, so that what meets in a language's window is as small for any input
-    sizes = stage(may.groupBy("lang").agg(F.count("*").alias("size")), "sizes")
+    sizes = stage(once.groupBy("lang").agg(F.count("*").alias("size")), "sizes")
     per_lang = max(1, min(per_lang, per_lang * most_langs // max(1, sizes.count())))
     share = F.shiftrightunsigned(F.xxhash64("doc_id"), 32) < F.lit(3.0 * per_lang * 2**32) / F.col("size")
-    some = may.select("doc_id", "lang", "print").join(F.broadcast(sizes), "lang").where(share)  # a row per language, as the model has a column per language
+    some = once.join(F.broadcast(sizes), "lang").where(share)  # a row per language, as the model has a column per language
     first = W.partitionBy("lang").orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 32), "doc_id", "print")
-    chosen = stage(some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang).select("doc_id", "lang", "print").distinct(), "chosen")
+    chosen = stage(some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang).select("doc_id", "lang", "print"), "chosen")
     texts = may.join(F.broadcast(chosen), ["doc_id", "lang", "print"], "left_semi")  # per_lang rows a language
-    rows = map_texts(texts, lambda: _bits, "bits binary", ("doc_id", "lang", "print")).dropDuplicates(["doc_id", "lang", "print"]).orderBy("lang", "doc_id", "print").collect()
+    # a chosen text that is repeated under its id very often meets once a task here, and once at all after that
+    texts = texts.groupBy("doc_id", "lang", "print").agg(F.min("text").alias("text"))
+    rows = map_texts(texts, lambda: _bits, "bits binary", ("doc_id", "lang", "print")).orderBy("lang", "doc_id", "print").collect()
     return fit([r["bits"] for r in rows], [r["lang"] for r in rows], landmarks, ridge)
 
 

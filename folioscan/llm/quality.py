@@ -151,7 +151,8 @@ def fit(x: np.ndarray, good: np.ndarray, weight: np.ndarray, rounds: int = 400,
 def train(docs: DataFrame, per_class: int = 2000) -> Model:
     """Votes are counted over all of ``docs``; the scorer is fitted on at most ``per_class`` documents of either side, those with the least hash of their id.
 
-    Unlike texts with one id are different documents, ordered by the hash of the text, each with its own posterior.
+    Rows that repeat an id and its text are one document and vote once; unlike texts with one id are different documents. Of copies under many ids each votes, but
+    a text is learned once, under its least id.
     """
 
     def vote(texts: list[str]) -> list:
@@ -161,17 +162,17 @@ def train(docs: DataFrame, per_class: int = 2000) -> Model:
         return [[features(*measures(t)).astype(np.float16).tobytes() for t in texts]]
 
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("print"))
-    voted = stage(map_texts(docs, lambda: vote, "votes int", ("doc_id", "print")), "votes")
+    voted = stage(map_texts(docs, lambda: vote, "votes int", ("doc_id", "print")).distinct(), "votes")
     counts = {r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}  # at most 3 ** 8 rows
     good = posteriors(counts)
     if not good:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     sides = voted.sparkSession.createDataFrame(list(good.items()), "votes int, good double")
-    judged = voted.where("doc_id is not null").join(F.broadcast(sides), "votes")  # a row per vote pattern
+    judged = voted.where("doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.min("votes").alias("votes")).join(F.broadcast(sides), "votes")  # a row per vote pattern
     some = [judged.where(side).orderBy(F.xxhash64("doc_id"), "doc_id", "print").limit(per_class) for side in ("good >= 0.5", "good < 0.5")]
-    chosen = stage(some[0].union(some[1]).select("doc_id", "print", "good").distinct(), "chosen")
-    texts = docs.join(F.broadcast(chosen), ["doc_id", "print"])  # per_class rows a side
-    rows = map_texts(texts, lambda: described, "x binary", ("doc_id", "print", "good")).dropDuplicates(["doc_id", "print"]).orderBy("doc_id", "print").collect()
+    chosen = stage(some[0].union(some[1]).select("doc_id", "print", "good"), "chosen")
+    texts = docs.join(F.broadcast(chosen), ["doc_id", "print"]).groupBy("doc_id", "print", "good").agg(F.min("text").alias("text"))  # per_class rows a side
+    rows = map_texts(texts, lambda: described, "x binary", ("doc_id", "print", "good")).orderBy("doc_id", "print").collect()
     if not rows:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32)
