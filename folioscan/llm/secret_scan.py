@@ -34,30 +34,43 @@ IDENTIFIER_WORDS = (
     " function result error message request response server client config option default parameter argument buffer stream reader writer handler"
     " manager service factory builder context session account order customer product number string integer update delete create insert select"
     " filter window partition version release internal public private static abstract"
+    " quick quality zone zero jump object judge box exit next vivid wave yellow young hybrid kick know black white blue brown green grey high light right night"
+    " bottle apple middle puzzle single double simple sample purple bubble cable table uncle vehicle backup lookup setup group cloud sound house mouse flower power tower"
+    " river silver garden market planet rocket pocket ticket basket summer winter autumn spring morning evening kitchen chicken button cotton common lemon melon wagon"
+    " bridge fridge engine machine marine mobile module volume figure nature future picture culture mixture texture vector doctor editor author major minor color"
+    " kernel channel tunnel label level model travel camel pixel hotel global local legal royal metal crystal signal animal digital final journal ocean human urban"
 ).split()
 
 
 def rule_samples(spark: SparkSession, n: int = 2000) -> DataFrame:
-    """(text, is_secret): random strings of four kinds and identifiers of four styles, ``n`` of each, built from numbered hashes."""
+    """(text, is_secret): random strings of four kinds; identifiers of four styles, paths, addresses, dates and numbers; ``n`` of each, built from numbered hashes."""
     rows = spark.range(n)
     digest = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256)
     base64 = lambda salt: F.base64(F.unhex(digest(salt)))
     random = [F.substring(base64("a"), 1, 40), digest("b"), F.substring(F.upper(F.regexp_replace(F.concat(base64("c"), base64("d")), "[^A-Za-z0-9]", "")), 1, 32), F.substring(F.regexp_replace(F.concat(base64("e"), base64("f")), "[^A-Za-z0-9]", ""), 1, 36)]
     words = F.array(*map(F.lit, IDENTIFIER_WORDS))
-    word = lambda salt: F.get(words, F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(IDENTIFIER_WORDS))).cast("int"))
+    some = lambda salt, k: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(k))
+    word = lambda salt: F.get(words, some(salt, len(IDENTIFIER_WORDS)).cast("int"))
     three = [word(s) for s in ("x", "y", "z")]
-    ordinary = [F.concat_ws("_", *three), F.concat(*map(F.initcap, three)), F.concat_ws("-", *three), F.upper(F.concat_ws("_", *three))]
+    digits = lambda salt, most: F.substring(F.xxhash64(F.lit(salt), "id").cast("string"), 3, 1 + some(f"{salt}n", most).cast("int"))
+    date = lambda by: F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), some("t", 25_000).cast("int")), by)
+    ordinary = [
+        F.concat_ws("_", *three), F.concat(*map(F.initcap, three)), F.concat_ws("-", *three), F.upper(F.concat_ws("_", *three)),
+        F.concat(F.lit("/"), F.concat_ws("/", *three, digits("p", 4))), F.concat_ws("/", F.lit("https"), word("u"), F.lit("com"), digits("q", 5), word("v"), digits("r", 7)), F.concat_ws("/", digits("k", 4), digits("l", 2), digits("m", 8), digits("o", 3)),
+        F.concat_ws("-", word("w"), digits("s", 6), date("yyyy-MM-dd")), F.concat_ws("_", date("yyyyMMdd"), digits("j", 12), word("i")), date("yyyy/MM/dd"), digits("h", 16),
+    ]
     return rows.select(F.inline(F.array(*(F.struct(c.alias("text"), F.lit(s).alias("is_secret")) for cs, s in ((random, True), (ordinary, False)) for c in cs))))
 
 
-def corpus_samples(docs: DataFrame, one_in: int = 256) -> DataFrame:
-    """(text, is_secret=false): the words of letters of one document in ``one_in``, chosen by the hash of its id; of all documents up to 64 times as many.
+def corpus_samples(docs: DataFrame, most: int = 4096) -> DataFrame:
+    """(text, is_secret=false): the words and numbers of at most ``most`` documents, those with the least hash of their id; an id that is repeated counts once.
 
-    A bounded share of labelled samples (every word of a text is labelled ordinary) for a model of 4,900 numbers; it grows with the corpus.
+    What is too short to be a token is labelled ordinary.
     """
-    one_in = max(1, min(one_in, docs.count() // 64))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0)
-    return chosen.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("text"), F.lit(False).alias("is_secret"))
+    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    words = F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_-]{4,}"), F.lit(0)), lambda w: F.length(w) < 20)
+    return texts.select(F.explode(words).alias("text"), F.lit(False).alias("is_secret"))
 
 
 def train(samples: DataFrame, alpha: float = 0.5) -> list[float]:
@@ -116,15 +129,36 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
 
-def mask(docs: DataFrame, odds: list[float], mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by ``mark``; overlapping spans are masked as one. Rows without secrets stay as they are."""
-    # text up to each span, then the mark; spans come sorted, so one pass with the furthest end so far is enough
-    start = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<string>").alias("parts"))
-    step = lambda acc, x: F.when(x["start"] < acc["end"], F.struct(F.greatest(acc["end"], x["stop"]).alias("end"), acc["parts"].alias("parts"))).otherwise(F.struct(x["stop"].alias("end"), F.concat(acc["parts"], F.array(F.col("text").substr(acc["end"].cast("int") + 1, (x["start"] - acc["end"]).cast("int")), F.lit(mark))).alias("parts")))
-    finish = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.col("text").substr(acc["end"].cast("int") + 1, F.length("text")))
+def _piece(blocks: Column, size: int, start: Column, stop: Column) -> Column:
+    """The characters from ``start`` to before ``stop`` of a text that is cut into blocks: no block but those that it begins and ends in is cut again."""
+    first, last = F.floor(start / size).cast("int"), F.floor((stop - 1) / size).cast("int")
+    block = lambda k: F.get(blocks, k)
+    within = block(first).substr((start % size).cast("int") + 1, (stop - start).cast("int"))
+    tail = block(first).substr((start % size).cast("int") + 1, F.lit(size))
+    over = F.concat(tail, F.array_join(F.slice(blocks, first + 2, last - first - 1), ""), block(last).substr(F.lit(1), ((stop - 1) % size).cast("int") + 1))
+    return F.when(stop <= start, "").when(first == last, within).otherwise(over)
+
+
+def mask(docs: DataFrame, odds: list[float], mark: str = "[secret]", block: int = 1024) -> DataFrame:
+    """``docs`` with every secret in ``text`` replaced by ``mark``; overlapping spans are masked as one. Rows without secrets stay as they are.
+
+    The text is cut into blocks by one pass of a pattern, and what lies between spans is put together from these, so the work follows the text and its spans.
+    """
     name = fresh(docs, "_spans")
     found = docs.withColumn(name, all_spans(F.coalesce("text", F.lit("")), odds))
-    return found.withColumn("text", F.when(F.size(name) > 0, F.aggregate(name, start, step, finish)).otherwise(F.col("text"))).drop(name)
+    spans, zero = F.col(name), F.lit(0).cast("long")
+
+    def masked(blocks: Column, reach: Column) -> Column:
+        # a span that begins where the furthest one before has ended is masked on its own
+        gaps = F.transform(spans, lambda x, i: F.struct(F.greatest(F.get(reach, i), zero).alias("from"), x["start"].alias("to")))
+        gaps = F.filter(gaps, lambda g: g["to"] >= g["from"])
+        end = F.array_max(F.transform(spans, lambda x: x["stop"]))
+        whole = F.array_join(F.transform(gaps, lambda g: F.concat(_piece(blocks, block, g["from"], g["to"]), F.lit(mark))), "")
+        return F.concat(whole, _piece(blocks, block, end, F.length("text").cast("long")))
+
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    reach = furthest(F.transform(spans, lambda x: x["stop"]))
+    return found.withColumn("text", F.when(F.size(name) > 0, let(cut, lambda b: let(reach, lambda r: masked(b, r)))).otherwise(F.col("text"))).drop(name)
 
 
 def default_model(docs: DataFrame) -> list[float]:
