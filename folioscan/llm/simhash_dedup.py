@@ -12,10 +12,12 @@ Nulls and texts without words have fingerprint zero and are linked like any othe
 doc_ids are all null has a null component_id. Very long texts are read whole; ties (equal fingerprints, equal distances) are links like any other. Columns
 other than doc_id and text are only passed on. An empty table gives no rows.
 
-``keep_one`` leaves one document of each group of near copies. It has its own setting: shingles of five words, proposals within ``WIDE`` bits by the same
-trie join, and the exact Jaccard similarity of the two sets of shingles, 0.8 or more, before two texts are linked. A task proposes a forest that is
-grown by distance, nearest pairs first, so that a group of thousands of copies is verified along as many pairs as it has texts and not along all. Fingerprints
-within 7 bits are about a quarter of all pairs at a similarity of 0.8, most at 0.9 and nearly all at 0.95.
+``keep_one`` leaves one document of each group of near copies: those with an exact Jaccard similarity of 0.8 or more between their sets of five-word shingles.
+Two proposers find what is to be compared: the trie join over fingerprints of these shingles, and, because most pairs at 0.8 are further apart than a
+trie can be walked, sketches of least hashes. Similar texts share a band of four least hashes (all but one in 500 pairs at 0.8), and within a band's bucket one
+bit of each of ``HASHES`` tells how alike two texts are, with a standard error of 0.03. A task compares all sketches of a bucket, or of two parts of a large one, and
+proposes forests, the most alike first: one, and ``MORE`` others that join anew what no pair beyond doubt has joined. So a group of thousands of copies is
+verified along a few pairs a text and not along all. Every proposal is verified.
 """
 
 from __future__ import annotations
@@ -33,20 +35,44 @@ from pyspark.sql import types as T
 
 from folioscan.llm.common import stage
 
-BITS, WIDE, SIMILARITY = 64, 7, 0.8
+BITS, WIDE, SIMILARITY = 64, 3, 0.8
+#: Least hashes of a sketch; how many bands there are, of how many; the estimated similarity that is proposed, that is beyond doubt, and how many further forests there are.
+HASHES, BANDS, BAND = 512, 12, 4
+AGREE, SURE, MORE = 0.7, 0.89, 2
 
 
-def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
-    """Signed 64-bit SimHash of a text's shingles: a bit is 1 if set in over half of the shingles' XXH64."""
+def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; none for a text without words."""
     w = text.encode().lower().split()  # bytes: only A-Z change, only ASCII white space separates
     if not w:
-        return 0
+        return np.empty(0, np.uint64)
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else iter([b" ".join(w)])
-    n, ones, digest = max(1, len(w) - words + 1), np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, seed) for s in shingles), np.uint64, n)
-    for i in range(0, n, 16384):
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(s, seed) for s in shingles), np.uint64, max(1, len(w) - words + 1))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), 16384):
         ones += np.unpackbits(hashes[i : i + 16384].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
+    """Signed 64-bit SimHash of a text's shingles: a bit is 1 if set in over half of the shingles' XXH64."""
+    return _majority(shingle_hashes(text, words, seed))
+
+
+_TURNS = np.random.default_rng(11).integers(0, 1 << 32, (2, HASHES, 1), np.uint32)
+
+
+def sketch(hashes: np.ndarray) -> tuple[bytes, bytes]:
+    """The least of the hashes under each of ``HASHES`` orders, on which texts agree with the probability of their similarity: those of the bands, and one bit of each."""
+    short, least = np.unique((hashes >> np.uint64(32)).astype(np.uint32)), np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(short), 512):
+        least = np.minimum(least, (short[None, i : i + 512] * (_TURNS[0] | np.uint32(1)) + _TURNS[1]).min(axis=1))
+    mixed = (least ^ (least >> np.uint32(15))) * np.uint32(0x9E3779B1)
+    return least[: BANDS * BAND].tobytes(), np.packbits(mixed >> np.uint32(31) == 1).tobytes()
 
 
 def fingerprints_udf(words: int = 3):
@@ -57,6 +83,20 @@ def fingerprints_udf(words: int = 3):
     return prints
 
 
+def marks_udf(words: int):
+    """fp, and the two parts of the sketch."""
+
+    @F.pandas_udf("fp long, bands binary, bits binary")
+    def marks(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            hashes = shingle_hashes(t or "", words)
+            out.append((_majority(hashes), *sketch(hashes)))
+        return pd.DataFrame(out, columns=["fp", "bands", "bits"])
+
+    return marks
+
+
 def shingle_set(text: str, words: int) -> set[tuple[bytes, ...]]:
     """The words' shingles, as ``fingerprint`` takes them."""
     w = text.encode().lower().split()
@@ -286,7 +326,8 @@ def _placed(docs: DataFrame) -> DataFrame:
     """(row, file, at): rows with a name that lasts, the file and the row's number in it; what is not a table of Parquet files as it was read is staged first."""
     if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation" or not docs.inputFiles()[:1] or not docs.inputFiles()[0].endswith(".parquet"):
         docs = stage(docs, "rows")
-    return docs.select(F.struct("*").alias("row"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    place = docs.metadataColumn("_metadata")  # also where a column has that name
+    return docs.select(F.struct("*").alias("row"), F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at"))
 
 
 def verified(pairs: DataFrame, words: int, least: float) -> DataFrame:
@@ -299,29 +340,116 @@ def verified(pairs: DataFrame, words: int, least: float) -> DataFrame:
     return pairs.where(alike("text_a", "text_b")).select("a", "b")
 
 
+def _agreeing(one: np.ndarray, two: np.ndarray | None, most: int, block: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of sketches that differ in ``most`` bits at most, the most alike first, and those bits; within ``one``, or between it and ``two``, which are numbered behind it."""
+    found = [np.empty((3, 0), np.int64)]
+    for i in range(0, len(one), block):
+        others = one[i:] if two is None else two
+        for j in range(0, len(others), 4096):
+            apart = np.bitwise_count(one[i : i + block, None, :] ^ others[None, j : j + 4096, :]).sum(axis=2, dtype=np.int16)
+            x, y = np.nonzero(apart <= most)
+            n = apart[x, y]
+            x, y = x + i, y + j + (i if two is None else len(one))
+            found.append(np.stack([x, y, n])[:, x < y])
+    x, y, n = np.concatenate(found, axis=1)
+    order = np.argsort(n, kind="stable")
+    return x[order], y[order], n[order]
+
+
+def _levels(x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """Pairs that differ in as many bits, together."""
+    cuts = [0, *(np.flatnonzero(np.diff(apart)) + 1).tolist(), len(apart)]
+    return ([(x[s:e], y[s:e])] for s, e in zip(cuts, cuts[1:], strict=False))
+
+
+def _forests(n: int, x: np.ndarray, y: np.ndarray, apart: np.ndarray, sure: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs, and others of pairs not used before, between what pairs of up to ``sure`` bits leave apart."""
+    left, right = _spanning(n, _levels(x, y, apart))
+    used = [left * n + right]
+    for _ in range(MORE):
+        fresh = ~np.isin(x * n + y, np.concatenate(used))
+        known = apart <= sure
+        if not (fresh & ~known).any():
+            break
+        a, b = _spanning(n, ([(x[known], y[known])], *_levels(*(v[fresh & ~known] for v in (x, y, apart)))))
+        new = ~np.isin(a * n + b, x[known] * n + y[known])
+        used.append((a * n + b)[new])
+    every = np.concatenate(used)
+    return every // max(n, 1), every % max(n, 1)
+
+
+def _proposals(batches: Iterator[pd.DataFrame], most: int, sure: int) -> Iterator[pd.DataFrame]:
+    """Forests of the groups (band, key, i, j), which rows are sorted by; a group cut off by the end of a batch is carried on."""
+    head, kept = ["band", "key", "i", "j"], None
+
+    def done(rows: pd.DataFrame) -> pd.DataFrame:
+        marks = rows[head].to_numpy()
+        edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
+        nodes, bits, side = rows["node"].to_numpy(), np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(-1, HASHES // 64), rows["side"].to_numpy()
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for s, e in zip(edges, edges[1:], strict=False):
+            if marks[s, 2] != marks[s, 3]:
+                order = np.argsort(side[s:e], kind="stable") + s
+                cut = int((side[s:e] == 0).sum())
+                pairs = _agreeing(bits[order[:cut]], bits[order[cut:]], most)
+            else:
+                order, pairs = np.arange(s, e), _agreeing(bits[s:e], None, most)
+            a, b = _forests(e - s, *pairs, sure)
+            left.append(nodes[order[a]])
+            right.append(nodes[order[b]])
+        one, two = np.concatenate(left), np.concatenate(right)
+        return pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two)})
+
+    for rows in batches:
+        rows = rows if kept is None else pd.concat([kept, rows], ignore_index=True)
+        if not len(rows):
+            continue
+        last = (rows[head] == rows[head].iloc[-1]).all(axis=1).to_numpy()
+        begin = len(rows) - int(np.argmin(last[::-1])) if not last.all() else 0
+        kept = rows.iloc[begin:]
+        if begin:
+            yield done(rows.iloc[:begin])
+    if kept is not None and len(kept):
+        yield done(kept)
+
+
+def alike_by_sketch(nodes: DataFrame, node_rows: int = 2048, agree: float = AGREE, sure: float = SURE) -> DataFrame:
+    """(a, b): forests over the nodes (node, bands, bits) that share a band and agree in enough hashes; a bucket over ``node_rows`` is dealt as pairs of hashed parts."""
+    key = F.array(*(F.xxhash64(F.substring("bands", 1 + 4 * BAND * k, 4 * BAND)) for k in range(BANDS)))
+    rows = nodes.select("node", "bits", F.posexplode(key).alias("band", "key"))
+    sizes = rows.groupBy("band", "key").count().where("count > 1").select("band", "key", F.when(F.col("count") > node_rows, F.ceil(F.col("count") * 2 / node_rows)).otherwise(1).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, part).alias("i"), F.greatest(k, part).alias("j"), F.when(part > k, 1).otherwise(0).alias("side")))
+    dealt = rows.join(sizes, ["band", "key"]).select("band", "key", "node", "bits", F.inline(meets)).repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+    return dealt.mapInPandas(lambda batches: _proposals(batches, *(int(HASHES * (1 - s) / 2) for s in (agree, sure))), "a long, b long").distinct()
+
+
 def keep_one(docs: DataFrame, radius: int = WIDE, node_rows: int = 4096, words: int = 5, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` with one row left of each group of near copies: that with the least doc_id, null last, then the least hash of its text.
 
-    Texts travel three times at most: those that stand for a fingerprint with proposals to be verified, each pair of them, and the rows that stay.
+    Texts with proposals are fetched and go once to each pair that they are in. Rows are found by their places: while the list of places is small it is broadcast and other
+    texts stay where they are; beyond that Spark shuffles the table, once to fetch texts and once to leave out rows.
     """
     rows = _placed(docs)
     text = F.coalesce("row.text", F.lit(""))
-    prints = stage(rows.select(F.col("row.doc_id").alias("doc_id"), fingerprints_udf(words)("row.text").alias("fp"), F.xxhash64(text).alias("h"), "file", "at"), "prints")
+    marked = rows.select(F.col("row.doc_id").alias("doc_id"), marks_udf(words)("row.text").alias("m"), F.xxhash64(text).alias("h"), "file", "at")
+    prints = stage(marked.select("doc_id", "m.*", "h", "file", "at"), "prints")
     # a node is a text; its best row is the one that would stay
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "file", "at")).alias("best")
-    nodes = stage(prints.groupBy("fp", "h").agg(best).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = stage(prints.groupBy("fp", "h").agg(best, F.first("bands").alias("bands"), F.first("bits").alias("bits")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     heads = nodes.groupBy("fp").agg(F.min(F.struct("h", "node")).alias("head"), F.count("*").alias("texts"))
     heads = stage(heads.select("fp", F.col("head.node").alias("head"), "texts"), "heads")
     far = links(heads.select("fp"), radius, node_rows, nearest=True)
     ends = heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), heads.select(F.col("fp").alias("b"), F.col("head").alias("y"))
-    far = far.join(ends[0], "a").join(ends[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    same = nodes.join(heads.where("texts > 1"), "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    pairs = stage(far.union(same).distinct(), "pairs")
+    far = far.join(ends[0], "a").join(ends[1], "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    same = nodes.join(heads.where("texts > 1"), "fp").where("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
+    pairs = stage(far.union(same).union(alike_by_sketch(nodes.select("node", "bands", "bits"), node_rows // 2)).distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     asked = nodes.join(asked, "node", "left_semi").select("node", F.col("best.file").alias("file"), F.col("best.at").alias("at"))
-    texts = stage(rows.select("file", "at", text.alias("text")).join(asked, ["file", "at"]).select("node", "text"), "texts")
+    texts = stage(rows.select("file", "at", text.alias("text")).join(stage(asked, "asked"), ["file", "at"]).select("node", "text"), "texts")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     roots = components(verified(both, words, least))
     grouped = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
     stays = grouped.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.file").alias("file"), F.col("best.at").alias("at"))
-    return rows.join(stays, ["file", "at"], "left_semi").select("row.*")
+    gone = stage(prints.select("file", "at").join(stays, ["file", "at"], "left_anti"), "gone")
+    return rows.join(gone, ["file", "at"], "left_anti").select("row.*")
