@@ -18,6 +18,10 @@ VISIBLE = {"\u3000": "␣(全角空格)", "\u00a0": "␣(不换行空格)", "\u2
 WHITE = "\t\n\u000b\f\r \u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
+#: The same as a literal of Spark's SQL.
+SPACE_LITERAL = "'" + "".join(f"\\u{ord(c):04x}" for c in WHITE) + "'"
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends, of any script."""
     return F.btrim(text, F.lit(WHITE))

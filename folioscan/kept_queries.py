@@ -1,4 +1,4 @@
-"""Registered queries of what is stored and written: answers that are kept, learned records, report files. Registered by ``folioscan.queries``."""
+"""Registered queries of what is stored and written: answers that are kept, learned records, report files, and of SQL over the views. Registered by ``folioscan.queries``."""
 
 from __future__ import annotations
 
@@ -8,9 +8,11 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan import sinks
+from folioscan import seeds, sinks, sql
 from folioscan.plans import answers, issues, learned, word_report
-from folioscan.queries import _ISSUES_SQL, _TITLES, _files, _issues, query
+from folioscan.config import Config
+from folioscan.queries import _BARE, _ISSUES_SQL, _TITLES, LITERALS, _files, _issues, only, query, rows_sql
+from folioscan.seeds import SEEDED_SQL
 from folioscan.sources import files, office
 from folioscan.staging import shared_dir
 
@@ -89,3 +91,34 @@ def i_report_files(spark, sf):
     cells = office.word_rows(listed).where("part = 'cell' and row > 1")
     told = cells.groupBy("doc_id").agg(F.count_if(F.col("col") == 1).alias("rows"), F.md5(F.array_join(F.array_sort(F.collect_list(F.when(F.col("col") == 3, F.col("text")))), ",")).alias("titles"), F.count_if((F.col("col") == 4) & (F.col("text") == "严重")).alias("high"))
     return told.join(listed.select("doc_id", "file_name"), "doc_id").drop("doc_id")
+
+
+@query(f"WITH {_ISSUES_SQL}, c AS (SELECT {_TITLES} AS rule_title, count(*) AS issues FROM issues WHERE state <> 'ignored' GROUP BY 1) SELECT rule_title, issues, round(100.0 * issues / sum(issues) OVER (), 1) AS share, row_number() OVER (ORDER BY issues DESC, rule_title) AS place FROM c")
+def s_by_rule(spark, sf):
+    """``i_by_rule`` as SQL over the views."""
+    sql.register(spark, seeds.seeded(spark, sf), _issues(spark, sf), _files(spark, sf))
+    return spark.sql("""
+        SELECT rule_title, issues, round(100 * issues / sum(issues) OVER (), 1) AS share, row_number() OVER (ORDER BY issues DESC, rule_title) AS place
+        FROM (SELECT rule_title, count(*) AS issues FROM issues WHERE state <> 'ignored' GROUP BY rule_title)""")
+
+
+_FOUND = [x for x in LITERALS if x[0] in ("tn_colloquial", "tn_typo")]
+
+
+@query(f"WITH {SEEDED_SQL} SELECT rule_key, doc_id % 3 AS third, count(*) AS issues, count(DISTINCT doc_id) AS files FROM paras JOIN {rows_sql([(r, p) for r, p, _ in _FOUND], 'rule_key, phrase')} ON contains(text, phrase) GROUP BY ALL")
+def s_rules_over_a_view(spark, sf):
+    """Rules run over a view that was made in SQL; their findings are grouped with the rules' settings."""
+    seeds.seeded(spark, sf).createOrReplaceTempView("paragraphs_of_documents")
+    spark.sql("CREATE OR REPLACE TEMPORARY VIEW my_units AS SELECT * FROM paragraphs_of_documents WHERE text <> ''")
+    sql.register(spark, "my_units", config=only("tn_colloquial", "tn_typo"))
+    return spark.sql("""
+        SELECT rule_key, doc_id % 3 AS third, count(*) AS issues, count(DISTINCT doc_id) AS files
+        FROM issues JOIN rules_cfg USING (rule_key) WHERE enabled AND section = 'textnorm' GROUP BY ALL""")
+
+
+@query(f"SELECT conv_id, turn, {_BARE.format('text')} <> '' AS ok, length({_BARE.format('text')}) AS letters FROM conversations WHERE text <> ''")
+def s_functions(spark, sf):
+    """Each turn against itself by the functions of SQL."""
+    sql.register(spark, seeds.seeded(spark, sf), config=Config())
+    spark.read.parquet(f"{sf}/conversations.parquet").createOrReplaceTempView("turns")
+    return spark.sql("SELECT conv_id, turn, folio_grounded(text, concat('x ', text, ' y')) AS ok, CAST(length(folio_bare(text)) AS BIGINT) AS letters FROM turns WHERE text <> ''")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscan.config import SEVERITY_WEIGHTS, Config
 from folioscan.skew import numbered
+from folioscan.staging import stage
 
 #: File types, states and statuses.
 TYPES = ("Word", "Excel", "PDF", "不支持")
@@ -49,13 +50,31 @@ def without_blank(results: DataFrame, contents: DataFrame) -> DataFrame:
     return results.join(contents, "doc_id", "left").where(~blank).drop("content_count")
 
 
-def summary(results: DataFrame, issues: DataFrame) -> DataFrame:
-    """One row of totals. A file whose issues are all ignored has passed; checked issues still count."""
-    live = F.col("state") != "ignored"
+def summary(results: DataFrame, issues: DataFrame | None, totals: dict[str, int] | None = None) -> DataFrame:
+    """One row of totals. A file whose issues are all ignored has passed; checked issues still count. With the ``totals`` of ``written`` no issues are read."""
     files = results.agg(F.count("*").alias("total_files"), F.count_if(F.col("status") == ERROR).alias("error_files"), F.count_if((F.col("status") != ERROR) & (F.col("active_issue_count") > 0)).alias("issue_files"))
     files = files.withColumn("pass_files", F.col("total_files") - F.col("error_files") - F.col("issue_files"))
-    found = issues.agg(F.count_if(live).alias("total_issues"), *(F.count_if(live & (F.col("severity") == s)).alias(f"{s}_issues") for s in SEVERITY_WEIGHTS), F.count_if(~live).alias("ignored_count"), F.count_if(F.col("state") == "checked").alias("checked_count"))
-    return files.join(found).withColumn("pass_rate", F.when(F.col("total_files") > 0, F.round(100 * F.col("pass_files") / F.col("total_files"), 1)).otherwise(0.0))  # one row each
+    if totals is None:
+        files = files.join(issues.agg(*_totals()))  # one row each
+    else:
+        files = files.withColumns({k: F.lit(v).cast("long") for k, v in totals.items()})
+    return files.withColumn("pass_rate", F.when(F.col("total_files") > 0, F.round(100 * F.col("pass_files") / F.col("total_files"), 1)).otherwise(0.0))
+
+
+def _totals() -> list[Column]:
+    live = F.col("state") != "ignored"
+    counts = [F.count_if(live).alias("total_issues"), *(F.count_if(live & (F.col("severity") == s)).alias(f"{s}_issues") for s in SEVERITY_WEIGHTS)]
+    return [*counts, F.count_if(~live).alias("ignored_count"), F.count_if(F.col("state") == "checked").alias("checked_count")]
+
+
+def written(issues: DataFrame, name: str = "issues", by: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, int]]:
+    """The issues, staged, and their totals, which are counted in the pass that writes them, so that texts are read and rules run once.
+
+    A listener for queries can see the totals under ``name``; tasks that are run again count once, as the counting is the last thing before the file.
+    """
+    seen = Observation(name)
+    kept = stage(issues.observe(seen, *_totals()), name, by)
+    return kept, dict(seen.get)
 
 
 def by_type(results: DataFrame) -> DataFrame:

@@ -389,8 +389,9 @@ def i_file_results(spark, sf):
 @query(f"""WITH {_ISSUES_SQL}, f AS (SELECT count(*) AS total_files, count(*) FILTER (bad) AS error_files, count(*) FILTER (NOT bad AND active_issue_count > 0) AS issue_files FROM per)
 SELECT total_files, error_files, issue_files, total_files - error_files - issue_files AS pass_files, round(100.0 * (total_files - error_files - issue_files) / total_files, 1) AS pass_rate, t.* FROM f, (SELECT count(*) FILTER (state <> 'ignored') AS total_issues, count(*) FILTER (state <> 'ignored' AND severity = 'high') AS high_issues, count(*) FILTER (state <> 'ignored' AND severity = 'medium') AS medium_issues, count(*) FILTER (state <> 'ignored' AND severity = 'low') AS low_issues, count(*) FILTER (state = 'ignored') AS ignored_count, count(*) FILTER (state = 'checked') AS checked_count FROM issues) t""")
 def i_summary(spark, sf):
-    found = _issues(spark, sf)
-    return issues.summary(issues.file_results(_files(spark, sf), found), found)
+    """The issues are written once, and their totals counted meanwhile."""
+    found, totals = issues.written(_issues(spark, sf))
+    return issues.summary(issues.file_results(_files(spark, sf), found), None, totals)
 
 
 @query(f"WITH {_ISSUES_SQL}, c AS (SELECT {_TITLES} AS rule_title, count(*) AS issues FROM issues WHERE state <> 'ignored' GROUP BY 1) SELECT rule_title, issues, round(100.0 * issues / sum(issues) OVER (), 1) AS share, row_number() OVER (ORDER BY issues DESC, rule_title) AS place FROM c")
