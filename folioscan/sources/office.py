@@ -102,50 +102,83 @@ def _column(ref: str) -> int:
     return n
 
 
+def _streamed(z: zipfile.ZipFile, part: str, *tags: str) -> Iterator[ET.Element]:
+    """Elements of a part as they end, one at a time; each is dropped before the next is read."""
+    with z.open(part) as source:
+        around = []
+        for event, node in ET.iterparse(source, ("start", "end")):
+            if event == "start":
+                around.append(node)
+                continue
+            around.pop()
+            if node.tag in tags and not any(n.tag in tags for n in around):
+                yield node
+                node.clear()
+                if around:
+                    around[-1].remove(node)
+
+
+def sheet_names(z: zipfile.ZipFile) -> list[tuple[str, int, str]]:
+    """(name, number from 1, part) of a workbook's sheets."""
+    targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    parts = [(s.get("name") or "", targets[s.get(R + "id")]) for s in ET.fromstring(z.read("xl/workbook.xml")).iter(S + "sheet")]
+    return [(name, n, t.lstrip("/") if t.startswith("/") else f"xl/{t}") for n, (name, t) in enumerate(parts, 1)]
+
+
+def cell_formats(z: zipfile.ZipFile) -> list[str]:
+    if "xl/styles.xml" not in z.namelist():
+        return ["General"]
+    styles = ET.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): f.get("formatCode") for f in styles.iter(S + "numFmt")}
+    xfs = styles.find(S + "cellXfs")
+    return [own.get(i := int(x.get("numFmtId", 0)), FORMATS.get(i, "General")) for x in (xfs if xfs is not None else ())] or ["General"]
+
+
+def shared_strings(z: zipfile.ZipFile) -> list[str]:
+    return ["".join(t.text or "" for t in si.iter(S + "t")) for si in _streamed(z, "xl/sharedStrings.xml", S + "si")] if "xl/sharedStrings.xml" in z.namelist() else []
+
+
+def sheet_parts(z: zipfile.ZipFile, name: str, n: int, part: str, strings: list[str], formats: list[str]) -> Iterator[tuple]:
+    """One sheet: itself, its cells, merged ranges and hidden rows and columns, read row by row."""
+    yield ("sheet", name, n, None, None, None, None, None, None, None)
+    at = 0
+    for node in _streamed(z, part, S + "col", S + "mergeCell", S + "row"):
+        if node.tag == S + "col":
+            if node.get("hidden") in ("1", "true"):
+                for k in range(int(node.get("min")), min(int(node.get("max")), 16384) + 1):
+                    yield ("hidden_col", name, n, None, k, None, None, None, None, None)
+            continue
+        if node.tag == S + "mergeCell":
+            first = node.get("ref").split(":")[0]
+            yield ("merged", name, n, int(re.search(r"\d+", first)[0]), _column(first), None, None, None, None, node.get("ref"))
+            continue
+        at = int(node.get("r") or at + 1)
+        if node.get("hidden") in ("1", "true"):
+            yield ("hidden_row", name, n, at, None, None, None, None, None, None)
+        col = 0
+        for c in node.findall(S + "c"):
+            col = _column(c.get("r")) if c.get("r") else col + 1
+            if at > SCAN_ROWS or col > SCAN_COLS:
+                continue
+            v, f, kind = c.find(S + "v"), c.find(S + "f"), c.get("t", "n")
+            fmt = formats[i] if (i := int(c.get("s", 0))) < len(formats) else "General"
+            value = v.text if v is not None else None
+            if kind == "s" and value is not None:
+                value = strings[int(value)]
+            elif kind == "inlineStr":
+                value = "".join(t.text or "" for t in c.iter(S + "t"))
+            dated = kind == "n" and re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|General', "", fmt), re.IGNORECASE)
+            what = {"s": "文本", "str": "文本", "inlineStr": "文本", "b": "布尔", "e": "文本"}.get(kind, "日期" if dated else "数字")
+            if value is not None or f is not None:
+                yield ("cell", name, n, at, col, value, what, fmt, None if f is None else "=" + (f.text or ""), None)
+
+
 def excel_parts(raw: bytes) -> Iterator[tuple]:
     """Sheets, cells, merged ranges and hidden rows and columns of a workbook."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        names = set(z.namelist())
-        strings = ["".join(t.text or "" for t in si.iter(S + "t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall(S + "si")] if "xl/sharedStrings.xml" in names else []
-        formats: list[str] = ["General"]
-        if "xl/styles.xml" in names:
-            styles = ET.fromstring(z.read("xl/styles.xml"))
-            own = {int(f.get("numFmtId")): f.get("formatCode") for f in styles.iter(S + "numFmt")}
-            xfs = styles.find(S + "cellXfs")
-            formats = [own.get(i := int(x.get("numFmtId", 0)), FORMATS.get(i, "General")) for x in (xfs if xfs is not None else ())] or formats
-        targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for n, sheet in enumerate(ET.fromstring(z.read("xl/workbook.xml")).iter(S + "sheet"), 1):
-            name, target = sheet.get("name") or "", targets[sheet.get(R + "id")]
-            yield ("sheet", name, n, None, None, None, None, None, None, None)
-            root = ET.fromstring(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}"))
-            for c in root.iter(S + "col"):
-                if c.get("hidden") in ("1", "true"):
-                    for k in range(int(c.get("min")), min(int(c.get("max")), 16384) + 1):
-                        yield ("hidden_col", name, n, None, k, None, None, None, None, None)
-            for m in root.iter(S + "mergeCell"):
-                first = m.get("ref").split(":")[0]
-                yield ("merged", name, n, int(re.search(r"\d+", first)[0]), _column(first), None, None, None, None, m.get("ref"))
-            at = 0
-            for row in root.iter(S + "row"):
-                at = int(row.get("r") or at + 1)
-                if row.get("hidden") in ("1", "true"):
-                    yield ("hidden_row", name, n, at, None, None, None, None, None, None)
-                col = 0
-                for c in row.findall(S + "c"):
-                    col = _column(c.get("r")) if c.get("r") else col + 1
-                    if at > SCAN_ROWS or col > SCAN_COLS:
-                        continue
-                    v, f, kind = c.find(S + "v"), c.find(S + "f"), c.get("t", "n")
-                    fmt = formats[i] if (i := int(c.get("s", 0))) < len(formats) else "General"
-                    value = v.text if v is not None else None
-                    if kind == "s" and value is not None:
-                        value = strings[int(value)]
-                    elif kind == "inlineStr":
-                        value = "".join(t.text or "" for t in c.iter(S + "t"))
-                    dated = kind == "n" and re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|General', "", fmt), re.IGNORECASE)
-                    what = {"s": "文本", "str": "文本", "inlineStr": "文本", "b": "布尔", "e": "文本"}.get(kind, "日期" if dated else "数字")
-                    if value is not None or f is not None:
-                        yield ("cell", name, n, at, col, value, what, fmt, None if f is None else "=" + (f.text or ""), None)
+        strings, formats = shared_strings(z), cell_formats(z)
+        for name, n, part in sheet_names(z):
+            yield from sheet_parts(z, name, n, part, strings, formats)
 
 
 def _parsed(files: DataFrame, parts: Callable[[bytes], Iterator[tuple]], shape: str, blank: int) -> DataFrame:
