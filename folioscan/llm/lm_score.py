@@ -1,7 +1,9 @@
 """Masked pseudo-likelihood of documents.
 
 A word is predicted from the ``REACH`` words on either side of it by a small network: embeddings of the neighbours, one hidden layer, a softmax over
-the vocabulary. The vocabulary is the most frequent words of all documents; other words fall into classes by the hash of their last three letters.
+the vocabulary. The vocabulary is the most frequent words of all documents; other words fall into classes, which are learned: words are put in ``ENDINGS``
+buckets by the hash of their last three letters, all documents are counted for which of ``NEAR`` buckets of words stand around each, and buckets with like
+neighbours become a class, by splitting the heaviest class in two until there are ``CLASSES``. So a class says which words go together, a language for one.
 All other words of all documents are counted as well, so that a word's probability is that of its class times that of the word given its class: its
 count and ``UNSEEN`` among those of the class, in which all words that occur in no document are one word more, of count 0. That table is as large as
 the corpus makes it: the ``HEAD`` most frequent of its words go to every task, occurrences of the others are joined to it on Spark.
@@ -21,9 +23,8 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from folioscan.llm.common import map_texts, stage
 
 REACH, VOCAB, CLASSES, WIDTH, HIDDEN, ROUNDS = 2, 256, 64, 16, 32, 3
 HEAD, UNSEEN, MASKED = 1 << 16, 0.5, 0.2
+ENDINGS, NEAR, PRIOR = 4096, 128, 20.0
 PAD = 0  # stands outside a document and is never predicted
 SHAPES = ((VOCAB, WIDTH), (2 * REACH * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, VOCAB), (VOCAB,))
 
@@ -52,21 +54,28 @@ def first_weights(seed: int = 11) -> np.ndarray:
     return np.concatenate([(rng.normal(0, 1 / np.sqrt(s[0]), s) if len(s) > 1 else np.zeros(s)).ravel() for s in SHAPES]).astype(np.float32)
 
 
+def ending(word: str) -> int:
+    return zlib.crc32(word[-3:].encode()) % ENDINGS
+
+
 @dataclass
 class Model:
+    """The frequent words, the network, and the class of each bucket of endings; before they are learned, classes are by the hash alone."""
+
     words: list[str]
     weights: np.ndarray
+    classes: np.ndarray = field(default_factory=lambda: np.arange(ENDINGS) % CLASSES)
 
     def coder(self, most: int = 1 << 18) -> Callable[..., np.ndarray]:
         """text -> token ids: 1.. for the frequent words, then the classes; words of classes are added to ``others``. Up to ``most`` words are remembered."""
-        ids, first = {w: i + 1 for i, w in enumerate(self.words)}, VOCAB - CLASSES
+        ids, first, classes = {w: i + 1 for i, w in enumerate(self.words)}, VOCAB - CLASSES, self.classes.tolist()
 
         def code(text: str, others: list[str] | None = None) -> np.ndarray:
             out = []
             for w in text.lower().split():
                 i = ids.get(w)
                 if i is None:
-                    i = first + zlib.crc32(w[-3:].encode()) % CLASSES
+                    i = first + classes[ending(w)]
                     if len(ids) < most:
                         ids[w] = i
                 if i >= first and others is not None:
@@ -139,27 +148,95 @@ class Others:
     unseen: list[float]
 
 
-def _counted(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """Counts of words, handed on whenever more than ``most`` different ones are held."""
-    held: Counter[str] = Counter()
+class _Numbers(dict):
+    """Numbers from 1 on for words, as they come; of each its ending's bucket and its own among neighbours, from 1 on."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.endings, self.near = [0], [0]
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self) + 1
+        self.endings.append(1 + ending(word))
+        self.near.append(1 + zlib.crc32(word.encode()) % NEAR)
+        return n
+
+
+def _counted(batches: Iterator[pa.RecordBatch], most: int = 1 << 18, at_once: int = 256) -> Iterator[pa.RecordBatch]:
+    """Counts of words, handed on whenever more than ``most`` different ones are held, and at the end counts of endings by words around them."""
+    known, kinds, seen, side = _Numbers(), np.zeros((2, 1), np.int64), np.zeros(1, np.int64), NEAR + 1
+    cells = np.zeros((ENDINGS + 1) * side, np.int64)
 
     def told() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["w", "n"])
-        held.clear()
-        return out
+        n = np.zeros(len(known), np.int64)
+        n[: len(seen) - 1] = seen[1:]
+        return pa.RecordBatch.from_arrays([pa.array(known.keys(), pa.string()), pa.nulls(len(known), pa.int32()), pa.array(n)], names=["w", "cell", "n"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            held.update((text or "").lower().split())
-            if len(held) > most:
+        for i in range(0, batch.num_rows, at_once):
+            line: list[int] = []
+            for text in batch.column(0).slice(i, at_once).to_pylist():
+                line += [known[w] for w in (text or "").lower().split()]
+                line += [0] * REACH
+            ids, old = np.array(line), kinds.shape[1]
+            kinds = np.concatenate((kinds, np.array([known.endings[old:], known.near[old:]], np.int64)), 1)
+            now = np.bincount(ids, minlength=len(known) + 1)
+            now[: len(seen)] += seen
+            seen = now
+            for d in range(1, REACH + 1):
+                for one, two in ((ids[:-d], ids[d:]), (ids[d:], ids[:-d])):
+                    cells += np.bincount(kinds[0][one] * side + kinds[1][two], minlength=len(cells))
+            if len(known) > most:
                 yield told()
-    if held:
+                known, kinds, seen = _Numbers(), np.zeros((2, 1), np.int64), np.zeros(1, np.int64)
+    if known:
+        seen[0] = 0
         yield told()
+    table = cells.reshape(-1, side)[1:, 1:].ravel()
+    some = np.flatnonzero(table)
+    if len(some):
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.string()), pa.array(some, pa.int32()), pa.array(table[some])], names=["w", "cell", "n"])
+
+
+def gather(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(w, n): how often each word of all documents occurs; (cell, n): how often an ending's bucket and a neighbour's stand near each other. Staged together."""
+    counted = docs.select("text").mapInArrow(_counted, "w string, cell int, n long")
+    whole = stage(counted.groupBy("w", "cell").agg(F.sum("n").alias("n")), "words")
+    return whole.where("w is not null").select("w", "n"), whole.where("cell is not null").select("cell", "n")
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(w, n): how often each word of all documents occurs, staged."""
-    return stage(docs.select("text").mapInArrow(_counted, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
+    return gather(docs)[0]
+
+
+def learned_classes(cells: DataFrame) -> np.ndarray:
+    """The class of each bucket of endings: buckets with like neighbours together."""
+    table = np.zeros(ENDINGS * NEAR)
+    for r in cells.collect():  # at most ENDINGS * NEAR numbers
+        table[r["cell"]] = r["n"]
+    table = table.reshape(ENDINGS, NEAR)
+    if not table.any():
+        return np.arange(ENDINGS) % CLASSES
+    weight, share = table.sum(1) + 1e-9, table.sum(0) / table.sum()
+    # square roots of shares, so that plain distances tell how unlike two buckets are; few occurrences count as the average
+    x = np.sqrt((table + PRIOR * share) / (table.sum(1, keepdims=True) + PRIOR)) - np.sqrt(share)
+    groups = [np.arange(ENDINGS)]
+    while len(groups) < CLASSES:
+        own = groups.pop(max(range(len(groups)), key=lambda i: weight[groups[i]].sum() if len(groups[i]) > 1 else -1.0))
+        w = weight[own]
+        z = x[own] - np.average(x[own], axis=0, weights=w)
+        way = np.linalg.eigh((z * w[:, None]).T @ z)[1][:, -1]
+        along = z @ (way * np.sign(way[np.argmax(np.abs(way))]))
+        order = np.argsort(along, kind="stable")
+        # where two parts are furthest from each other for their weight
+        sums, ws = np.cumsum((along * w)[order]), np.cumsum(w[order])
+        gain = sums[:-1] ** 2 / ws[:-1] + (sums[-1] - sums[:-1]) ** 2 / (ws[-1] - ws[:-1])
+        cut = int(np.argmax(gain)) + 1
+        groups += [own[order[:cut]], own[order[cut:]]]
+    out = np.zeros(ENDINGS, np.int64)
+    for k, own in enumerate(groups):
+        out[own] = k
+    return out
 
 
 def vocabulary(counts: DataFrame, size: int = VOCAB - CLASSES - 1) -> list[str]:
@@ -181,13 +258,14 @@ def _frequent(table: DataFrame, most: int) -> DataFrame:
     return table
 
 
-def _class(word: Column) -> Column:
-    return F.pmod(F.crc32(F.encode(F.right(word, F.lit(3)), "utf-8")), F.lit(CLASSES)).cast("int")
+def _class(word: Column, model: Model) -> Column:
+    bucket = F.pmod(F.crc32(F.encode(F.right(word, F.lit(3)), "utf-8")), F.lit(ENDINGS)).cast("int")
+    return F.get(F.expr(f"array({', '.join(map(str, model.classes.tolist()))})"), bucket)
 
 
 def other_words(counts: DataFrame, model: Model, head: int = HEAD) -> Others:
     """The table of all counted words that ``model`` knows by their class only."""
-    rest = counts.where(~F.col("w").isin(model.words)).withColumn("c", _class(F.col("w")))
+    rest = counts.where(~F.col("w").isin(model.words)).withColumn("c", _class(F.col("w"), model))
     totals = {r["c"]: r["n"] + UNSEEN * (r["v"] + 1) for r in rest.groupBy("c").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}  # CLASSES rows
     totals = [math.log(totals.get(c, UNSEEN)) for c in range(CLASSES)]
     table = rest.select("w", "n", (F.log(F.col("n") + UNSEEN) - F.get(F.array(*map(F.lit, totals)), F.col("c"))).alias("given"))
@@ -214,17 +292,19 @@ def training_part(docs: DataFrame, k: int, one_in: int) -> DataFrame:
     return docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(one_in)) == k % one_in).select("text")
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, one_in: int = ROUNDS, rate: float = 0.5, counts: DataFrame | None = None) -> Model:
-    """Vocabulary from all documents, or their ``counts``; weights by averaging what every task learns, round after round."""
+def train(docs: DataFrame, rounds: int = ROUNDS, one_in: int = ROUNDS, rate: float = 0.5, counts: DataFrame | None = None, cells: DataFrame | None = None) -> Model:
+    """Vocabulary and classes from all documents, or what ``gather`` has found in them; weights by averaging what every task learns, round after round."""
     sc = docs.sparkSession.sparkContext
-    model = Model(vocabulary(count_words(docs) if counts is None else counts), first_weights())
+    if counts is None or cells is None:
+        counts, cells = gather(docs)
+    model = Model(vocabulary(counts), first_weights(), learned_classes(cells))
     for k in range(rounds):
         shared = sc.broadcast(model)
         learned = training_part(docs, k, one_in).mapInArrow(lambda b, k=k, shared=shared: _round(b, shared.value, rate / (1 + k), k), "seen long, w array<float>")
         each = learned.select("seen", F.posexplode("w").alias("i", "v"))
         mean = each.groupBy("i").agg((F.sum(F.col("v").cast("double") * F.col("seen")) / F.sum("seen")).cast("float").alias("v")).orderBy("i").collect()  # one row per weight
         if mean:
-            model = Model(model.words, np.array([r["v"] for r in mean], np.float32))
+            model = Model(model.words, np.array([r["v"] for r in mean], np.float32), model.classes)
     return model
 
 
@@ -251,7 +331,7 @@ def _with_others(docs: DataFrame, model: Model, others: Others) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model, others.head))  # as large for any input
     found = map_texts(docs, lambda: _scorer(*shared.value), "n_tokens long, log_prob double, rest array<string>", rows=64)
     found = stage(found.withColumn("row", F.monotonically_increasing_id()), "scored")
-    unseen = F.get(F.array(*map(F.lit, others.unseen)), _class(F.col("w")))
+    unseen = F.get(F.array(*map(F.lit, others.unseen)), _class(F.col("w"), model))
     each = found.select("row", F.explode("rest").alias("w")).join(others.tail, "w", "left").select("row", F.coalesce("given", unseen).alias("given"))
     more = each.groupBy("row").agg(F.sum("given").alias("more"))
     return found.drop("rest").join(more, "row", "left").select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("more", F.lit(0.0))).alias("log_prob"))

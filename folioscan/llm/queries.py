@@ -52,8 +52,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    counts = lm_score.count_words(docs)
-    model = lm_score.train(docs, counts=counts)
+    counts, cells = lm_score.gather(docs)
+    model = lm_score.train(docs, counts=counts, cells=cells)
     return lm_score.score(docs, model, lm_score.other_words(counts, model))
 
 
