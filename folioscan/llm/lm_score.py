@@ -2,8 +2,8 @@
 
 A word is predicted from the ``REACH`` words on either side of it by a small network: embeddings of the neighbours, one hidden layer, a softmax over
 the vocabulary. The vocabulary is the most frequent words of all documents; other words fall into classes, which are learned: words are put in ``ENDINGS``
-buckets by the hash of their last three letters, all documents are counted for which of ``NEAR`` buckets of words stand around each, and buckets with like
-neighbours become a class, by splitting the heaviest class in two until there are ``CLASSES``. So a class says which words go together, a language for one.
+buckets by the hash of their last three letters, all documents are counted for which of ``NEAR`` buckets of words follow each within ``REACH`` places, and buckets that
+are followed alike become a class, by splitting the heaviest class in two until there are ``CLASSES``. So a class says which words go together, a language for one.
 All other words of all documents are counted as well, so that a word's probability is that of its class times that of the word given its class: its
 count and ``UNSEEN`` among those of the class, in which all words that occur in no document are one word more, of count 0. That table is as large as
 the corpus makes it: the ``HEAD`` most frequent of its words go to every task, occurrences of the others are joined to it on Spark.
@@ -23,8 +23,10 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from folioscan.llm.common import map_texts, stage
 
 REACH, VOCAB, CLASSES, WIDTH, HIDDEN, ROUNDS = 2, 256, 64, 16, 32, 3
 HEAD, UNSEEN, MASKED = 1 << 16, 0.5, 0.2
-ENDINGS, NEAR, PRIOR = 4096, 128, 20.0
+ENDINGS, NEAR, PRIOR = 4096, 64, 20.0
 PAD = 0  # stands outside a document and is never predicted
 SHAPES = ((VOCAB, WIDTH), (2 * REACH * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, VOCAB), (VOCAB,))
 
@@ -66,24 +68,40 @@ class Model:
     weights: np.ndarray
     classes: np.ndarray = field(default_factory=lambda: np.arange(ENDINGS) % CLASSES)
 
-    def coder(self, most: int = 1 << 18) -> Callable[..., np.ndarray]:
-        """text -> token ids: 1.. for the frequent words, then the classes; words of classes are added to ``others``. Up to ``most`` words are remembered."""
-        ids, first, classes = {w: i + 1 for i, w in enumerate(self.words)}, VOCAB - CLASSES, self.classes.tolist()
+    def coder(self) -> Callable[[str], np.ndarray]:
+        """text -> token ids: 1.. for the frequent words, then the classes."""
+        codes = Codes(self)
+        return lambda text: codes.of([text.lower().split()])[0]
 
-        def code(text: str, others: list[str] | None = None) -> np.ndarray:
-            out = []
-            for w in text.lower().split():
-                i = ids.get(w)
-                if i is None:
-                    i = first + classes[ending(w)]
-                    if len(ids) < most:
-                        ids[w] = i
-                if i >= first and others is not None:
-                    others.append(w)
-                out.append(i)
-            return np.array(out, np.int32)
 
-        return code
+class Codes(dict):
+    """Numbers for words as they come, with the token id of each and, with ``head``, its log-probability given its class: 0 for frequent words, NaN for words not in it.
+
+    More than ``most`` words are forgotten before the next texts.
+    """
+
+    def __init__(self, model: Model, head: dict[str, float] | None = None, most: int = 1 << 18) -> None:
+        super().__init__()
+        self.model, self.head, self.most, self.classes = model, head, most, model.classes.tolist()
+        self._start()
+
+    def _start(self) -> None:
+        self.clear()
+        self.update({w: k for k, w in enumerate(self.model.words)})
+        self.ids, self.given = array("i", range(1, len(self) + 1)), array("d", bytes(8 * len(self)))
+
+    def __missing__(self, word: str) -> int:
+        k = self[word] = len(self.ids)
+        self.ids.append(VOCAB - CLASSES + self.classes[ending(word)])
+        self.given.append(0.0 if self.head is None else self.head.get(word, math.nan))
+        return k
+
+    def of(self, said: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of the words of some texts, one text after the other, and the log-probabilities given their classes."""
+        if len(self) > self.most:
+            self._start()
+        k = np.fromiter(map(self.__getitem__, chain.from_iterable(said)), np.int64, sum(map(len, said)))
+        return np.array(self.ids, np.int32)[k], np.array(self.given)[k]
 
 
 def lined_up(coded: list[np.ndarray]) -> np.ndarray:
@@ -92,6 +110,13 @@ def lined_up(coded: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([pad, *(x for c in coded for x in (c, pad))])
 
 
+def spread(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What ``lined_up`` gives, of the ids of all documents and their sizes."""
+    out = np.full(len(ids) + REACH * (len(sizes) + 1), PAD, np.int32)
+    out[np.arange(len(ids)) + REACH * np.repeat(np.arange(1, len(sizes) + 1), sizes)] = ids
+    return out
+
+
 def _forward(ids: np.ndarray, at: np.ndarray, weights: list[np.ndarray], small: bool = False) -> tuple[np.ndarray, ...]:
     emb, w1, b1, w2, b2 = weights
     sides = np.stack([ids[at + d] for d in range(-REACH, REACH + 1) if d], 1)
@@ -153,7 +178,7 @@ class _Numbers(dict):
 
     def __init__(self) -> None:
         super().__init__()
-        self.endings, self.near = [0], [0]
+        self.endings, self.near = array("i", [0]), array("i", [0])
 
     def __missing__(self, word: str) -> int:
         n = self[word] = len(self) + 1
@@ -162,9 +187,9 @@ class _Numbers(dict):
         return n
 
 
-def _counted(batches: Iterator[pa.RecordBatch], most: int = 1 << 18, at_once: int = 256) -> Iterator[pa.RecordBatch]:
-    """Counts of words, handed on whenever more than ``most`` different ones are held, and at the end counts of endings by words around them."""
-    known, kinds, seen, side = _Numbers(), np.zeros((2, 1), np.int64), np.zeros(1, np.int64), NEAR + 1
+def _counted(batches: Iterator[pa.RecordBatch], most: int = 1 << 18, at_once: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Counts of words, handed on whenever more than ``most`` different ones are held, and at the end counts of endings by words behind them."""
+    known, seen, side = _Numbers(), np.zeros(1, np.int64), NEAR + 1
     cells = np.zeros((ENDINGS + 1) * side, np.int64)
 
     def told() -> pa.RecordBatch:
@@ -174,21 +199,18 @@ def _counted(batches: Iterator[pa.RecordBatch], most: int = 1 << 18, at_once: in
 
     for batch in batches:
         for i in range(0, batch.num_rows, at_once):
-            line: list[int] = []
-            for text in batch.column(0).slice(i, at_once).to_pylist():
-                line += [known[w] for w in (text or "").lower().split()]
-                line += [0] * REACH
-            ids, old = np.array(line), kinds.shape[1]
-            kinds = np.concatenate((kinds, np.array([known.endings[old:], known.near[old:]], np.int64)), 1)
+            said = [(t or "").lower().split() for t in batch.column(0).slice(i, at_once).to_pylist()]
+            sizes = np.array([len(w) for w in said])
+            ids = spread(np.fromiter(map(known.__getitem__, chain.from_iterable(said)), np.int64, sizes.sum()), sizes)
             now = np.bincount(ids, minlength=len(known) + 1)
             now[: len(seen)] += seen
             seen = now
+            rows, columns = (np.array(known.endings) * side)[ids], np.array(known.near)[ids]
             for d in range(1, REACH + 1):
-                for one, two in ((ids[:-d], ids[d:]), (ids[d:], ids[:-d])):
-                    cells += np.bincount(kinds[0][one] * side + kinds[1][two], minlength=len(cells))
+                cells += np.bincount(rows[:-d] + columns[d:], minlength=len(cells))
             if len(known) > most:
                 yield told()
-                known, kinds, seen = _Numbers(), np.zeros((2, 1), np.int64), np.zeros(1, np.int64)
+                known, seen = _Numbers(), np.zeros(1, np.int64)
     if known:
         seen[0] = 0
         yield told()
@@ -199,7 +221,7 @@ def _counted(batches: Iterator[pa.RecordBatch], most: int = 1 << 18, at_once: in
 
 
 def gather(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(w, n): how often each word of all documents occurs; (cell, n): how often an ending's bucket and a neighbour's stand near each other. Staged together."""
+    """(w, n): how often each word of all documents occurs; (cell, n): how often a bucket of words follows an ending's bucket. Staged together."""
     counted = docs.select("text").mapInArrow(_counted, "w string, cell int, n long")
     whole = stage(counted.groupBy("w", "cell").agg(F.sum("n").alias("n")), "words")
     return whole.where("w is not null").select("w", "n"), whole.where("cell is not null").select("cell", "n")
@@ -210,7 +232,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def learned_classes(cells: DataFrame) -> np.ndarray:
-    """The class of each bucket of endings: buckets with like neighbours together."""
+    """The class of each bucket of endings: buckets that are followed alike together."""
     table = np.zeros(ENDINGS * NEAR)
     for r in cells.collect():  # at most ENDINGS * NEAR numbers
         table[r["cell"]] = r["n"]
@@ -278,10 +300,11 @@ def other_words(counts: DataFrame, model: Model, head: int = HEAD) -> Others:
 
 
 def _round(batches: Iterator[pa.RecordBatch], model: Model, rate: float, seed: int) -> Iterator[pa.RecordBatch]:
-    code, flat, seen, rng = model.coder(), model.weights.copy(), 0, np.random.default_rng(seed)
+    codes, flat, seen, rng = Codes(model), model.weights.copy(), 0, np.random.default_rng(seed)
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
-            ids = lined_up([code(t or "") for t in batch.column(0).slice(i, 256).to_pylist()])
+            said = [(t or "").lower().split() for t in batch.column(0).slice(i, 256).to_pylist()]
+            ids = spread(codes.of(said)[0], np.array([len(w) for w in said]))
             seen += improve(flat, ids, rng, rate, masked=MASKED)
     if seen:
         yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([flat], pa.list_(pa.float32()))], names=["seen", "w"])
@@ -309,20 +332,21 @@ def train(docs: DataFrame, rounds: int = ROUNDS, one_in: int = ROUNDS, rate: flo
 
 
 def _scorer(model: Model, head: dict[str, float] | None) -> Callable[[list[str]], list]:
-    code, weights = model.coder(), unpack(model.weights)
+    codes, weights = Codes(model, head), unpack(model.weights)
 
     def run(texts: list[str]) -> list:
-        others: list[list[str]] = [[] for _ in texts]
-        coded = [code(t, o) for t, o in zip(texts, others, strict=True)]
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        ids = lined_up(coded)
-        sums = np.r_[0.0, np.cumsum(log_probs(ids, np.flatnonzero(ids != PAD), weights))]
+        said = [t.lower().split() for t in texts]
+        own, given = codes.of(said)
+        sizes = np.array([len(w) for w in said], np.int64)
         ends = np.cumsum(sizes)
+        ids = spread(own, sizes)
+        far = np.isnan(given)
+        sums = np.r_[0.0, np.cumsum(log_probs(ids, np.flatnonzero(ids != PAD), weights) + np.where(far, 0.0, given))]
         total = sums[ends] - sums[ends - sizes]
         if head is None:
             return [sizes, total]
-        total += [math.fsum(head.get(w, 0.0) for w in o) for o in others]
-        return [sizes, total, [[w for w in o if w not in head] for o in others]]
+        words, cuts = list(chain.from_iterable(said)), np.searchsorted(rest := np.flatnonzero(far), np.r_[0, ends])
+        return [sizes, total, [[words[i] for i in rest[s:e].tolist()] for s, e in zip(cuts, cuts[1:], strict=False)]]
 
     return run
 
