@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscan.llm.common import map_texts, stage
 
@@ -299,31 +300,68 @@ def other_words(counts: DataFrame, model: Model, head: int = HEAD) -> Others:
     return Others({r["w"]: r["given"] for r in first}, tail.select("w", "given"), [math.log(UNSEEN) - t for t in totals])
 
 
+def start(counts: DataFrame, cells: DataFrame) -> Model:
+    """Vocabulary and classes of what ``gather`` has found, with the first weights."""
+    return Model(vocabulary(counts), first_weights(), learned_classes(cells))
+
+
+def encode(docs: DataFrame, model: Model, others: Others | None = None) -> DataFrame:
+    """Every row as doc_id, print (a hash of id and text), n_tokens, ids (a byte a word), given and rest, staged: words are cut and looked up once, for training and scoring.
+
+    ``given`` sums the log-probabilities given their classes of the words that go to every task, ``rest`` are words that are to be joined.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model, None if others is None else others.head))  # as large for any input
+
+    def make() -> Callable[[list[str]], list]:
+        codes, head = Codes(*shared.value), shared.value[1]
+
+        def run(texts: list[str]) -> list:
+            said = [t.lower().split() for t in texts]
+            ids, given = codes.of(said)
+            sizes = np.array([len(w) for w in said], np.int64)
+            ends, raw, far = np.cumsum(sizes), ids.astype(np.uint8).tobytes(), np.isnan(given) & (head is not None)
+            sums = np.r_[0.0, np.cumsum(np.nan_to_num(given))]
+            words, at = list(chain.from_iterable(said)), np.flatnonzero(far)
+            cuts = np.searchsorted(at, np.r_[0, ends])
+            rest = [[words[i] for i in at[s:e].tolist()] for s, e in zip(cuts, cuts[1:], strict=False)]
+            return [sizes, [raw[e - n : e] for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)], sums[ends] - sums[ends - sizes], rest]
+
+        return run
+
+    named = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("print"), "text")
+    return stage(map_texts(named, make, "n_tokens long, ids binary, given double, rest array<string>", ("doc_id", "print"), rows=64), "encoded")
+
+
+def _line(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A line of coded documents with pads between them, and their sizes."""
+    ids = ids.cast(pa.binary())
+    _, offsets, data = ids.buffers()
+    cuts = np.frombuffer(offsets, np.int32)[ids.offset : ids.offset + len(ids) + 1]
+    flat = np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]] if data is not None and len(ids) else np.empty(0, np.uint8)
+    return spread(flat, np.diff(cuts).astype(np.int64)), np.diff(cuts).astype(np.int64)
+
+
 def _round(batches: Iterator[pa.RecordBatch], model: Model, rate: float, seed: int) -> Iterator[pa.RecordBatch]:
-    codes, flat, seen, rng = Codes(model), model.weights.copy(), 0, np.random.default_rng(seed)
+    flat, seen, rng = model.weights.copy(), 0, np.random.default_rng(seed)
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
-            said = [(t or "").lower().split() for t in batch.column(0).slice(i, 256).to_pylist()]
-            ids = spread(codes.of(said)[0], np.array([len(w) for w in said]))
-            seen += improve(flat, ids, rng, rate, masked=MASKED)
+            seen += improve(flat, _line(batch.column(0).slice(i, 256))[0], rng, rate, masked=MASKED)
     if seen:
         yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([flat], pa.list_(pa.float32()))], names=["seen", "w"])
 
 
 def training_part(docs: DataFrame, k: int, one_in: int) -> DataFrame:
-    """Texts of round ``k``: one document in ``one_in``, other ones in each of as many rounds."""
-    return docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(one_in)) == k % one_in).select("text")
+    """The documents of round ``k``: one in ``one_in``, other ones in each of as many rounds."""
+    name = F.col("print") if "print" in docs.columns else F.xxhash64("doc_id", "text")
+    return docs.where(F.pmod(name, F.lit(one_in)) == k % one_in)
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, one_in: int = ROUNDS, rate: float = 0.5, counts: DataFrame | None = None, cells: DataFrame | None = None) -> Model:
-    """Vocabulary and classes from all documents, or what ``gather`` has found in them; weights by averaging what every task learns, round after round."""
-    sc = docs.sparkSession.sparkContext
-    if counts is None or cells is None:
-        counts, cells = gather(docs)
-    model = Model(vocabulary(counts), first_weights(), learned_classes(cells))
+def learn(coded: DataFrame, model: Model, rounds: int = ROUNDS, one_in: int = ROUNDS, rate: float = 0.5) -> Model:
+    """The model with weights learned from encoded documents, by averaging what every task learns, round after round."""
+    sc = coded.sparkSession.sparkContext
     for k in range(rounds):
         shared = sc.broadcast(model)
-        learned = training_part(docs, k, one_in).mapInArrow(lambda b, k=k, shared=shared: _round(b, shared.value, rate / (1 + k), k), "seen long, w array<float>")
+        learned = training_part(coded, k, one_in).select("ids").mapInArrow(lambda b, k=k, shared=shared: _round(b, shared.value, rate / (1 + k), k), "seen long, w array<float>")
         each = learned.select("seen", F.posexplode("w").alias("i", "v"))
         mean = each.groupBy("i").agg((F.sum(F.col("v").cast("double") * F.col("seen")) / F.sum("seen")).cast("float").alias("v")).orderBy("i").collect()  # one row per weight
         if mean:
@@ -331,42 +369,43 @@ def train(docs: DataFrame, rounds: int = ROUNDS, one_in: int = ROUNDS, rate: flo
     return model
 
 
-def _scorer(model: Model, head: dict[str, float] | None) -> Callable[[list[str]], list]:
-    codes, weights = Codes(model, head), unpack(model.weights)
-
-    def run(texts: list[str]) -> list:
-        said = [t.lower().split() for t in texts]
-        own, given = codes.of(said)
-        sizes = np.array([len(w) for w in said], np.int64)
-        ends = np.cumsum(sizes)
-        ids = spread(own, sizes)
-        far = np.isnan(given)
-        sums = np.r_[0.0, np.cumsum(log_probs(ids, np.flatnonzero(ids != PAD), weights) + np.where(far, 0.0, given))]
-        total = sums[ends] - sums[ends - sizes]
-        if head is None:
-            return [sizes, total]
-        words, cuts = list(chain.from_iterable(said)), np.searchsorted(rest := np.flatnonzero(far), np.r_[0, ends])
-        return [sizes, total, [[words[i] for i in rest[s:e].tolist()] for s, e in zip(cuts, cuts[1:], strict=False)]]
-
-    return run
-
-
-def _with_others(docs: DataFrame, model: Model, others: Others) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((model, others.head))  # as large for any input
-    found = map_texts(docs, lambda: _scorer(*shared.value), "n_tokens long, log_prob double, rest array<string>", rows=64)
-    found = stage(found.withColumn("row", F.monotonically_increasing_id()), "scored")
-    unseen = F.get(F.array(*map(F.lit, others.unseen)), _class(F.col("w"), model))
-    each = found.select("row", F.explode("rest").alias("w")).join(others.tail, "w", "left").select("row", F.coalesce("given", unseen).alias("given"))
-    more = each.groupBy("row").agg(F.sum("given").alias("more"))
-    return found.drop("rest").join(more, "row", "left").select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("more", F.lit(0.0))).alias("log_prob"))
+def train(docs: DataFrame, rounds: int = ROUNDS, one_in: int = ROUNDS, rate: float = 0.5, counts: DataFrame | None = None, cells: DataFrame | None = None) -> Model:
+    """A model of all documents: their words and classes, or what ``gather`` has found, and then the weights."""
+    if counts is None or cells is None:
+        counts, cells = gather(docs)
+    model = start(counts, cells)
+    return learn(encode(docs, model), model, rounds, one_in, rate)
+
+
+def score_encoded(coded: DataFrame, model: Model, others: Others | None = None) -> DataFrame:
+    """``score`` of documents that were encoded with the same words, classes and table of other words."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    shared = coded.sparkSession.sparkContext.broadcast(model.weights)  # as large for any input
+    shape = T.StructType([coded.schema["doc_id"], *T.StructType.fromDDL("n_tokens long, log_prob double, rest array<string>")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, schema = unpack(shared.value), to_arrow_schema(shape)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                ids, sizes = _line(part.column(2))
+                ends = np.cumsum(sizes)
+                sums = np.r_[0.0, np.cumsum(log_probs(ids, np.flatnonzero(ids != PAD), weights))]
+                total = sums[ends] - sums[ends - sizes] + part.column(3).to_numpy()
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(schema.field(0).type), part.column(1), pa.array(total), part.column(4).cast(schema.field(3).type)], schema=schema)
+
+    found = coded.select("doc_id", "n_tokens", "ids", "given", "rest").mapInArrow(run, shape)
+    if others is not None:
+        found = stage(found.withColumn("row", F.monotonically_increasing_id()), "scored")
+        unseen = F.get(F.array(*map(F.lit, others.unseen)), _class(F.col("w"), model))
+        each = found.select("row", F.explode("rest").alias("w")).join(others.tail, "w", "left").select("row", F.coalesce("given", unseen).alias("given"))
+        more = each.groupBy("row").agg(F.sum("given").alias("more"))
+        found = found.drop("rest").join(more, "row", "left").select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("more", F.lit(0.0))).alias("log_prob"))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
+    return found.select("doc_id", "n_tokens", "log_prob").withColumn("per_token", mean).withColumn("perplexity", F.exp(-mean))
 
 
 def score(docs: DataFrame, model: Model, others: Others | None = None) -> DataFrame:
     """doc_id, n_tokens, log_prob (sum over its words), per_token and perplexity of every row."""
-    if others is None:
-        shared = docs.sparkSession.sparkContext.broadcast(model)  # as large for any input
-        found = map_texts(docs, lambda: _scorer(shared.value, None), "n_tokens long, log_prob double", rows=64)
-    else:
-        found = _with_others(docs, model, others)
-    mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
-    return found.withColumn("per_token", mean).withColumn("perplexity", F.exp(-mean))
+    return score_encoded(encode(docs, model, others), model, others)

@@ -53,8 +53,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counts, cells = lm_score.gather(docs)
-    model = lm_score.train(docs, counts=counts, cells=cells)
-    return lm_score.score(docs, model, lm_score.other_words(counts, model))
+    first = lm_score.start(counts, cells)
+    others = lm_score.other_words(counts, first)
+    coded = lm_score.encode(docs, first, others)
+    return lm_score.score_encoded(coded, lm_score.learn(coded, first), others)
 
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
