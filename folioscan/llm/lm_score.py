@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from folioscan.llm.common import map_texts, stage
 
 REACH, VOCAB, CLASSES, WIDTH, HIDDEN, ROUNDS = 2, 256, 64, 16, 32, 3
-HEAD, UNSEEN, MASKED = 1 << 16, 0.5, 0.2
+HEAD, UNSEEN, MASKED = 1 << 17, 0.5, 0.2
 ENDINGS, NEAR, PRIOR = 4096, 64, 20.0
 PAD = 0  # stands outside a document and is never predicted
 SHAPES = ((VOCAB, WIDTH), (2 * REACH * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, VOCAB), (VOCAB,))
@@ -306,7 +306,7 @@ def start(counts: DataFrame, cells: DataFrame) -> Model:
 
 
 def encode(docs: DataFrame, model: Model, others: Others | None = None) -> DataFrame:
-    """Every row as doc_id, print (a hash of id and text), n_tokens, ids (a byte a word), given and rest, staged: words are cut and looked up once, for training and scoring.
+    """Every row as doc_id, row (its number), print (a hash of id and text), n_tokens, ids (a byte a word), given and rest, staged: words are cut and looked up once, for training and scoring.
 
     ``given`` sums the log-probabilities given their classes of the words that go to every task, ``rest`` are words that are to be joined.
     """
@@ -328,8 +328,8 @@ def encode(docs: DataFrame, model: Model, others: Others | None = None) -> DataF
 
         return run
 
-    named = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("print"), "text")
-    return stage(map_texts(named, make, "n_tokens long, ids binary, given double, rest array<string>", ("doc_id", "print"), rows=64), "encoded")
+    named = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64("doc_id", "text").alias("print"), "text")
+    return stage(map_texts(named, make, "n_tokens long, ids binary, given double, rest array<string>", ("doc_id", "row", "print"), rows=64), "encoded")
 
 
 def _line(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -382,26 +382,25 @@ def score_encoded(coded: DataFrame, model: Model, others: Others | None = None)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     shared = coded.sparkSession.sparkContext.broadcast(model.weights)  # as large for any input
-    shape = T.StructType([coded.schema["doc_id"], *T.StructType.fromDDL("n_tokens long, log_prob double, rest array<string>")])
+    shape = T.StructType([coded.schema["doc_id"], *T.StructType.fromDDL("row long, n_tokens long, log_prob double")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, schema = unpack(shared.value), to_arrow_schema(shape)
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                ids, sizes = _line(part.column(2))
+                ids, sizes = _line(part.column(4))
                 ends = np.cumsum(sizes)
                 sums = np.r_[0.0, np.cumsum(log_probs(ids, np.flatnonzero(ids != PAD), weights))]
                 total = sums[ends] - sums[ends - sizes] + part.column(3).to_numpy()
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(schema.field(0).type), part.column(1), pa.array(total), part.column(4).cast(schema.field(3).type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(schema.field(0).type), part.column(1), part.column(2), pa.array(total)], schema=schema)
 
-    found = coded.select("doc_id", "n_tokens", "ids", "given", "rest").mapInArrow(run, shape)
+    found = coded.select("doc_id", "row", "n_tokens", "given", "ids").mapInArrow(run, shape)
     if others is not None:
-        found = stage(found.withColumn("row", F.monotonically_increasing_id()), "scored")
         unseen = F.get(F.array(*map(F.lit, others.unseen)), _class(F.col("w"), model))
-        each = found.select("row", F.explode("rest").alias("w")).join(others.tail, "w", "left").select("row", F.coalesce("given", unseen).alias("given"))
+        each = coded.select("row", F.explode("rest").alias("w")).join(others.tail, "w", "left").select("row", F.coalesce("given", unseen).alias("given"))
         more = each.groupBy("row").agg(F.sum("given").alias("more"))
-        found = found.drop("rest").join(more, "row", "left").select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("more", F.lit(0.0))).alias("log_prob"))
+        found = found.join(more, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
     return found.select("doc_id", "n_tokens", "log_prob").withColumn("per_token", mean).withColumn("perplexity", F.exp(-mean))
 
