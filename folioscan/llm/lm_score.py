@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from folioscan.llm.common import map_texts, stage
 
 REACH, VOCAB, CLASSES, WIDTH, HIDDEN, ROUNDS = 2, 256, 64, 16, 32, 3
-HEAD, UNSEEN, MASKED = 1 << 17, 0.5, 0.2
+HEAD, UNSEEN, MASKED = 1 << 18, 0.5, 0.2
 ENDINGS, NEAR, PRIOR = 4096, 64, 20.0
 PAD = 0  # stands outside a document and is never predicted
 SHAPES = ((VOCAB, WIDTH), (2 * REACH * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, VOCAB), (VOCAB,))
@@ -81,7 +81,7 @@ class Codes(dict):
     More than ``most`` words are forgotten before the next texts.
     """
 
-    def __init__(self, model: Model, head: dict[str, float] | None = None, most: int = 1 << 18) -> None:
+    def __init__(self, model: Model, head: dict[str, float] | None = None, most: int = 1 << 19) -> None:
         super().__init__()
         self.model, self.head, self.most, self.classes = model, head, most, model.classes.tolist()
         self._start()
@@ -188,7 +188,7 @@ class _Numbers(dict):
         return n
 
 
-def _counted(batches: Iterator[pa.RecordBatch], most: int = 1 << 18, at_once: int = 1024) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], most: int = 1 << 19, at_once: int = 1024) -> Iterator[pa.RecordBatch]:
     """Counts of words, handed on whenever more than ``most`` different ones are held, and at the end counts of endings by words behind them."""
     known, seen, side = _Numbers(), np.zeros(1, np.int64), NEAR + 1
     cells = np.zeros((ENDINGS + 1) * side, np.int64)
