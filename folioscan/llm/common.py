@@ -70,8 +70,8 @@ def match_spans(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:bigint,stop:bigint,hit:string>>"))
 
 
-def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], Sequence]], made: str, keep: Sequence[str] = ("doc_id",), rows: int = 256) -> DataFrame:
-    """The columns ``keep`` of ``docs``, untouched, and those of the DDL ``made`` that a function computes of a few texts at a time.
+def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], Sequence]], made: str, keep: Sequence[str] = ("doc_id",), rows: int = 256, column: str = "text") -> DataFrame:
+    """The columns ``keep`` of ``docs``, untouched, and those of the DDL ``made`` that a function computes of a few texts (or other values of ``column``) at a time.
 
     ``make`` is called once a task and returns the function: texts, null as empty, to one sequence per column.
     """
@@ -89,4 +89,4 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], Sequence
                 got = fn([t or "" for t in part.column(len(keep)).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), *(pa.array(x, k) for x, k in zip(got, kinds, strict=True))], names=names)
 
-    return docs.select(*keep, docs["text"].alias("_text")).mapInArrow(run, shape)
+    return docs.select(*keep, docs[column].alias("_text")).mapInArrow(run, shape)

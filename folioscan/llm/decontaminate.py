@@ -9,11 +9,12 @@ occurs. A document of fewer shingles than an item is its one window, compared ex
 short enough to reach the threshold. Windows of similarity 0.8 and more lie about 10 bits from their item; ``tests/llm`` measure how few lie beyond the radius.
 
 The benchmark is indexed in parts, dealt by hash; a part whose index would be over ``INDEX_BYTES`` is halved until it is not, so what is sent to every
-task is bounded. With more than one part, one pass over all documents keeps those that share enough shingles with the whole benchmark for any item,
-by a bit map of at most ``MAP_BYTES`` (hashes that meet there only keep a document too many), and the parts see those documents alone.
+task is bounded. With more than one part, one pass over all documents finds those that share enough shingles with the whole benchmark for any item,
+by a bit map of at most ``MAP_BYTES`` (hashes that meet there only keep a document too many), and writes their shingles' hashes. The parts follow one
+after the other, each a job over those hashes alone: a task holds one part at a time, and texts are read and cut into words once.
 
 Items of fewer than five words match nothing. A null text is empty; very long texts are looked through whole. Repeated documents are each reported.
-Equal items are all reported; of equal windows, the first. An empty benchmark or table gives no rows. Other columns are not looked at.
+Items of equal text are all reported, a row of the benchmark that is repeated once; of equal windows, the first. An empty benchmark or table gives no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscan.llm.common import map_texts, stage
+from folioscan.llm.common import fresh, map_texts, stage
 
 WORDS, SIMILARITY, RADIUS, BLOCKS, PART_BYTES, INDEX_BYTES, MAP_BYTES = 5, 0.8, 20, 7, 8 << 20, 64 << 20, 32 << 20
 _WORD = re.compile(r"\w+")
@@ -116,7 +117,10 @@ class Index:
 
     def matches(self, text: str) -> list[tuple[int, float, int]]:
         """(item, similarity, first word) of every item of which some window of the text is similar enough, at its best window."""
-        hashes = shingle_hashes(text)
+        return self.found(shingle_hashes(text))
+
+    def found(self, hashes: np.ndarray) -> list[tuple[int, float, int]]:
+        """``matches`` of a text whose shingles have these hashes."""
         if not len(hashes) or not len(self.known):
             return []
         hit = self.maybe[hashes & np.uint64((1 << 20) - 1)]
@@ -181,12 +185,17 @@ class Index:
 
 def indexes(benchmark: DataFrame, part_bytes: int = PART_BYTES, index_bytes: int = INDEX_BYTES) -> Iterator[Index]:
     """One index after the other, each of a part of the benchmark that is dealt by hash, holds about ``part_bytes`` of text and has at most ``index_bytes``."""
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    items = benchmark.select("item_id", "text").distinct()  # rows that are repeated would all be in one part
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(size / part_bytes))
+    number = lambda of: F.pmod(F.xxhash64("item_id", "text"), F.lit(of))
+    items = items.withColumn("part", number(parts))
+    if parts > 1:  # each part is then read from a folder of its own
+        items = stage(items.repartition("part"), "benchmark", ("part",))
     left = [(p, parts) for p in range(parts)]
     while left:
         p, of = left.pop(0)
-        own = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(of)) == p).select("item_id", "text").orderBy("item_id", "text")
+        own = items.where((F.col("part") == p % parts) & (number(of) == p)).select("item_id", "text").orderBy("item_id", "text")
         index = Index([tuple(r) for r in own.collect()])  # about part_bytes
         if index.bytes() > index_bytes and len(set(index.ids)) > 1 and of < 1 << 40:
             left = [(p, 2 * of), (p + of, 2 * of), *left]
@@ -201,8 +210,7 @@ class Sieve:
         self.bits, self.sizes = bits, sizes
         self.mask = np.uint64(8 * len(bits) - 1)
 
-    def may_match(self, text: str) -> bool:
-        hashes = shingle_hashes(text)
+    def may_match(self, hashes: np.ndarray) -> bool:
         if not len(hashes) or not self.sizes:
             return False
         at = hashes & self.mask
@@ -247,48 +255,66 @@ def sieve(benchmark: DataFrame, map_bytes: int = MAP_BYTES) -> Sieve:
     return Sieve(bits, sorted(r[0] for r in hashed.select((F.length("hashes") / 8).cast("int")).distinct().collect()))
 
 
-def _passed(shared: Broadcast):
-    @F.pandas_udf(T.BooleanType())
-    def passed(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.may_match(t or "") for t in texts], dtype=bool)
-
-    return passed
-
-
 def _finder(shared: Broadcast):
-    def run(texts: list[str]) -> list:
+    def run(texts: list[str | bytes]) -> list:
         index = shared.value
-        return [[[{"item_id": index.ids[i], "similarity": s, "first_word": w} for i, s, w in index.matches(t)] for t in texts]]
+        found = (index.matches(t) if isinstance(t, str) else index.found(np.frombuffer(t, np.uint64)) for t in texts)
+        return [[[{"item_id": index.ids[i], "similarity": s, "first_word": w} for i, s, w in own] for own in found]]
 
     return lambda: run
 
 
+def _hits(docs: DataFrame, shared: Broadcast, key: str, column: str = "text") -> DataFrame:
+    own = map_texts(docs, _finder(shared), "hits array<struct<item_id:bigint,similarity:double,first_word:bigint>>", (key,), column=column)
+    return own.select(key, F.inline("hits"))
+
+
+def _sieved(docs: DataFrame, benchmark: DataFrame, column: str) -> DataFrame:
+    """``docs`` with the hashes of the shingles of those that may hold an item, null for the others; written, so that no text is asked twice."""
+    shared = docs.sparkSession.sparkContext.broadcast(sieve(benchmark))
+
+    @F.pandas_udf(T.BinaryType())
+    def asked(texts: pd.Series) -> pd.Series:
+        hashes = (shingle_hashes(t or "") for t in texts)
+        return pd.Series([h.tobytes() if shared.value.may_match(h) else None for h in hashes], dtype=object)
+
+    own = stage(docs.withColumn(column, asked("text")), "sieved")
+    shared.destroy()
+    return own
+
+
+def _by_parts(suspects: DataFrame, found: Iterator[Index], key: str, column: str) -> DataFrame:
+    """The hits of each part, written before the next one is built and sent: tasks and driver hold one part at a time."""
+    out = None
+    for index in found:
+        shared = suspects.sparkSession.sparkContext.broadcast(index)
+        own = stage(_hits(suspects, shared, key, column), "hits")
+        shared.destroy()
+        out = own if out is None else out.union(own)
+    return out
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """(doc_id, item_id, similarity, first_word): every document that holds a benchmark item, once for each item."""
-    sc, out = docs.sparkSession.sparkContext, None
     found = indexes(benchmark, part_bytes, index_bytes)
     index, more = next(found), next(found, None)
-    if more is not None:
-        docs = stage(docs.select("doc_id", "text").where(_passed(sc.broadcast(sieve(benchmark)))("text")), "suspects")
-    for index in chain([index], [] if more is None else [more], found):
-        own = map_texts(docs, _finder(sc.broadcast(index)), "hits array<struct<item_id:bigint,similarity:double,first_word:bigint>>")
-        own = own.select("doc_id", F.inline("hits"))
-        out = own if out is None else out.union(own)
-    return out
+    if more is None:
+        return _hits(docs, docs.sparkSession.sparkContext.broadcast(index), "doc_id")
+    suspects = _sieved(docs.select("doc_id", "text"), benchmark, "hashes").where("hashes is not null")
+    return _by_parts(suspects, chain([index, more], found), "doc_id", "hashes")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
-    sc = docs.sparkSession.sparkContext
     found = indexes(benchmark, part_bytes, index_bytes)
     index, more = next(found), next(found, None)
     if more is None:
-        return docs.where(_is_clean(sc.broadcast(index))("text"))
-    may = _passed(sc.broadcast(sieve(benchmark)))("text")
-    suspects = stage(docs.where(may), "suspects")
-    for index in chain([index, more], found):
-        suspects = suspects.where(_is_clean(sc.broadcast(index))("text"))
-    return docs.where(~may).union(suspects)
+        return docs.where(_is_clean(docs.sparkSession.sparkContext.broadcast(index))("text"))
+    row, hashes = fresh(docs, "_row"), fresh(docs, "_hashes")
+    rows = _sieved(docs.withColumn(row, F.monotonically_increasing_id()), benchmark, hashes)  # the numbers are those in the files
+    suspects = rows.where(F.col(hashes).isNotNull())
+    leaks = _by_parts(suspects, chain([index, more], found), row, hashes).select(row).distinct()
+    return rows.where(F.col(hashes).isNull()).union(suspects.join(leaks, row, "left_anti").select(rows.columns)).drop(row, hashes)
 
 
 def _is_clean(shared: Broadcast):

@@ -44,11 +44,51 @@ def test_few_windows_of_the_threshold_lie_beyond_the_radius():
 def test_many_parts_see_only_documents_that_may_match(spark):
     items = [(k, " ".join(words(40))) for k in range(60)]
     texts = [" ".join(words(200)) for _ in range(40)] + [" ".join([*words(30), *t.split()[:38], *words(20)]) for _, t in items[:20]] + [items[3][1], None, "", items[5][1][:-30]]
-    docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate([*texts, texts[45]])], "doc_id long, text string, hits int")
+    docs = spark.createDataFrame([(k, t, 1, "r", 7) for k, t in enumerate([*texts, texts[45]])], "doc_id long, text string, hits int, _row string, hashes int")
     bench = spark.createDataFrame(items, "item_id long, text string")
     one, many = (sorted(tuple(r) for r in decontaminate.matches(docs, bench, part).collect()) for part in (1 << 20, 1000))
     assert one == many and {d for d, *_ in one} == {*range(40, 61), 63, 64}
     sieve = decontaminate.sieve(bench)
-    assert [sieve.may_match(t or "") for t in texts] == [False] * 40 + [True] * 21 + [False, False, True]
+    assert [sieve.may_match(shingle_hashes(t or "")) for t in texts] == [False] * 40 + [True] * 21 + [False, False, True]
     kept = decontaminate.drop_leaks(docs, bench, 1000)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [*range(40), 61, 62]
+    assert decontaminate.drop_leaks(docs, bench).exceptAll(kept).count() == 0
+    assert decontaminate.drop_leaks(docs.where("doc_id < 40"), bench, 1000).count() == 40
+
+
+def test_rows_without_an_id_and_repeated_rows_in_many_parts(spark):
+    items = [(k, " ".join(words(30))) for k in range(40)]
+    docs = spark.createDataFrame([(None, items[0][1]), (None, items[0][1]), (1, items[1][1]), (1, items[1][1]), (1, "clean"), (None, None), (1 << 60, items[2][1])], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((str(d), i) for d, i, *_ in decontaminate.matches(docs, bench, 800).collect())
+    assert got == [("1", 1), ("1", 1), (str(1 << 60), 2), ("None", 0), ("None", 0)]
+    assert sorted(map(tuple, decontaminate.drop_leaks(docs, bench, 800).collect()), key=str) == [(1, "clean"), (None, None)]
+
+
+def test_a_repeated_row_of_the_benchmark_is_one_item(spark):
+    rest = [(k, " ".join(words(30))) for k in range(20)]
+    bench = spark.createDataFrame([(7, " ".join(map(str, range(40))))] * 4000 + rest, "item_id long, text string")
+    parts = list(decontaminate.indexes(bench, part_bytes=1000))
+    assert sum(len(p.ids) for p in parts) == 21 and max(len(p.ids) for p in parts) < 12
+    docs = spark.createDataFrame([(3, " ".join(map(str, range(45))))], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, bench, 1000).collect()] == [(3, 7)]
+
+
+def test_each_text_is_asked_once_and_parts_are_sent_one_at_a_time(spark, monkeypatch):
+    live, most, sc = set(), [], spark.sparkContext
+    send = type(sc).broadcast
+
+    def counted(self, value):
+        shared = send(self, value)
+        live.add(id(shared))
+        most.append(len(live))
+        drop = shared.destroy
+        monkeypatch.setattr(shared, "destroy", lambda: (live.discard(id(shared)), drop()))
+        return shared
+
+    monkeypatch.setattr(type(sc), "broadcast", counted)
+    items = [(k, " ".join(words(30))) for k in range(40)]
+    docs = spark.createDataFrame([(k, t) for k, t in items], "doc_id long, text string")
+    kept = decontaminate.drop_leaks(docs, spark.createDataFrame(items, "item_id long, text string"), 800)
+    assert len(most) > 5 and max(most) == 1 and not live and kept.count() == 0
+    assert "asked" not in kept._jdf.queryExecution().toString() and "ArrowEvalPython" not in kept._jdf.queryExecution().toString()
