@@ -3,8 +3,8 @@
 Texts are lower-cased words; their shingles of five words are hashed, repeats included. Of each benchmark item the SimHash of its shingles is kept,
 cut into ``BLOCKS`` blocks: two fingerprints within ``RADIUS`` bits differ in at most RADIUS // BLOCKS bits of one block at least, so looking up a
 fingerprint's blocks with every choice of so many bits flipped proposes every item within the radius. Documents are looked at in windows as long as each
-item. A window that shares too few shingles with the benchmark to reach the threshold cannot match any item and gets no fingerprint; the others are
-looked up, and what is within the radius is compared exactly: the weighted Jaccard similarity of window and item, a shingle weighing as often as it
+item. A window that shares too few shingles with all items of its size to reach the threshold cannot match any of them and gets no fingerprint; the others
+are looked up, and what is within the radius is compared exactly: the weighted Jaccard similarity of window and item, a shingle weighing as often as it
 occurs. A document of fewer shingles than an item is its one window, compared exactly with every longer item that it shares a shingle with and that is
 short enough to reach the threshold. Windows of similarity 0.8 and more lie about 10 bits from their item; ``tests/llm`` measure how few lie beyond the radius.
 
@@ -73,6 +73,11 @@ def least_shared(size: int) -> int:
     return math.ceil(2 * size * SIMILARITY / (1 + SIMILARITY) - 1e-9)
 
 
+def _places(hashes: np.ndarray, at: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Those of the places ``at`` whose hash is among ``known``, which is sorted."""
+    return at[known[np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)] == hashes[at]]
+
+
 class Index:
     """Fingerprints and shingles of one part of the benchmark."""
 
@@ -91,16 +96,19 @@ class Index:
         self.known = np.unique(self.held)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.known & np.uint64((1 << 20) - 1)] = True
+        length = np.repeat(self.sizes, np.diff(self.bounds))
+        # for each size, in order: the least number of shared shingles, and the shingles of its items
+        self.by_size = {size: (least_shared(size), np.unique(self.bag[length == size])) for size in np.unique(self.sizes).tolist()}
         edges = [round(64 * b / BLOCKS) for b in range(BLOCKS + 1)]
         self.widths = [hi - lo for lo, hi in zip(edges, edges[1:], strict=False)]
         self.lows = np.array(edges[:-1], np.uint64)
         self.masks = np.array([(1 << w) - 1 for w in self.widths], np.uint64)
         self.flips = [np.array([sum(1 << i for i in on) for n in range(RADIUS // BLOCKS + 1) for on in combinations(range(w), n)], np.uint32) for w in self.widths]
-        self.near = {size: self._tables(np.flatnonzero(self.sizes == size)) for size in np.unique(self.sizes).tolist()}
+        self.near = {size: self._tables(np.flatnonzero(self.sizes == size)) for size in self.by_size}
 
     def bytes(self) -> int:
         """What goes to every task."""
-        arrays = [self.sizes, self.prints, self.bounds, self.bag, self.times, self.holder, self.held, self.known, self.maybe]
+        arrays = [self.sizes, self.prints, self.bounds, self.bag, self.times, self.holder, self.held, self.known, self.maybe, *(own for _, own in self.by_size.values())]
         return 64 * len(self.ids) + sum(a.nbytes for a in arrays) + sum(a.nbytes for tables in self.near.values() for t in tables for a in t)
 
     def _blocks(self, prints: np.ndarray) -> np.ndarray:
@@ -126,14 +134,17 @@ class Index:
         hit = self.maybe[hashes & np.uint64((1 << 20) - 1)]
         if not hit.any():
             return []
-        where = np.flatnonzero(hit)
-        hit[where] = self.known[np.minimum(np.searchsorted(self.known, hashes[where]), len(self.known) - 1)] == hashes[where]
-        shared = np.r_[0, np.cumsum(hit)]
+        where = _places(hashes, np.flatnonzero(hit), self.known)
         best: dict[int, tuple[float, int]] = {}
-        for size in self.near:
-            least = least_shared(size)
-            if size > len(hashes) or least > shared[-1]:
+        for size, (least, known) in self.by_size.items():
+            if size > len(hashes) or least > len(where):
+                break  # sizes come in order
+            own = _places(hashes, where, known)
+            if least > len(own):
                 continue
+            shared = np.zeros(len(hashes) + 1, np.int64)
+            shared[own + 1] = 1
+            np.cumsum(shared, out=shared)
             starts = np.flatnonzero(shared[size:] - shared[:-size] >= least)
             if not len(starts):
                 continue
@@ -141,7 +152,7 @@ class Index:
             for start, i in zip(starts[at].tolist(), items.tolist(), strict=True):
                 if (like := self._similarity(hashes[start : start + size], i)) >= SIMILARITY and like > best.get(i, (0.0, 0))[0]:
                     best[i] = (like, start)
-        if int(self.sizes.max()) > len(hashes) and shared[-1] > SIMILARITY * len(hashes) - 1e-9:
+        if int(self.sizes.max()) > len(hashes) and len(where) > SIMILARITY * len(hashes) - 1e-9:
             for i in self._longer(hashes):
                 if (like := self._similarity(hashes, i)) >= SIMILARITY:
                     best[i] = (like, 0)

@@ -41,6 +41,16 @@ def test_few_windows_of_the_threshold_lie_beyond_the_radius():
     assert seen > 500 and lost <= 0.001 * seen
 
 
+def test_windows_that_share_nothing_with_items_of_their_size_get_no_fingerprint(monkeypatch):
+    items = [words(n) for n in range(20, 140)]
+    index, made = Index([(k, " ".join(w)) for k, w in enumerate(items)]), []
+    monkeypatch.setattr(decontaminate, "window_prints", lambda h, starts, size: made.append(len(starts)) or window_prints(h, starts, size))
+    text = [*words(300), *items[110], *words(300)]  # windows of all lesser sizes lie within the passage
+    found = index.matches(" ".join(text))
+    assert [(i, first) for i, _, first in found] == [(110, 300)] and sum(made) < 60
+    assert index.matches(" ".join([*words(20), *items[5], *words(20), *items[90][:-2]])) and [i for i, *_ in index.matches(" ".join(items[5] + items[90][:-2]))] == [5, 90]
+
+
 def test_many_parts_see_only_documents_that_may_match(spark):
     items = [(k, " ".join(words(40))) for k in range(60)]
     texts = [" ".join(words(200)) for _ in range(40)] + [" ".join([*words(30), *t.split()[:38], *words(20)]) for _, t in items[:20]] + [items[3][1], None, "", items[5][1][:-30]]
