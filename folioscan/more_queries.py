@@ -5,6 +5,8 @@ Registered by ``folioscan.queries``, which imports this module last.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,8 +58,11 @@ _NAMES = ["{n}", "Sheet{k}", " {n}", "{n}/{k}", "{n}　表", "工作表{k}", "
 
 
 def _named(k: Column, n: Column) -> Column:
-    made = [F.format_string(t.replace("{n}", "%1$s").replace("{k}", "%2$s"), n, k.cast("string")) for t in _NAMES]
-    return F.get(F.array(*made), F.pmod(k, F.lit(len(made))).cast("int"))
+    parts = lambda t: [n if p == "{n}" else k.cast("string") if p == "{k}" else F.lit(p) for p in re.split(r"(\{[nk]\})", t) if p]
+    turn, name = F.pmod(k, F.lit(len(_NAMES))), F.lit(None).cast("string")
+    for i, t in reversed(list(enumerate(_NAMES))):
+        name = F.when(turn == i, F.concat(*parts(t))).otherwise(name)
+    return name
 
 
 _NAMED_SQL = "CASE p_partkey % " + str(len(_NAMES)) + " " + " ".join(f"WHEN {i} THEN {' || '.join(filter(None, [quoted(t).replace('{n}', chr(39) + ' || p_brand || ' + chr(39)).replace('{k}', chr(39) + ' || p_partkey || ' + chr(39))]))}" for i, t in enumerate(_NAMES)) + " END"

@@ -11,8 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscan.config import Config
-from folioscan.functions.text import clip, column_letter, joined, strip
-from folioscan.model import hit, sheet_location
+from folioscan.functions.text import clip, column_letter, joined, let, strip
+from folioscan.model import HITS, hit, sheet_location
 
 #: Numbers kept as text, and default sheet names.
 NUMERIC_TEXT = r"^[+-]?(\d{1,3}(,\d{3})+|\d+)(\.\d+)?%?$"
@@ -65,20 +65,26 @@ def trimmed(cells: DataFrame) -> DataFrame:
 
 
 def sheet_names(sheets: DataFrame, config: Config | None = None) -> DataFrame:
-    """(doc_id, sheet, location, hits); ``sheets``: doc_id, sheet_idx, sheet."""
+    """(doc_id, sheet, location, hits), names with nothing wrong having no hits; ``sheets``: doc_id, sheet_idx, sheet."""
     config = config or Config()
-    name, illegal = F.col("sheet"), config.param("sheet_name_invalid", "illegal_chars")
-    bad = joined([F.when(F.contains(name, F.lit(c)), F.lit(c)) for c in illegal], " ")
-    problems = [
-        F.when(strip(name) == "", F.lit("名称为空或全为空白")),
-        F.when(name != strip(name), F.lit("名称首尾存在空格")),
-        F.when(bad != "", F.concat(F.lit("含非法字符："), bad)),
-        F.when(F.contains(name, F.lit("\u3000")), F.lit("含全角空格")),
-        F.when(strip(name).rlike("(?U)" + DEFAULT_NAME), F.lit("使用系统默认名称，语义不明确")) if config.param("sheet_name_invalid", "flag_default_name") else F.lit(None).cast("string"),
-        F.when(F.length(name) > 31, F.concat(F.lit("名称长度 "), _text(F.length(name)), F.lit(" 超过 Excel 上限 31 字符"))),
-    ]
-    detail = joined(problems, "；")
-    return sheets.withColumn("detail", detail).where("detail <> ''").select("doc_id", "sheet", F.concat(F.lit("工作表「"), name, F.lit("」")).alias("location"), F.array(hit("sheet_name_invalid", 0, F.col("detail"), name, config)).alias("hits"))
+    illegal, default = config.param("sheet_name_invalid", "illegal_chars"), config.param("sheet_name_invalid", "flag_default_name")
+
+    def detail(name: Column, bare: Column) -> Column:
+        bad = joined([F.when(F.contains(name, F.lit(c)), F.lit(c)) for c in illegal], " ")
+        problems = [
+            F.when(bare == "", F.lit("名称为空或全为空白")),
+            F.when(name != bare, F.lit("名称首尾存在空格")),
+            let(bad, lambda b: F.when(b != "", F.concat(F.lit("含非法字符："), b))),
+            F.when(F.contains(name, F.lit("\u3000")), F.lit("含全角空格")),
+            F.when(bare.rlike("(?U)" + DEFAULT_NAME), F.lit("使用系统默认名称，语义不明确")) if default else F.lit(None).cast("string"),
+            F.when(F.length(name) > 31, F.concat(F.lit("名称长度 "), _text(F.length(name)), F.lit(" 超过 Excel 上限 31 字符"))),
+        ]
+        return joined(problems, "；")
+
+    # names are worked out once: a filter on what is said of them would go below, with a name's whole expression wherever it is used
+    said = lambda name, d: F.when(d != "", F.array(hit("sheet_name_invalid", 0, d, name, config))).otherwise(F.array().cast(HITS))
+    found = let(F.col("sheet"), lambda name: let(let(strip(name), lambda bare: detail(name, bare)), lambda d: said(name, d)))
+    return sheets.select("doc_id", "sheet", F.concat(F.lit("工作表「"), "sheet", F.lit("」")).alias("location"), found.alias("hits"))
 
 
 def numeric_text(value: Column) -> Column:
