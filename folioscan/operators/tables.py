@@ -6,6 +6,8 @@ Document tables: doc_id, tbl, row, col, text, header_repeat. Sheets: doc_id, she
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,7 +19,6 @@ from folioscan.model import HITS, hit, sheet_location
 #: Numbers kept as text, and default sheet names.
 NUMERIC_TEXT = r"^[+-]?(\d{1,3}(,\d{3})+|\d+)(\.\d+)?%?$"
 DEFAULT_NAME = r"^(Sheet|sheet|工作表|表)\s*\d*$"
-SCAN_ROWS, SCAN_COLS = 3000, 200
 
 
 def _text(n: Column) -> Column:
@@ -58,10 +59,13 @@ def document_tables(cells: DataFrame, config: Config | None = None) -> DataFrame
 
 
 def trimmed(cells: DataFrame) -> DataFrame:
-    """Cells of each sheet up to its last row that is not blank, within the rows and columns that are looked at."""
-    near = cells.where((F.col("row") <= SCAN_ROWS) & (F.col("col") <= SCAN_COLS)).withColumn("text", strip(F.coalesce("value_str", F.lit(""))))
+    """Cells with the last row of their sheet that is not blank."""
     last = F.max(F.when(F.col("text") != "", F.col("row"))).over(W.partitionBy("doc_id", "sheet_idx"))
-    return near.withColumn("real_rows", last)
+    return _stripped(cells).withColumn("real_rows", last)
+
+
+def _stripped(cells: DataFrame) -> DataFrame:
+    return cells.withColumn("text", strip(F.coalesce("value_str", F.lit(""))))
 
 
 def sheet_names(sheets: DataFrame, config: Config | None = None) -> DataFrame:
@@ -131,34 +135,40 @@ def sheet_cells(cells: DataFrame, config: Config | None = None) -> DataFrame:
 def sheet_shape(cells: DataFrame, config: Config | None = None) -> DataFrame:
     """(doc_id, sheet, location, hits): empty sheets; blank and repeated header cells, blank rows and blank columns of the others.
 
-    A row without any cell in the frame counts as blank.
+    A row without any cell in the frame counts as blank. Blank rows are what lies between rows that are not, so a sheet may have any number of them: they are
+    counted, and those that are named are at most the first ten stretches.
     """
     config = config or Config()
-    rows = trimmed(cells)
     key, sheet = ["doc_id", "sheet_idx", "sheet"], F.concat(F.lit("工作表「"), "sheet", F.lit("」"))
-    header = F.array_sort(F.collect_list(F.when((F.col("row") == 1) & (F.col("text") != ""), F.struct("col", "text"))))
-    full_rows = F.array_sort(F.collect_set(F.when(F.col("text") != "", F.col("row"))))
-    full_cols = F.collect_set(F.when(F.col("text") != "", F.col("col")))
-    # at most SCAN_ROWS rows and SCAN_COLS columns of a sheet are looked at, so these sets are small
-    shape = rows.groupBy(*key).agg(header.alias("head"), full_rows.alias("full"), full_cols.alias("cols"), F.max("real_rows").alias("real_rows"))
-    last = F.coalesce(F.element_at(F.transform("head", lambda x: x["col"]), -1), F.lit(0))
-    shape = shape.withColumn("last", F.when(F.size("head") > 0, last).otherwise(0))
+    rows = _stripped(cells)
+    full = rows.where(F.col("text") != "")
+    heads = full.where("row = 1").withColumn("first", F.min("col").over(W.partitionBy(*key, "text"))).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("col", "text", "first"))).alias("head"))
+    by_row = W.partitionBy(*key).orderBy("row")
+    gaps = full.where("row >= 2").select(*key, "row").distinct().withColumn("_prev", F.lag("row", 1, 1).over(by_row)).where(F.col("row") - F.col("_prev") > 1)
+    gaps = gaps.withColumn("_n", F.row_number().over(by_row)).groupBy(*key).agg(
+        F.sum(F.col("row") - F.col("_prev") - 1).alias("blank"), F.array_sort(F.collect_list(F.when(F.col("_n") <= 10, F.struct(F.col("_prev").alias("lo"), F.col("row").alias("hi"))))).alias("gaps")
+    )
+    shape = rows.groupBy(*key).agg(F.collect_set(F.when(F.col("text") != "", F.col("col"))).alias("cols"), F.max(F.when(F.col("text") != "", F.col("row"))).alias("real_rows"))
+    for more in (heads, gaps):
+        more = more.withColumnsRenamed({k: f"_{k}" for k in key})
+        shape = shape.join(more, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key)), "left").drop(*(f"_{k}" for k in key))
+    shape = shape.withColumns({"head": F.coalesce("head", F.array().cast("array<struct<col:int,text:string,first:int>>")), "blank": F.coalesce("blank", F.lit(0)), "gaps": F.coalesce("gaps", F.array().cast("array<struct<lo:int,hi:int>>"))})
+    shape = shape.withColumn("last", F.when(F.size("head") > 0, F.element_at(F.transform("head", lambda x: x["col"]), -1)).otherwise(0))
     letters = lambda cols, n, tail=" 列": _upto(F.transform(cols, lambda c: F.concat(column_letter(c), F.lit(tail))), n)
     numbers = lambda lo, hi: F.when(hi >= lo, F.sequence(F.lit(lo), hi)).otherwise(F.array().cast("array<int>"))
-    spread = F.transform(numbers(1, F.col("last")), lambda c: F.coalesce(F.get(F.transform(F.filter("head", lambda h: h["col"] == c), lambda h: h["text"]), 0), F.lit("")))
+    spread = F.transform(numbers(1, F.least("last", F.lit(8))), lambda c: F.coalesce(F.get(F.transform(F.filter("head", lambda h: h["col"] == c), lambda h: h["text"]), 0), F.lit("")))
     title = F.concat("sheet", F.lit("!第 1 行"))
-    empty_cols = F.filter(numbers(1, F.col("last")), lambda c: ~F.exists("head", lambda h: h["col"] == c))
-    again = F.filter("head", lambda h: F.exists("head", lambda g: (g["text"] == h["text"]) & (g["col"] < h["col"])))
-    first_of = lambda h: F.array_min(F.transform(F.filter("head", lambda g: g["text"] == h["text"]), lambda g: g["col"]))
-    repeats = F.transform(again, lambda h: F.concat(h["text"], F.lit("（"), column_letter(first_of(h)), F.lit(" 列 与 "), column_letter(h["col"]), F.lit(" 列）")))
-    blank_rows = F.array_except(numbers(2, F.col("real_rows")), F.col("full"))
-    blank_cols = F.filter(numbers(1, F.col("last")), lambda c: ~F.array_contains("cols", c))
+    empty_cols = F.array_except(numbers(1, F.col("last")), F.transform("head", lambda h: h["col"]))
+    again = F.filter("head", lambda h: h["first"] < h["col"])
+    repeats = F.transform(F.slice(again, 1, 5), lambda h: F.concat(h["text"], F.lit("（"), column_letter(h["first"]), F.lit(" 列 与 "), column_letter(h["col"]), F.lit(" 列）")))
+    blank_rows = F.flatten(F.transform("gaps", lambda g: F.sequence(g["lo"] + 1, F.least(g["hi"] - 1, g["lo"] + 10))))  # ten of each stretch at most
+    blank_cols = F.array_except(numbers(1, F.col("last")), F.col("cols"))
     live, headed = F.col("real_rows").isNotNull(), F.col("last") > 1
     rules = [
         ("empty_sheet", ~live, sheet, F.lit("工作表无任何有效内容（全部单元格为空），属冗余空白表"), F.lit("")),
         ("empty_header_cell", headed & (F.size(empty_cols) > 0), title, F.concat(F.lit("表头存在 "), _text(F.size(empty_cols)), F.lit(" 个空单元格（"), letters(empty_cols, 8), F.lit("）")), _upto(spread, 8, " | ")),
         ("duplicate_header", headed & (F.size(again) > 0), title, F.concat(F.lit("表头存在 "), _text(F.size(again)), F.lit(" 组重复字段："), _upto(repeats, 5, "；")), _upto(spread, 8, " | ")),
-        ("empty_row", live & (F.size(blank_rows) > 0), sheet, F.concat(F.lit("数据区域中存在整行空白："), _upto(F.transform(blank_rows, lambda r: F.concat(F.lit("第 "), _text(r), F.lit(" 行"))), 10), F.when(F.size(blank_rows) > 10, F.concat(F.lit(" 等共 "), _text(F.size(blank_rows)), F.lit(" 行"))).otherwise(""), F.lit("，会打断数据连续性")), F.lit("")),
+        ("empty_row", live & (F.col("blank") > 0), sheet, F.concat(F.lit("数据区域中存在整行空白："), _upto(F.transform(blank_rows, lambda r: F.concat(F.lit("第 "), _text(r), F.lit(" 行"))), 10), F.when(F.col("blank") > 10, F.concat(F.lit(" 等共 "), _text(F.col("blank")), F.lit(" 行"))).otherwise(""), F.lit("，会打断数据连续性")), F.lit("")),
         ("empty_col", headed & (F.size(blank_cols) > 0), sheet, F.concat(F.lit("数据区域中存在整列空白："), letters(blank_cols, 10), F.lit("（共 "), _text(F.size(blank_cols)), F.lit(" 列）")), F.lit("")),
     ]
     found = [F.when(test, F.struct(where.alias("location"), F.array(hit(rule, 100 + n, detail, snippet, config)).alias("hits"))) for n, (rule, test, where, detail, snippet) in enumerate(rules) if config.on(rule)]
@@ -201,6 +211,5 @@ def merged_and_hidden(merged: DataFrame, hidden: DataFrame, cells: DataFrame, co
 
 
 def formula_count(cells: DataFrame) -> DataFrame:
-    """(doc_id, formulas): cells that hold a formula, within the rows and columns that are looked at; documents without one have 0."""
-    near = (F.col("row") <= SCAN_ROWS) & (F.col("col") <= SCAN_COLS)
-    return cells.groupBy("doc_id").agg(F.count_if(near & F.startswith(F.coalesce("formula", F.lit("")), F.lit("="))).alias("formulas"))
+    """(doc_id, formulas): cells that hold a formula; documents without one have 0."""
+    return cells.groupBy("doc_id").agg(F.count_if(F.startswith(F.coalesce("formula", F.lit("")), F.lit("="))).alias("formulas"))
