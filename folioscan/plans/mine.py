@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import difflib
+import re
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from folioscan.functions.text import regex, runs, strip
+from folioscan.functions.text import regex, strip
 
 #: Tags with their severities, word lists, formats and their patterns.
 TAGS = {"笔误警示": "medium", "表述优化建议": "low", "格式严重错误": "high", "执业风险警示": "high"}
@@ -27,6 +33,7 @@ SEQUENCES = [("一、", r"^\s*[一二三四五六七八九十百]{1,4}\s*、"),
 FORBIDDEN = r"(?:不得|严禁|禁止|不应|不能)\s*([^，。；,!！?？、\n]{2,16})"
 NORMS = "应当 必须 应 按照 依据 根据 遵循".split()
 CHINESE = "一-鿿"
+_CHINESE = re.compile(f"[{CHINESE}]")
 PUNCT = "[，。；：、！？!?,.、:;()（）「」『』【】《》“”\"'\\-—–·…]"
 
 
@@ -102,10 +109,37 @@ def whole_texts(chunks: DataFrame) -> DataFrame:
     return own.select("doc", F.array_join(F.transform("c", lambda x: x["text"]), "").alias("text"))
 
 
-def grams(texts: DataFrame, low: int = 3, high: int = 6) -> DataFrame:
-    """(doc, gram, n): runs of ``low`` to ``high`` characters that hold a Chinese one, counted within each document; ``texts``: doc, text."""
-    every = texts.select("doc", F.explode(F.concat(*(runs(F.col("text"), k, CHINESE) for k in range(low, high + 1)))).alias("gram"))
-    return every.groupBy("doc", "gram").agg(F.count("*").alias("n"))
+def _gram_counts(text: str, low: int, high: int) -> Counter[str]:
+    if not _CHINESE.search(text):
+        return Counter()
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    before = np.concatenate([[0], np.cumsum((points >= ord(CHINESE[0])) & (points <= ord(CHINESE[2])))])
+    return Counter(text[i : i + k] for k in range(low, high + 1) for i in np.flatnonzero(before[k:] > before[:-k]).tolist())
+
+
+def grams(texts: DataFrame, low: int = 3, high: int = 6, least: int = 1) -> DataFrame:
+    """(doc, gram, n): runs of ``low`` to ``high`` characters that hold a Chinese one and occur ``least`` times or more, counted within each document; ``texts``: doc (each once), text.
+
+    A text is counted where it is: nothing is shuffled, and no task holds the counts of more than one document.
+    """
+    shape = T.StructType([texts.schema["doc"], T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())])
+    types = [f.type for f in to_arrow_schema(shape)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, said, counts = [], [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                found = [(g, n) for g, n in _gram_counts(text or "", low, high).items() if n >= least]
+                at += [k] * len(found)
+                said += [g for g, _ in found]
+                counts += [n for _, n in found]
+                if len(at) >= 1 << 16 or k == batch.num_rows - 1:
+                    for i in range(0, len(at), 1 << 16):
+                        part = slice(i, i + (1 << 16))
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[part], pa.int64())).cast(types[0]), pa.array(said[part], types[1]), pa.array(counts[part], types[2])], names=shape.names)
+                    at, said, counts = [], [], []
+
+    return texts.select("doc", "text").mapInArrow(run, shape)
 
 
 @F.pandas_udf(T.DoubleType())
