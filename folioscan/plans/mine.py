@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from folioscan.functions.text import regex, strip
+from folioscan.staging import stage
 
 #: Tags with their severities, word lists, formats and their patterns.
 TAGS = {"笔误警示": "medium", "表述优化建议": "low", "格式严重错误": "high", "执业风险警示": "high"}
@@ -152,13 +153,16 @@ def conflicts(counted: DataFrame, top: int = 80, least: float = 0.8, most: int =
     """(doc_a, doc_b, a, b, ratio): frequent terms of equal length in two documents that are nearly but not quite the same, from the pairs of documents in order.
 
     Terms of fewer than ten characters of which at least 0.8 match, in order, share all but one: they meet on what is left when one character is taken
-    out. Distinct terms are joined, not documents; then each pair of terms finds its first two documents.
+    out, and are long enough for that. Distinct terms are joined, not documents; then each pair of terms finds its first two documents. The terms are stored, as three
+    steps read them.
     """
     if least < 0.8:
         raise ValueError("terms that are less alike may differ in more than one character")
     rank = F.row_number().over(W.partitionBy("doc").orderBy(F.desc("n"), "gram"))
     terms = counted.where("n >= 2 and length(gram) < 10").withColumn("r", rank).where(F.col("r") <= top).select("doc", "gram", "r")
-    spans = terms.groupBy("gram").agg(F.min(F.struct("doc", "r")).alias("first"), F.max("doc").alias("last"))
+    # of shorter ones, all but one character is less than what must match
+    terms = stage(terms.where((F.length("gram") - 1) / F.length("gram") >= least), "terms")
+    spans = stage(terms.groupBy("gram").agg(F.min(F.struct("doc", "r")).alias("first"), F.max("doc").alias("last")), "spans")
     cut = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("gram")), lambda i: F.concat(F.substring("gram", F.lit(1), i - 1), F.lit("\u0000"), F.substring("gram", i + 1, F.length("gram")))))
     left = F.explode(F.transform(cut, lambda c: F.struct(F.replace(c, F.lit("\u0000"), F.lit("")).alias("rest"), F.length("gram").alias("len"))))
     meets = spans.select("gram", left.alias("k")).distinct()
