@@ -1,8 +1,9 @@
 """Which of many words texts hold: one automaton for any bank.
 
-The words go into Aho-Corasick automata, which read a text once however many words they hold. Words are dealt by hash to parts of at most ``PART_BYTES`` of rows, and
+The words go into Aho-Corasick automata, which read a text once however many words they hold. Distinct words are dealt by hash to parts of at most ``PART_BYTES``, and
 only a part, whose size has been summed before, is sent to the tasks; each worker builds a part's automaton once. A bank of several parts costs
-one more pass over the texts each. Texts stay where they are: nothing is shuffled but, for the parts' sizes, the bank.
+one more pass over the texts each, so a part holds more than a million words. What was found meets the part's rows of the bank: up to ``SENT_BYTES`` of them are broadcast, and
+texts stay where they are; beyond that finds are shuffled with the columns that are still needed.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from folioscan.staging import stage
 
-PART_BYTES = 4 << 20
+PART_BYTES, SENT_BYTES = 48 << 20, 192 << 20
 
 
 def parts(words: DataFrame, word: str, most: int = PART_BYTES) -> list[DataFrame]:
@@ -68,7 +69,7 @@ def _held(texts: DataFrame, text: str, words: list[str], found: str) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(name, sent.value)
         for batch in batches:
-            hits = [sorted({w for _, w in automaton.iter(t)}) if t else [] for t in batch.column(at).to_pylist()]
+            hits = [list({w for _, w in automaton.iter(t)}) if t else [] for t in batch.column(at).to_pylist()]
             keep = [k for k, h in enumerate(hits) if h]
             if keep:
                 rows = batch.take(pa.array(keep))
@@ -82,10 +83,14 @@ def matches(texts: DataFrame, text: str, words: DataFrame, word: str, most: int
 
     Null texts hold nothing; null and empty words are in no text. The columns of both tables must have different names.
     """
-    out = None
-    for part in parts(words, word, most):
-        bank = [r[0] for r in part.select(word).distinct().collect()]  # at most ``most`` bytes
-        met = _held(texts, text, bank, "_held").withColumn(word, F.explode("_held")).drop("_held").join(F.broadcast(part), word)
+    rows = stage(words.where(F.coalesce(F.col(word), F.lit("")) != ""), "bank")
+    size = sum((16 + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in rows.columns), F.lit(0))
+    out, cut = None, parts(rows.select(word).distinct(), word, most)
+    for part in cut:
+        bank = [r[0] for r in part.collect()]  # at most ``most`` bytes
+        own = rows.join(part, word, "left_semi") if len(cut) > 1 else rows
+        few = own.agg(F.sum(size)).first()[0] <= SENT_BYTES
+        met = _held(texts, text, bank, "_held").withColumn(word, F.explode("_held")).drop("_held").join(F.broadcast(own) if few else own, word)
         met = met if also is None else met.where(also)
         out = met if out is None else out.unionByName(met)
     return out

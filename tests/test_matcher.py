@@ -45,3 +45,12 @@ def test_many_entries_build_one_automaton_and_move_no_texts(spark):
     assert found.count() == 2000  # one of two neighbours is in scope
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "hashpartitioning" not in plan.split("MapInArrow")[0]
+
+
+def test_a_bank_of_many_rows_is_one_pass_over_the_texts(spark):
+    """Passes follow the distinct words, not what rows say besides."""
+    words = spark.range(60_000).select(F.concat(F.lit("w"), (F.col("id") % 20_000).cast("string"), F.lit(";")).alias("word"), F.repeat(F.lit("x"), 100).alias("more"), "id")
+    texts = spark.range(500).select(F.col("id").alias("n"), F.concat(F.lit("a w"), F.col("id").cast("string"), F.lit("; w999999;")).alias("text"))
+    found = matcher.matches(texts, "text", words, "word")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.n, r.id) for r in found.select("n", "id").collect()) == [(n, n + k) for n in range(500) for k in (0, 20_000, 40_000)]
