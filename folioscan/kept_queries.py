@@ -14,7 +14,7 @@ from folioscan.config import Config
 from folioscan.queries import _BARE, _ISSUES_SQL, _TITLES, LITERALS, _files, _issues, only, query, rows_sql
 from folioscan.seeds import SEEDED_SQL
 from folioscan.sources import files, office
-from folioscan.staging import shared_dir
+from folioscan.staging import shared_dir, stage
 
 
 def _fresh(spark: SparkSession, name: str) -> str:
@@ -84,8 +84,8 @@ def j_learned_groups(spark, sf):
 SELECT 'f' || doc_id || '.docx' AS file_name, count(*) AS rows, md5(string_agg(title, ',' ORDER BY title)) AS titles, count(*) FILTER (severity = 'high') AS high FROM live GROUP BY doc_id""")
 def i_report_files(spark, sf):
     """A Word report for each file with findings, written as files and read back."""
-    found, path = _issues(spark, sf), _fresh(spark, "reports")
-    results = issues.file_results(_files(spark, sf), found)
+    found, path = stage(_issues(spark, sf), "issues"), _fresh(spark, "reports")  # read by every part of the reports
+    results = stage(issues.file_results(_files(spark, sf), found), "results")
     sinks.write(word_report.file_rows(results, found), path, "docx", *word_report.ORDER)
     listed = files.guarded(files.list_files(spark, path))
     cells = office.word_rows(listed).where("part = 'cell' and row > 1")

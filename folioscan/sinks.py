@@ -139,7 +139,7 @@ class FilesWriter(DataSourceWriter):
 
     def write(self, rows: Iterator[Row]) -> Written:
         store, root = _store(self.path)
-        folder, done, name, made = f"{self.job}/{uuid.uuid4().hex}", [], None, None
+        folder, done, name, made = f"{self.job}/{uuid.uuid4().hex}", {}, None, None
         store.create_dir(f"{root}/{folder}", recursive=True)
         with ExitStack() as open_:
             for row in rows:
@@ -151,13 +151,13 @@ class FilesWriter(DataSourceWriter):
                         made.close()
                     open_.close()
                     name, made = file, FORMS[self.form](open_.enter_context(store.open_output_stream(f"{root}/{folder}/{file}")))
-                    done.append(file)
+                    done[file] = True
                 if kind not in KINDS:
                     raise ValueError(f"unknown kind {kind!r}")
                 made.add(kind, [c if c is not None else "" for c in cells or []])
             if made:
                 made.close()
-        return Written(folder, done)
+        return Written(folder, list(done))
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         store, root = _store(self.path)

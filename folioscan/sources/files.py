@@ -69,16 +69,20 @@ def _empty_files(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
     listing = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(fs_path, recursive)
     found = []
     while listing.hasNext():
-        if not (f := listing.next()).getLen():
+        if not (f := listing.next()).getLen() and not f.getPath().getName().startswith("_"):
             found.append((f.getPath().toUri().toString(), f.getModificationTime()))
     rows = spark.createDataFrame(found, "path string, at long")
     return rows.select("path", F.timestamp_millis("at").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
 
 
 def list_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """doc_id, path, file_name, file_type, file_size, content of the files in a folder; temporary and hidden ones are left out."""
+    """doc_id, path, file_name, file_type, file_size, content of the files in a folder; temporary and hidden ones are left out.
+
+    Files are gone through one by one on the driver only if Spark, which counts them over tasks, leaves some out as empty.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    raw = raw.unionByName(_empty_files(spark, path, recursive))
+    if raw.select("path").count() < len(raw._jdf.inputFiles()):
+        raw = raw.unionByName(_empty_files(spark, path, recursive))
     name = F.element_at(F.split("path", "/"), -1)
     rows = raw.select(F.xxhash64("path").alias("doc_id"), "path", F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("file_name"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"), "content")
     return rows.where(~F.startswith("file_name", F.lit("~$")) & ~F.startswith("file_name", F.lit(".")) & ~F.col("path").rlike(r"/\.[^/]+/")).withColumn("file_type", file_type(F.col("file_name")))
