@@ -18,6 +18,10 @@ trie can be walked, sketches of least hashes. Similar texts share a band of four
 bit of each of ``HASHES`` tells how alike two texts are, with a standard error of 0.03. A task compares all sketches of a bucket, or of two parts of a large one, and
 proposes forests, the most alike first: one, and ``MORE`` others that join anew what no pair beyond doubt has joined. So a group of thousands of copies is
 verified along a few pairs a text and not along all. Every proposal is verified.
+
+What the proposers leave apart is then joined exactly: two texts at ``least`` or above share one of the first shingles of theirs (a fifth of them at 0.8) in any order; here
+those known to be in many texts come last, and others in the order of their hashes. So texts meet on these. Pairs of one component need no second look; of the others, all are verified but those that sizes, or the parities of hashed shingles, show to be less alike.
+So a pair is left out only where two shingles of a text have the same 64 bits. Texts that share a shingle but no component are compared pair by pair, in parts of bounded size.
 """
 
 from __future__ import annotations
@@ -29,7 +33,9 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +45,10 @@ BITS, WIDE, SIMILARITY = 64, 3, 0.8
 #: Least hashes of a sketch; how many bands there are, of how many; the estimated similarity that is proposed, that is beyond doubt, and how many further forests there are.
 HASHES, BANDS, BAND = 512, 12, 4
 AGREE, SURE, MORE = 0.7, 0.89, 2
+#: The least and the most bits that tell how far two sets of shingles are apart at least.
+PARITY = 512, 1 << 16
+#: Texts that shingles of many texts are looked for in, at least, and how many such shingles are known to every task.
+LOOKED_AT, COMMON = 8_000, 1 << 18
 
 
 def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
@@ -83,16 +93,43 @@ def fingerprints_udf(words: int = 3):
     return prints
 
 
-def marks_udf(words: int):
-    """fp, and the two parts of the sketch."""
+def common(texts: DataFrame, words: int) -> np.ndarray:
+    """Hashes of shingles that many of the texts (h, text) have, sorted; at most ``COMMON`` of them. They are looked for in a 16th of the texts, ``LOOKED_AT`` at least: only the order of shingles comes of it."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def hashed(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts])
+
+    share = max(1, min(16, texts.count() // LOOKED_AT))
+    some = texts.where(F.pmod("h", F.lit(share)) == 0).dropDuplicates(["h"])
+    often = some.select(F.explode(hashed("text")).alias("token")).groupBy("token").count().where("count > 3").orderBy(F.desc("count"), "token").limit(COMMON)
+    return np.sort(np.array([r[0] for r in often.select("token").collect()], np.int64).view(np.uint64))
 
-    @F.pandas_udf("fp long, bands binary, bits binary")
+
+def prefix(hashes: np.ndarray, least: float, often: np.ndarray) -> tuple[int, np.ndarray, bytes]:
+    """How many different shingles there are, the first of them, those that are in ``often`` being last, and which bits an odd number of them fall on.
+
+    Of two texts at ``least`` or above, the first shingles in any order that all texts share have one in common: those two sets that differ in all of them have too few others.
+    Bits that are odd in one text alone number at most the shingles that one text alone has.
+    """
+    own = np.unique(hashes) if len(hashes) else np.zeros(1, np.uint64)  # texts without words are alike
+    n = len(own)
+    last = often[np.searchsorted(often, own) % len(often)] == own if len(often) else np.zeros(n, bool)
+    width = min(max(PARITY[0], 1 << (2 * n - 1).bit_length()), PARITY[1])
+    odd = np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return n, np.concatenate([own[~last], own[last]])[: n - math.ceil(least * n - 1e-6) + 1].view(np.int64), np.packbits(odd.astype(bool)).tobytes()
+
+
+def marks_udf(words: int, least: float, often: Broadcast):
+    """fp, the two parts of the sketch, and what ``prefix`` gives."""
+
+    @F.pandas_udf("fp long, bands binary, bits binary, n long, first array<long>, odd binary")
     def marks(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             hashes = shingle_hashes(t or "", words)
-            out.append((_majority(hashes), *sketch(hashes)))
-        return pd.DataFrame(out, columns=["fp", "bands", "bits"])
+            out.append((_majority(hashes), *sketch(hashes), *prefix(hashes, least, often.value)))
+        return pd.DataFrame(out, columns=["fp", "bands", "bits", "n", "first", "odd"])
 
     return marks
 
@@ -424,6 +461,90 @@ def alike_by_sketch(nodes: DataFrame, node_rows: int = 2048, agree: float = AGRE
     return dealt.mapInPandas(lambda batches: _proposals(batches, *(int(HASHES * (1 - s) / 2) for s in (agree, sure))), "a long, b long").distinct()
 
 
+def _whole(batches: Iterator[pd.DataFrame], head: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by ``head`` in parts that cut no group; a group cut off by the end of a batch is carried on."""
+    kept: list[pd.DataFrame] = []
+    for rows in batches:
+        if not len(rows):
+            continue
+        last = (rows[head] == rows[head].iloc[-1]).all(axis=1).to_numpy()
+        begin = len(rows) - int(np.argmin(last[::-1])) if not last.all() else 0
+        if begin or kept and (kept[-1][head].iloc[-1] != rows[head].iloc[-1]).any():
+            yield pd.concat([*kept, rows.iloc[:begin]], ignore_index=True)
+            kept = []
+        kept.append(rows.iloc[begin:])
+    if kept:
+        yield pd.concat(kept, ignore_index=True)
+
+
+def _meetings(rows: pd.DataFrame, head: list[str], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows that meet in the groups ``head``, of which the last two are the numbers of the parts: all of one part, or those of either side."""
+    marks, side, n = rows[head].to_numpy(), rows["side"].to_numpy(), np.arange(len(rows))
+    starts = np.flatnonzero(np.r_[True, (marks[1:] != marks[:-1]).any(axis=1)])
+    sizes = np.diff(np.r_[starts, len(rows)])
+    ends, cuts = np.repeat(starts + sizes, sizes), np.repeat(starts + np.add.reduceat(side == 0, starts, dtype=np.int64), sizes)
+    begins = np.where(marks[:, -2] == marks[:, -1], n + 1, np.where(side == 0, cuts, ends))
+    counts = ends - begins
+    edges = [0, *(np.flatnonzero(np.diff(np.cumsum(counts) // most)) + 1).tolist(), len(rows)]
+    for s, e in zip(edges, edges[1:], strict=False):
+        c = counts[s:e]
+        which = np.repeat(n[s:e], c)
+        yield which, begins[which] + np.arange(len(which)) - np.repeat(np.cumsum(c) - c, c)
+
+
+def _apart(x: np.ndarray, y: np.ndarray, odd: dict[int, np.ndarray], width: np.ndarray, at: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+    """In how many odd bits the rows x and y differ; the bits of the longer one are folded."""
+
+    def halved(bits: np.ndarray, words: int) -> np.ndarray:
+        while bits.shape[1] > words:
+            half = bits.shape[1] // 2
+            bits = bits[:, :half] ^ bits[:, half:]
+        return bits
+
+    out = np.zeros(len(x), np.int64)
+    for u, v in np.unique(np.stack([width[x], width[y]]), axis=1).T.tolist():
+        all_of = np.flatnonzero((width[x] == u) & (width[y] == v))
+        step = max(1, most // max(u, v))
+        for k in range(0, len(all_of), step):
+            pick = all_of[k : k + step]
+            a, b = (halved(odd[w][at[z[pick]]], min(u, v)) for w, z in ((u, x), (v, y)))
+            out[pick] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _possible(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+    """Of the pairs that meet, those of different components that sizes and odd bits allow."""
+    for rows in _whole(batches, ["token", "i", "j"]):
+        node, root, n = (rows[c].to_numpy() for c in ("node", "root", "n"))
+        width, at, odd = rows["odd"].map(len).to_numpy() // 8, np.zeros(len(rows), np.int64), {}
+        for w in np.unique(width).tolist():
+            own = np.flatnonzero(width == w)
+            at[own], odd[w] = np.arange(len(own)), np.frombuffer(b"".join(rows["odd"].iloc[own]), np.uint64).reshape(-1, w)
+        for x, y in _meetings(rows, ["token", "i", "j"]):
+            near = (root[x] != root[y]) & (np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - 1e-6)
+            x, y = x[near], y[near]
+            near = _apart(x, y, odd, width, at) <= (1 - least) / (1 + least) * (n[x] + n[y]) + 1e-6
+            x, y = node[x[near]], node[y[near]]
+            if len(x):
+                yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+
+
+def left_apart(nodes: DataFrame, roots: DataFrame, least: float = SIMILARITY, node_rows: int = 2048) -> DataFrame:
+    """(a, b): all pairs of the nodes (node, n, first, odd) that may reach ``least`` and are of different components (node, root); a node without root is its own.
+
+    Only shingles that texts of different components have among their first go on from the first shuffle.
+    """
+    rows = nodes.select("node", F.explode("first").alias("token")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = W.partitionBy("token")
+    rows = rows.withColumns({"low": F.min("root").over(own), "high": F.max("root").over(own), "count": F.count("*").over(own)}).where("low < high")
+    parts = F.when(F.col("count") > node_rows, F.ceil(F.col("count") * 2 / node_rows)).otherwise(1).cast("int")
+    rows = stage(rows.select("token", "node", "root", parts.alias("parts")), "met")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, part).alias("i"), F.greatest(k, part).alias("j"), F.when(part > k, 1).otherwise(0).alias("side")))
+    dealt = rows.join(nodes.select("node", "n", "odd"), "node").select("token", "node", "root", "n", "odd", F.inline(meets)).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "side")
+    return dealt.mapInPandas(lambda batches: _possible(batches, least), "a long, b long").distinct()
+
+
 def keep_one(docs: DataFrame, radius: int = WIDE, node_rows: int = 4096, words: int = 5, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` with one row left of each group of near copies: that with the least doc_id, null last, then the least hash of its text.
 
@@ -432,11 +553,13 @@ def keep_one(docs: DataFrame, radius: int = WIDE, node_rows: int = 4096, words:
     """
     rows = _placed(docs)
     text = F.coalesce("row.text", F.lit(""))
-    marked = rows.select(F.col("row.doc_id").alias("doc_id"), marks_udf(words)("row.text").alias("m"), F.xxhash64(text).alias("h"), "file", "at")
+    often = docs.sparkSession.sparkContext.broadcast(common(rows.select(F.xxhash64(text).alias("h"), text.alias("text")), words))
+    marked = rows.select(F.col("row.doc_id").alias("doc_id"), marks_udf(words, least, often)("row.text").alias("m"), F.xxhash64(text).alias("h"), "file", "at")
     prints = stage(marked.select("doc_id", "m.*", "h", "file", "at"), "prints")
     # a node is a text; its best row is the one that would stay
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "file", "at")).alias("best")
-    nodes = stage(prints.groupBy("fp", "h").agg(best, F.first("bands").alias("bands"), F.first("bits").alias("bits")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    marks = F.first(F.struct("bands", "bits", "n", "first", "odd")).alias("m")
+    nodes = stage(prints.groupBy("fp", "h").agg(best, marks).select("fp", "h", "best", "m.*").withColumn("node", F.monotonically_increasing_id()), "nodes")
     heads = nodes.groupBy("fp").agg(F.min(F.struct("h", "node")).alias("head"), F.count("*").alias("texts"))
     heads = stage(heads.select("fp", F.col("head.node").alias("head"), "texts"), "heads")
     far = links(heads.select("fp"), radius, node_rows, nearest=True)
@@ -444,11 +567,18 @@ def keep_one(docs: DataFrame, radius: int = WIDE, node_rows: int = 4096, words:
     far = far.join(ends[0], "a").join(ends[1], "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     same = nodes.join(heads.where("texts > 1"), "fp").where("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
     pairs = stage(far.union(same).union(alike_by_sketch(nodes.select("node", "bands", "bits"), node_rows // 2)).distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    asked = nodes.join(asked, "node", "left_semi").select("node", F.col("best.file").alias("file"), F.col("best.at").alias("at"))
-    texts = stage(rows.select("file", "at", text.alias("text")).join(stage(asked, "asked"), ["file", "at"]).select("node", "text"), "texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    roots = components(verified(both, words, least))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        asked = nodes.join(asked, "node", "left_semi").select("node", F.col("best.file").alias("file"), F.col("best.at").alias("at"))
+        texts = stage(rows.select("file", "at", text.alias("text")).join(stage(asked, "asked"), ["file", "at"]).select("node", "text"), "texts")
+        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        return verified(both, words, least)
+
+    roots = stage(components(similar(pairs)), "roots")
+    rest = stage(left_apart(nodes, roots, least, node_rows // 2), "rest")
+    if not rest.isEmpty():
+        roots = components(similar(rest).union(roots.select("node", "root")))
     grouped = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
     stays = grouped.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.file").alias("file"), F.col("best.at").alias("at"))
     gone = stage(prints.select("file", "at").join(stays, ["file", "at"], "left_anti"), "gone")
