@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import cache, reduce
 from re import _constants as sre  # the parsed form of a pattern; there is no public one
 
@@ -38,13 +38,16 @@ def folded(text: Column) -> Column:
 
 
 @cache
-def needed(pattern: str) -> tuple[str, ...]:
-    """Strings in lower case of which every match of a pattern holds one at least, as long as can be found; none if nothing is known."""
+def all_needed(pattern: str) -> tuple[tuple[str, ...], ...]:
+    """Sets of strings in lower case, of each of which every match of a pattern holds one at least, those of long strings first; none if nothing is known."""
 
     def best(found: list[set[str]]) -> set[str]:
         return max((f for f in found if f and all(f)), key=lambda f: min(map(len, f)), default=set())
 
     def of(items) -> set[str]:
+        return best(every(items))
+
+    def every(items) -> list[set[str]]:
         found, run = [], ""
         for op, value in [*items, (sre.AT, None)]:
             if op is sre.LITERAL:
@@ -61,14 +64,52 @@ def needed(pattern: str) -> tuple[str, ...]:
                 found.append(set().union(*ways) if all(ways) else set())
             elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and value[0]:
                 found.append(of(value[2]))
-        return best(found)
+        return found
+
+    sets = {tuple(sorted(f)) for f in every(re._parser.parse(pattern)) if f and all(f)}
+    return tuple(sorted(sets, key=lambda f: (-min(map(len, f)), len(f), f)))
+
+
+def needed(pattern: str) -> tuple[str, ...]:
+    """Strings in lower case of which every match of a pattern holds one at least, as long as can be found; none if nothing is known."""
+    return next(iter(all_needed(pattern)), ())
+
+
+@cache
+def loose(pattern: str) -> str:
+    """A pattern for folded texts that matches wherever ``pattern`` does: word borders at its ends are places beside no ASCII letter, others are not looked at.
 
-    return tuple(sorted(of(re._parser.parse(pattern))))
+    Unicode's word borders, tried at every character, are what makes a pattern slow.
+    """
+    short = re.sub(r"\(\?!(?:[^()]|\([^()]*\))*\)", "", pattern)
+    if re.search(r"\(\?[^:]|\\[^bsd]|\{", short):
+        return ""  # something else that is special, or a count of characters: one letter becomes two in lower case
+    short = re.sub(r"^\\b([a-z]+)", r"\1(?<![a-z]\1)", short.lower())
+    short = re.sub(r"\\b$", "(?![a-z])", short).replace("\\b", "")
+    return short.replace("\\s", "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE) + "]").replace("\\d", "\\p{Nd}")
 
 
 def may_match(text: Column, pattern: str) -> Column:
-    """False only for folded texts in which a pattern can't match: a plain search is many times cheaper than a pattern."""
-    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(n)) for n in needed(pattern)), F.lit(False)) if needed(pattern) else F.lit(True)
+    """False only for folded texts in which a pattern can't match: plain searches are many times cheaper than a pattern, and one without word borders than one with them."""
+    tests = [reduce(lambda a, b: a | b, (F.contains(text, F.lit(n)) for n in some)) for some in all_needed(pattern)]
+    if loose(pattern):
+        tests.append(text.rlike(loose(pattern)))
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+
+def wide_at_start(phrase: str) -> bool:
+    """Whether a phrase begins with a Chinese character."""
+    return "一" <= phrase[:1] <= "鿿"
+
+
+def holds_any(text: Column, phrases: Sequence[str]) -> Column:
+    """Whether a text holds one of some phrases: those that begin with a Chinese character are sought at such characters alone, in one pass."""
+    wide = sorted(set(filter(wide_at_start, phrases)))
+    tests = [F.contains(text, F.lit(p)) for p in sorted(set(phrases) - set(wide))]
+    if wide:
+        ways = (c + "(?:" + "|".join(re.escape(p[1:]) for p in wide if p[0] == c) + ")" for c in sorted({p[0] for p in wide}))
+        tests.insert(0, text.rlike(f"(?=[一-鿿])(?:{'|'.join(ways)})"))
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
 def occurrences(text: Column, part: str) -> Column:

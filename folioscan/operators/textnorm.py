@@ -6,13 +6,14 @@ Literals are searched for as they are. A pattern runs only over texts that hold
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan import lexicon
 from folioscan.config import Config
-from folioscan.functions.text import folded, may_match, regex, strip
+from folioscan.functions.text import folded, holds_any, may_match, needed, regex, strip, wide_at_start
 from folioscan.model import HITS, hit
 
 SUSPECT = "【疑似表述不当/用词不规范，仅供人工复核】"
@@ -26,7 +27,8 @@ def _first(rule: str) -> int:
 def literals(text: Column, rule: str, entries: Sequence[tuple[str, str]], config: Config, at: int = 0) -> Column:
     """One finding for each (phrase, detail) whose phrase is in the text."""
     bank = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(d + SUSPECT).alias("d"), F.lit(_first(rule) + at + i).alias("i")) for i, (p, d) in enumerate(entries)))
-    return F.transform(F.filter(bank, lambda e: F.contains(text, e["p"])), lambda e: hit(rule, e["i"], e["d"], text, config))
+    found = F.transform(F.filter(bank, lambda e: F.contains(text, e["p"])), lambda e: hit(rule, e["i"], e["d"], text, config))
+    return F.when(holds_any(text, [p for p, _ in entries]), found).otherwise(F.array().cast(HITS))
 
 
 def confusables(text: Column, config: Config) -> Column:
@@ -34,13 +36,20 @@ def confusables(text: Column, config: Config) -> Column:
     bank = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(n).alias("n"), F.lit(_first(rule) + i).alias("i")) for i, (a, b, n) in enumerate(entries)))
     seen = lambda e: F.array_join(F.filter(F.array(e["a"], e["b"]), lambda w: F.contains(text, w)), "、")
     some = F.filter(bank, lambda e: F.contains(text, e["a"]) | F.contains(text, e["b"]))
-    return F.transform(some, lambda e: hit(rule, e["i"], F.concat(F.lit("出现易混淆近义词「"), seen(e), F.lit("」"), e["n"], F.lit(SUSPECT)), text, config))
+    found = F.transform(some, lambda e: hit(rule, e["i"], F.concat(F.lit("出现易混淆近义词「"), seen(e), F.lit("」"), e["n"], F.lit(SUSPECT)), text, config))
+    return F.when(holds_any(text, [w for a, b, _ in entries for w in (a, b)]), found).otherwise(F.array().cast(HITS))
 
 
 def _first_matches(text: Column, low: Column, patterns: Sequence[str]) -> Column:
     """The first match of each pattern as (m, i), i being its place in the bank; only of those that match."""
     found = [F.struct(F.when(may_match(low, p), F.regexp_extract(text, regex(p, True), 0)).alias("m"), F.lit(i).alias("i")) for i, p in enumerate(patterns)]
-    return F.filter(F.array(*found), lambda x: x["m"] != "")
+    parts = []
+    for wide, own in groupby(range(len(patterns)), lambda i: all(map(wide_at_start, needed(patterns[i]))) and bool(needed(patterns[i]))):
+        own = list(own)
+        block = F.filter(F.array(*(found[i] for i in own)), lambda x: x["m"] != "")
+        # most texts hold nothing that the patterns of a Chinese block need
+        parts.append(F.when(holds_any(low, [n for i in own for n in needed(patterns[i])]), block).otherwise(F.array().cast("array<struct<m:string,i:int>>")) if wide else block)
+    return F.concat(*parts)
 
 
 def patterned(text: Column, low: Column, rule: str, entries: Sequence[tuple[str, str]], lead: str, config: Config, trim: bool = False) -> Column:
