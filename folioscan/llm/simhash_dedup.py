@@ -20,8 +20,8 @@ proposes forests, the most alike first: one, and ``MORE`` others that join anew
 verified along a few pairs a text and not along all. Every proposal is verified.
 
 What the proposers leave apart is then joined exactly: two texts at ``least`` or above share one of the first shingles of theirs (a fifth of them at 0.8) in any order; here
-those known to be in many texts come last, and others in the order of their hashes. So texts meet on these. Pairs of one component need no second look; of the others, all are verified but those that sizes, or the parities of hashed shingles, show to be less alike.
-So a pair is left out only where two shingles of a text have the same 64 bits. Texts that share a shingle but no component are compared pair by pair, in parts of bounded size.
+those known to be in many texts come last, and others in the order of their hashes. So texts meet on these. Pairs of one component need no second look; of the others, all are verified but those that sizes, the number of first shingles shared, or the parities of hashed shingles, show to be less alike.
+So a pair is left out only where two shingles of a text have the same 64 bits. Pairs that share a shingle but no component are counted first; where many texts share one they are compared pair by pair, in parts of bounded size.
 """
 
 from __future__ import annotations
@@ -49,6 +49,8 @@ AGREE, SURE, MORE = 0.7, 0.89, 2
 PARITY = 512, 1 << 16
 #: Texts that shingles of many texts are looked for in, at least, and how many such shingles are known to every task.
 LOOKED_AT, COMMON = 8_000, 1 << 18
+#: Texts that share a shingle are told apart by their odd bits where there are more of them.
+FEW = 128
 
 
 def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
@@ -529,20 +531,43 @@ def _possible(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.Data
                 yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
 
 
+def _dealt(rows: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b): of the rows (token, node, root, parts), the pairs that meet and that sizes and odd bits allow."""
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, part).alias("i"), F.greatest(k, part).alias("j"), F.when(part > k, 1).otherwise(0).alias("side")))
+    dealt = rows.join(nodes.select("node", "n", "odd"), "node").select("token", "node", "root", "n", "odd", F.inline(meets)).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "side")
+    return dealt.mapInPandas(lambda batches: _possible(batches, least), "a long, b long").distinct()
+
+
+def _counted(rows: DataFrame, least: float) -> DataFrame:
+    """(token, node, root, parts): of the rows (token, node, root, n), the pairs that meet so often that what they do not share among their first shingles leaves them room; each with a token of its own.
+
+    Of two sets, that whose first shingles end earlier in the order shares with the other one only what both have among the first, and at most all that follow.
+    """
+    one, two = (rows.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n"))) for x in "ab")
+    larger, smaller = F.greatest("n_a", "n_b"), F.least("n_a", "n_b")
+    met = one.join(two, "token").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (smaller >= least * larger - 1e-6))
+    often = met.groupBy("node_a", "node_b").agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in ("root_a", "root_b", "n_a", "n_b")))
+    often = often.where(F.col("shared") + F.ceil(least * larger - 1e-6) - 1 >= least / (1 + least) * (larger + smaller) - 1e-6)
+    ends = F.array(*(F.struct(F.col(f"node_{x}").alias("node"), F.col(f"root_{x}").alias("root"), F.lit(1).alias("parts")) for x in "ab"))
+    return often.select(F.xxhash64("node_a", "node_b").alias("token"), F.inline(ends))
+
+
 def left_apart(nodes: DataFrame, roots: DataFrame, least: float = SIMILARITY, node_rows: int = 2048) -> DataFrame:
     """(a, b): all pairs of the nodes (node, n, first, odd) that may reach ``least`` and are of different components (node, root); a node without root is its own.
 
-    Only shingles that texts of different components have among their first go on from the first shuffle.
+    Only shingles that texts of different components and of sizes near enough have among their first go on from the first shuffle. What ``FEW`` texts at most share is
+    counted for each pair, so that odd bits go only with those that meet often; a pair that meets among more texts too is told by its odd bits there.
     """
-    rows = nodes.select("node", F.explode("first").alias("token")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("n").cast("int").alias("n"), F.explode("first").alias("token"))
     own = W.partitionBy("token")
-    rows = rows.withColumns({"low": F.min("root").over(own), "high": F.max("root").over(own), "count": F.count("*").over(own)}).where("low < high")
+    near = lambda other: F.coalesce(F.least("n", other) >= least * F.greatest("n", other) - 1e-6, F.lit(False))
+    whole, by_size = own.orderBy("n").rowsBetween(W.unboundedPreceding, W.unboundedFollowing), own.orderBy("n")
+    rows = rows.withColumns({"low": F.min("root").over(whole), "high": F.max("root").over(whole), "count": F.count("*").over(whole), "below": F.lag("n").over(by_size), "above": F.lead("n").over(by_size)})
+    rows = rows.where((F.col("low") < F.col("high")) & (near(F.col("below")) | near(F.col("above"))))
     parts = F.when(F.col("count") > node_rows, F.ceil(F.col("count") * 2 / node_rows)).otherwise(1).cast("int")
-    rows = stage(rows.select("token", "node", "root", parts.alias("parts")), "met")
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, part).alias("i"), F.greatest(k, part).alias("j"), F.when(part > k, 1).otherwise(0).alias("side")))
-    dealt = rows.join(nodes.select("node", "n", "odd"), "node").select("token", "node", "root", "n", "odd", F.inline(meets)).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "side")
-    return dealt.mapInPandas(lambda batches: _possible(batches, least), "a long, b long").distinct()
+    rows = stage(rows.select("token", "node", "root", "n", parts.alias("parts"), (F.col("count") > FEW).alias("many")), "met")
+    return _dealt(rows.where("many").select("token", "node", "root", "parts").union(_counted(rows.where("not many"), least)), nodes, least)
 
 
 def keep_one(docs: DataFrame, radius: int = WIDE, node_rows: int = 4096, words: int = 5, least: float = SIMILARITY) -> DataFrame:

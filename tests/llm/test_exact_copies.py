@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from test_near_copies import edited, groups, prose
 
 from folioscan.llm import simhash_dedup
@@ -44,6 +45,33 @@ def test_texts_that_nothing_proposes(spark, monkeypatch):
     check(spark, texts, node_rows=20)
 
 
+@pytest.mark.parametrize("few", [1, 6, 128])
+def test_odd_bits_go_with_few_rows(spark, monkeypatch, few):
+    """Long texts that share passages and are not alike send no row with odd bits for every shingle shared; copies at some 0.8 are found, whether their shingles are counted or not."""
+    seen, told = spark.sparkContext.accumulator(0), simhash_dedup._possible
+
+    def watched(batches, least):
+        def each():
+            for rows in batches:
+                seen.add(len(rows))
+                yield rows
+
+        return told(each(), least)
+
+    monkeypatch.setattr(simhash_dedup, "_possible", watched)
+    monkeypatch.setattr(simhash_dedup, "alike_by_sketch", lambda nodes, *_: nodes.select(nodes.node.alias("a"), nodes.node.alias("b")).where("false"))
+    monkeypatch.setattr(simhash_dedup, "FEW", few, raising=False)
+    rng = random.Random(8)
+    passages = [" ".join(f"p{k}w{i}" for i in range(40)) for k in range(60)]
+    texts = [" ".join(x for p in rng.sample(passages, 12) for x in (p, " ".join(f"t{t}x{rng.random()}" for _ in range(40)))) for t in range(24)]
+    for size in (20, 100, 900):
+        base = prose(rng, size)
+        texts += [" ".join(base), *(" ".join(edited(rng, base, k)) for k in range(max(1, size // 55), size // 40 + 2))]
+    check(spark, texts)
+    if few == 128:
+        assert seen.value < 500
+
+
 def test_odd_bits_never_tell_too_much():
     rng = np.random.default_rng(3)
     rows, sets = [], []
