@@ -52,12 +52,15 @@ def _increasing(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _chain(matches: DataFrame) -> DataFrame:
-    """Matches (row, gap, i, j) without those that cross."""
-    matches = stage(matches.select(*GAP, "i", "j"), "matches")
-    back = F.lag("j").over(W.partitionBy(*GAP).orderBy("i")) > F.col("j")
-    crossed = matches.withColumn("back", back).where("back").select(*GAP).distinct()
-    untangled = matches.join(crossed, GAP, "left_semi").groupBy(*GAP).applyInPandas(_increasing, matches.schema)
-    return matches.join(crossed, GAP, "left_anti").unionByName(untangled)
+    """Matches (row, gap, i, j) without those that cross, stored."""
+    gap = W.partitionBy(*GAP)
+    back = F.coalesce(F.lag("j").over(gap.orderBy("i")) > F.col("j"), F.lit(False))
+    told = matches.select(*GAP, "i", "j").withColumn("back", back).withColumn("crossed", F.max("back").over(gap))
+    told = stage(told.drop("back"), "matches")
+    straight, crossed = told.where("not crossed").drop("crossed"), told.where("crossed").drop("crossed")
+    if crossed.isEmpty():
+        return straight
+    return stage(straight.unionByName(crossed.groupBy(*GAP).applyInPandas(_increasing, crossed.schema)), "matched")
 
 
 def _meet(rows: DataFrame, *by: str) -> DataFrame:
@@ -80,8 +83,8 @@ def _ends(rows: DataFrame, last: bool) -> DataFrame:
     old = F.col("side") == 0
     both = by_place.groupBy(*GAP, "off").agg(F.max(F.when(old, F.col("n"))).alias("i"), F.max(F.when(~old, F.col("n"))).alias("j"), F.max(F.when(old, F.col("key"))).alias("a"), F.max(F.when(~old, F.col("key"))).alias("b"))
     both = both.withColumn("same", F.coalesce(F.col("a") == F.col("b"), F.lit(False)))
-    first = both.where("not same").groupBy(*GAP).agg(F.min("off").alias("until"))
-    return both.join(first, GAP, "left").where("same and (until is null or off < until)").select(*GAP, "i", "j")
+    until = F.min(F.when(~F.col("same"), F.col("off"))).over(W.partitionBy(*GAP))
+    return stage(both.withColumn("until", until).where("same and (until is null or off < until)").select(*GAP, "i", "j"), "matched")
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
@@ -95,30 +98,32 @@ STEPS = (_once, lambda rows: _ends(rows, False), lambda rows: _ends(rows, True),
 
 def _cut(rows: DataFrame, matches: DataFrame) -> DataFrame:
     """The lines that are still open, by the gaps that the matches leave; a gap's number is the old line after its last match before."""
-    ends = matches.select("row", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("n"), F.col("i").alias("at")), F.struct(F.lit(1).alias("side"), F.col("j").alias("n"), F.col("i").alias("at")))))
-    marked = rows.join(ends, ["row", "side", "n"], "left")
-    gap = F.coalesce(F.last(F.col("at") + 1, ignorenulls=True).over(W.partitionBy(*GAP, "side").orderBy("n")), F.col("gap"))
-    left = marked.withColumn("gap", gap).where("at is null").drop("at")
-    return _two_sided(left)
+    end = lambda side, n: F.struct(F.lit(side).alias("side"), F.col(n).alias("n"), F.col("i").alias("at"))
+    ends = matches.select(*GAP, F.inline(F.array(end(0, "i"), end(1, "j"))))
+    marked = rows.unionByName(ends, allowMissingColumns=True).repartition("row")
+    # a line and its own mark have the same place
+    last = F.last(F.when(F.col("at").isNotNull(), F.struct("n", "at")), ignorenulls=True).over(W.partitionBy(*GAP, "side").orderBy("n"))
+    left = marked.withColumn("last", last).where("at is null and (last is null or last.n < n)")
+    return _two_sided(left.select("row", F.coalesce(F.col("last.at") + 1, F.col("gap")).alias("gap"), "side", "n", "key"))
 
 
 def _two_sided(rows: DataFrame) -> DataFrame:
     """Gaps that have lines on one side only are nothing that was changed."""
-    both = rows.groupBy(*GAP).agg(F.min("side").alias("a"), F.max("side").alias("b")).where("a < b").select(*GAP)
-    return rows.join(both, GAP, "left_semi")
+    gap = W.partitionBy(*GAP)
+    return rows.withColumns({"a": F.min("side").over(gap), "b": F.max("side").over(gap)}).where("a < b").drop("a", "b")
 
 
 def changes(pairs: DataFrame, most: int = 30) -> DataFrame:
     """(pair_id, n, old, new): the first ``most`` changes of each pair (pair_id, old_text, new_text), numbered from 0; lines are joined by line feeds."""
     told = stage(pairs.select(F.monotonically_increasing_id().alias("row"), "pair_id", "old_text", "new_text"), "pairs")
-    # a pair of equal texts has no lines that matter
-    apart = told.where(~F.col("old_text").eqNullSafe(F.col("new_text")))
-    sides = apart.select("row", F.inline(F.array(F.struct(F.lit(0).alias("side"), lines(F.col("old_text")).alias("lines")), F.struct(F.lit(1).alias("side"), lines(F.col("new_text")).alias("lines")))))
-    said = stage(sides.select("row", "side", F.posexplode("lines").alias("n", "line")).withColumn("n", F.col("n").cast("long")), "lines")
-    rows = stage(_two_sided(said.select("row", F.lit(0).cast("long").alias("gap"), "side", "n", F.unhex(F.md5("line")).alias("key"))), "open")
-    step = 0
+    # a pair of equal texts, or of one text that has no lines, has none that matter
+    apart = told.where((F.col("old_text") != F.col("new_text")) & (F.col("old_text") != "") & (F.col("new_text") != ""))
+    sides = apart.select("row", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("old_text").alias("text")), F.struct(F.lit(1).alias("side"), F.col("new_text").alias("text")))))
+    said = sides.select("row", "side", lines(F.col("text")).alias("lines")).select("row", "side", F.posexplode("lines").alias("n", "line"))
+    said = stage(said.select("row", "side", F.col("n").cast("long").alias("n"), "line", F.unhex(F.md5("line")).alias("key")), "lines")
+    rows, step = said.select("row", F.lit(0).cast("long").alias("gap"), "side", "n", "key"), 0
     while step < len(STEPS):
-        matches = stage(STEPS[step](rows), "matched")
+        matches = STEPS[step](rows.repartition("row"))  # a pair's lines stay together, so that a step shuffles them once
         if matches.isEmpty():
             step += 1
         else:

@@ -142,3 +142,15 @@ def test_a_million_lines(spark):
 def test_clipped(spark):
     text = "  a\n\t b　c\x1c " + "d" * 400
     assert spark.createDataFrame([(text,)], "t string").select(diff.clipped(F.col("t"))).first()[0] == ("a b c " + "d" * 294) + "…"
+
+
+def test_a_step_shuffles_lines_once(spark, tmp_path):
+    """All windows and aggregations of a step take the lines as they were dealt by pairs."""
+    spark.createDataFrame([(r, 0, s, n, bytes([n + s])) for r in range(3) for s in (0, 1) for n in range(5)], "row long, gap long, side int, n long, key binary").write.parquet(str(tmp_path / "lines"))
+    lines = spark.read.parquet(str(tmp_path / "lines"))
+    matches = diff._once(lines.repartition("row"))
+    assert sorted((r["i"], r["j"]) for r in matches.collect()) == sorted([(1, 0), (2, 1), (3, 2), (4, 3)] * 3)
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles(diff._meet(lines.repartition("row"), "key")) == 1
+    cut = diff._cut(lines, matches)
+    assert shuffles(cut) == 1 and cut.count() == 0  # line 0 of the old side is before any, line 4 of the new one behind all
