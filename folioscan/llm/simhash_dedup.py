@@ -28,13 +28,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -381,7 +382,7 @@ def verified(pairs: DataFrame, words: int, least: float) -> DataFrame:
 
 def _agreeing(one: np.ndarray, two: np.ndarray | None, most: int, block: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index pairs of sketches that differ in ``most`` bits at most, the most alike first, and those bits; within ``one``, or between it and ``two``, which are numbered behind it."""
-    found = [np.empty((3, 0), np.int64)]
+    found = [np.empty((3, 0), np.int32)]
     for i in range(0, len(one), block):
         others = one[i:] if two is None else two
         for j in range(0, len(others), 4096):
@@ -389,7 +390,7 @@ def _agreeing(one: np.ndarray, two: np.ndarray | None, most: int, block: int = 1
             x, y = np.nonzero(apart <= most)
             n = apart[x, y]
             x, y = x + i, y + j + (i if two is None else len(one))
-            found.append(np.stack([x, y, n])[:, x < y])
+            found.append(np.stack([x, y, n])[:, x < y].astype(np.int32))
     x, y, n = np.concatenate(found, axis=1)
     order = np.argsort(n, kind="stable")
     return x[order], y[order], n[order]
@@ -406,12 +407,12 @@ def _forests(n: int, x: np.ndarray, y: np.ndarray, apart: np.ndarray, sure: int)
     left, right = _spanning(n, _levels(x, y, apart))
     used = [left * n + right]
     for _ in range(MORE):
-        fresh = ~np.isin(x * n + y, np.concatenate(used))
+        fresh = ~np.isin(x.astype(np.int64) * n + y, np.concatenate(used))
         known = apart <= sure
         if not (fresh & ~known).any():
             break
         a, b = _spanning(n, ([(x[known], y[known])], *_levels(*(v[fresh & ~known] for v in (x, y, apart)))))
-        new = ~np.isin(a * n + b, x[known] * n + y[known])
+        new = ~np.isin(a * n + b, x[known].astype(np.int64) * n + y[known])
         used.append((a * n + b)[new])
     every = np.concatenate(used)
     return every // max(n, 1), every % max(n, 1)
@@ -570,15 +571,33 @@ def left_apart(nodes: DataFrame, roots: DataFrame, least: float = SIMILARITY, no
     return _dealt(rows.where("many").select("token", "node", "root", "parts").union(_counted(rows.where("not many"), least)), nodes, least)
 
 
+@contextmanager
+def _short_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """Python workers get at most so many rows at a time: texts, pairs of texts and odd bits are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def keep_one(docs: DataFrame, radius: int = WIDE, node_rows: int = 4096, words: int = 5, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` with one row left of each group of near copies: that with the least doc_id, null last, then the least hash of its text.
 
     Texts with proposals are fetched and go once to each pair that they are in. Rows are found by their places: while the list of places is small it is broadcast and other
     texts stay where they are; beyond that Spark shuffles the table, once to fetch texts and once to leave out rows.
     """
-    rows = _placed(docs)
+    with _short_batches(docs.sparkSession):
+        rows, gone = _gone(_placed(docs), radius, node_rows, words, least)
+    return rows.join(gone, ["file", "at"], "left_anti").select("row.*")
+
+
+def _gone(rows: DataFrame, radius: int, node_rows: int, words: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """The rows (row, file, at), and the stored places (file, at) of those that do not stay."""
     text = F.coalesce("row.text", F.lit(""))
-    often = docs.sparkSession.sparkContext.broadcast(common(rows.select(F.xxhash64(text).alias("h"), text.alias("text")), words))
+    often = rows.sparkSession.sparkContext.broadcast(common(rows.select(F.xxhash64(text).alias("h"), text.alias("text")), words))
     marked = rows.select(F.col("row.doc_id").alias("doc_id"), marks_udf(words, least, often)("row.text").alias("m"), F.xxhash64(text).alias("h"), "file", "at")
     prints = stage(marked.select("doc_id", "m.*", "h", "file", "at"), "prints")
     # a node is a text; its best row is the one that would stay
@@ -606,5 +625,4 @@ def keep_one(docs: DataFrame, radius: int = WIDE, node_rows: int = 4096, words:
         roots = components(similar(rest).union(roots.select("node", "root")))
     grouped = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
     stays = grouped.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.file").alias("file"), F.col("best.at").alias("at"))
-    gone = stage(prints.select("file", "at").join(stays, ["file", "at"], "left_anti"), "gone")
-    return rows.join(gone, ["file", "at"], "left_anti").select("row.*")
+    return rows, stage(prints.select("file", "at").join(stays, ["file", "at"], "left_anti"), "gone")
