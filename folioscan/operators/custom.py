@@ -1,6 +1,6 @@
 """User rules and word banks.
 
-Rules go into the plan as literals. Word banks of any size are found by the automata of ``operators.matcher``.
+Rules go into the plan as literals. Word banks of any size are found by ``operators.matcher``.
 """
 
 from __future__ import annotations
@@ -50,6 +50,12 @@ def check_rules(units: DataFrame, rules: list[dict]) -> DataFrame:
     return _issue(rows, F.concat_ws("_", F.lit("cust"), "gid", "rid"), F.col("name"), F.col("severity"), detail, F.col("suggestion"), ("custom_rule", "custom"))
 
 
+def held_keywords(units: DataFrame, keywords: DataFrame) -> DataFrame:
+    """doc_id, unit_idx, keyword: the distinct ``keyword`` of a bank that each text holds. Where millions of them are sought, findings are too many to say more of each."""
+    found = matcher.held(units.where("text <> ''").select("doc_id", "unit_idx", "text"), "text", keywords, "keyword")
+    return found if found is not None else units.sparkSession.createDataFrame([], "doc_id long, unit_idx int, keyword string")
+
+
 def check_wordbank(units: DataFrame, entries: DataFrame) -> DataFrame:
     """Issues of word-bank entries, all low: a keyword is a substring."""
     live = entries.where("g_enabled and enabled and keyword <> ''").drop("g_enabled", "enabled")
