@@ -86,11 +86,10 @@ def i_report_files(spark, sf):
     """A Word report for each file with findings, written as files and read back."""
     found, path = stage(_issues(spark, sf), "issues"), _fresh(spark, "reports")  # read by every part of the reports
     results = stage(issues.file_results(_files(spark, sf), found), "results")
-    sinks.write(word_report.file_rows(results, found), path, "docx", *word_report.ORDER)
-    listed = files.guarded(files.list_files(spark, path))
-    cells = office.word_rows(listed).where("part = 'cell' and row > 1")
+    written = sinks.write(word_report.file_rows(results, found), path, "docx", *word_report.ORDER)
+    cells = office.word_rows(files.guarded(files.read_files(written))).where("part = 'cell' and row > 1")
     told = cells.groupBy("doc_id").agg(F.count_if(F.col("col") == 1).alias("rows"), F.md5(F.array_join(F.array_sort(F.collect_list(F.when(F.col("col") == 3, F.col("text")))), ",")).alias("titles"), F.count_if((F.col("col") == 4) & (F.col("text") == "严重")).alias("high"))
-    return told.join(listed.select("doc_id", "file_name"), "doc_id").drop("doc_id")
+    return told.join(written.select(F.xxhash64("path").alias("doc_id"), F.col("file").alias("file_name")), "doc_id").drop("doc_id")
 
 
 @query(f"WITH {_ISSUES_SQL}, c AS (SELECT {_TITLES} AS rule_title, count(*) AS issues FROM issues WHERE state <> 'ignored' GROUP BY 1) SELECT rule_title, issues, round(100.0 * issues / sum(issues) OVER (), 1) AS share, row_number() OVER (ORDER BY issues DESC, rule_title) AS place FROM c")

@@ -2,7 +2,7 @@
 
 A row is a part of a file: its name, its kind and its cells. The rows of a file must be in one task and in order (``write`` sees to that); a task streams them into files of
 its own below a folder of the job, so no file is ever whole in memory. Only when all tasks have ended are the files moved to their places, by name; a job that
-fails deletes its folder and leaves nothing. The driver sees names only. Paths may be of any store that pyarrow knows.
+fails deletes its folder and leaves nothing. ``write`` moves them in tasks; the data source, which has tasks for writing only, sends their names to the driver. Paths may be of any store that pyarrow knows.
 """
 
 from __future__ import annotations
@@ -13,17 +13,20 @@ import re
 import uuid
 import zipfile
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import ExitStack
 from dataclasses import dataclass
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from folioscan.staging import stage
+
 #: Kinds of rows: paragraphs, a page's end, and a table's head and rows. Other forms than Word files know heads and rows, and take the rest as lines.
 KINDS = ("title", "h1", "h2", "p", "page", "head", "row")
 SHAPE = "file string, kind string, cells array<string>"
@@ -125,6 +128,29 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def _put(rows: Iterable[tuple[str, str, list[str] | None]], path: str, folder: str, form: str) -> list[str]:
+    """Write the files of one task below ``folder``; their names."""
+    store, root = _store(path)
+    done, name, made = {}, None, None
+    store.create_dir(f"{root}/{folder}", recursive=True)
+    with ExitStack() as open_:
+        for file, kind, cells in rows:
+            if file != name:
+                if not file or "/" in file or file.startswith(("_", ".")) or file in done:
+                    raise ValueError(f"a file's name is plain and its rows follow each other: {file!r}")
+                if made:
+                    made.close()
+                open_.close()
+                name, made = file, FORMS[form](open_.enter_context(store.open_output_stream(f"{root}/{folder}/{file}")))
+                done[file] = True
+            if kind not in KINDS:
+                raise ValueError(f"unknown kind {kind!r}")
+            made.add(kind, [c if c is not None else "" for c in cells or []])
+        if made:
+            made.close()
+    return list(done)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     folder: str
@@ -138,26 +164,8 @@ class FilesWriter(DataSourceWriter):
         self.path, self.form, self.overwrite, self.job = path.rstrip("/"), form, overwrite, f"_job-{uuid.uuid4().hex}"
 
     def write(self, rows: Iterator[Row]) -> Written:
-        store, root = _store(self.path)
-        folder, done, name, made = f"{self.job}/{uuid.uuid4().hex}", {}, None, None
-        store.create_dir(f"{root}/{folder}", recursive=True)
-        with ExitStack() as open_:
-            for row in rows:
-                file, kind, cells = row["file"], row["kind"], row["cells"]
-                if file != name:
-                    if not file or "/" in file or file.startswith(("_", ".")) or file in done:
-                        raise ValueError(f"a file's name is plain and its rows follow each other: {file!r}")
-                    if made:
-                        made.close()
-                    open_.close()
-                    name, made = file, FORMS[self.form](open_.enter_context(store.open_output_stream(f"{root}/{folder}/{file}")))
-                    done[file] = True
-                if kind not in KINDS:
-                    raise ValueError(f"unknown kind {kind!r}")
-                made.add(kind, [c if c is not None else "" for c in cells or []])
-            if made:
-                made.close()
-        return Written(folder, list(done))
+        folder = f"{self.job}/{uuid.uuid4().hex}"
+        return Written(folder, _put(((r["file"], r["kind"], r["cells"]) for r in rows), self.path, folder, self.form))
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         store, root = _store(self.path)
@@ -192,8 +200,51 @@ class FolioFiles(DataSource):
         return FilesWriter(self.options["path"], self.options.get("form", "docx"), overwrite)
 
 
-def write(rows: DataFrame, path: str, form: str = "docx", *order: str, overwrite: bool = False) -> None:
-    """Write ``rows`` (file, kind, cells and the columns ``order``), each file by one task, its rows in order. Rows without a name are in no file."""
-    rows.sparkSession.dataSource.register(FolioFiles)
+def _in_tasks(files: DataFrame, path: str, run: Callable[[fs.FileSystem, str, str, str], bool]) -> DataFrame:
+    """The ``files`` (folder, file) for which ``run`` says so, given their store, root, folder and name."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(path)
+        for batch in batches:
+            yield batch.filter(pa.array([run(store, root, folder, f) for folder, f in zip(*(c.to_pylist() for c in batch.columns), strict=True)], pa.bool_()))
+
+    return files.mapInArrow(each, files.schema)
+
+
+def _is_there(store: fs.FileSystem, root: str, _folder: str, file: str) -> bool:
+    return store.get_file_info(f"{root}/{file}").type != fs.FileType.NotFound
+
+
+def _move(store: fs.FileSystem, root: str, folder: str, file: str) -> bool:
+    if store.get_file_info(f"{root}/{folder}/{file}").type != fs.FileType.NotFound:  # else a task that was lost has moved it
+        store.move(f"{root}/{folder}/{file}", f"{root}/{file}")
+    return False
+
+
+def write(rows: DataFrame, path: str, form: str = "docx", *order: str, overwrite: bool = False) -> DataFrame:
+    """Write ``rows`` (file, kind, cells and the columns ``order``), each file by one task, its rows in order; file and path of what was written. Rows without a name are in no file.
+
+    Names are a stored table, and tasks move files to their places, so that the driver holds nothing of them.
+    """
+    if form not in FORMS:
+        raise ValueError(f"form is one of {', '.join(FORMS)}, not {form!r}")
+    path, job = path.rstrip("/"), f"_job-{uuid.uuid4().hex}"
     dealt = rows.where(F.col("file").isNotNull()).repartition("file").sortWithinPartitions("file", *order).select("file", "kind", "cells")
-    dealt.write.format("folio_files").option("form", form).mode("overwrite" if overwrite else "append").save(path)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder = f"{job}/{uuid.uuid4().hex}"
+        names = _put((row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)), path, folder, form)
+        yield pa.RecordBatch.from_arrays([pa.array([folder] * len(names), pa.string()), pa.array(names, pa.string())], ["folder", "file"])
+
+    store, root = _store(path)
+    store.create_dir(f"{root}/{job}", recursive=True)
+    try:
+        files = stage(dealt.mapInArrow(put, "folder string, file string"), "written")
+        if twice := files.groupBy("file").count().where("count > 1").first():
+            raise ValueError(f"rows of {twice['file']!r} came from several tasks")
+        if not overwrite and (there := _in_tasks(files, path, _is_there).first()):
+            raise ValueError(f"{there['file']!r} exists")
+        _in_tasks(files, path, _move).write.format("noop").mode("overwrite").save()
+    finally:
+        store.delete_dir(f"{root}/{job}")
+    return files.select("file", F.concat(F.lit(f"{path}/"), "file").alias("path"))

@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from folioscan.config import Config
+from folioscan.sources.office_reader import store_of
+
+#: Files that a task opens, and bytes of theirs that it passes on together, if they are named.
+TASK_FILES, READ_BYTES = 4096, 8 << 20
 
 #: Extensions, old formats, the mark of old binary documents, and what is said of files that can't be read.
 KINDS = {"docx": "Word", "xlsx": "Excel", "xlsm": "Excel", "pdf": "PDF"}
@@ -83,8 +90,35 @@ def list_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     if raw.select("path").count() < len(raw._jdf.inputFiles()):
         raw = raw.unionByName(_empty_files(spark, path, recursive))
-    name = F.element_at(F.split("path", "/"), -1)
-    rows = raw.select(F.xxhash64("path").alias("doc_id"), "path", F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("file_name"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"), "content")
+    return _described(raw, F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B"))))
+
+
+def read_files(files: DataFrame) -> DataFrame:
+    """What ``list_files`` says of files, given their names (``file``) and plain paths or URIs (``path``): tasks open them, some thousands each, and no listing goes through the driver."""
+    shape = T.StructType.fromDDL("file string, path string, modificationTime timestamp, length long, content binary")
+    schema, spark = to_arrow_schema(shape), files.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = [], 0
+            for file, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, at = store_of(path)
+                with store.open_input_file(at) as source:
+                    content = source.read()
+                rows.append((file, path, store.get_file_info(at).mtime, len(content), content))
+                size += len(content)
+                if size > READ_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    tasks = max(spark.sparkContext.defaultParallelism, files.count() // TASK_FILES + 1)
+    return _described(files.select("file", "path").repartition(tasks, "path").mapInArrow(run, shape), F.col("file"))
+
+
+def _described(raw: DataFrame, name: Column) -> DataFrame:
+    rows = raw.select(F.xxhash64("path").alias("doc_id"), "path", name.alias("file_name"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"), "content")
     return rows.where(~F.startswith("file_name", F.lit("~$")) & ~F.startswith("file_name", F.lit(".")) & ~F.col("path").rlike(r"/\.[^/]+/")).withColumn("file_type", file_type(F.col("file_name")))
 
 
