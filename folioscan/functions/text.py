@@ -84,7 +84,7 @@ def loose(pattern: str) -> str:
     short = re.sub(r"\(\?!(?:[^()]|\([^()]*\))*\)", "", pattern)
     if re.search(r"\(\?[^:]|\\[^bsd]|\{", short):
         return ""  # something else that is special, or a count of characters: one letter becomes two in lower case
-    short = re.sub(r"^\\b([a-z]+)", r"\1(?<![a-z]\1)", short.lower())
+    short = re.sub(r"^\\b([a-z]+)", lambda m: f"{m[1]}(?<![a-z].{{{len(m[1])}}})", short.lower())
     short = re.sub(r"\\b$", "(?![a-z])", short).replace("\\b", "")
     return short.replace("\\s", "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE) + "]").replace("\\d", "\\p{Nd}")
 
